@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: Cody (1969) coefficients, highest power first -------------
 ERF_NUM = (1.85777706184603153e-1, 3.16112374387056560e00, 1.13864154151050156e02,
@@ -52,16 +53,14 @@ def _log_erfc(x: Column) -> Column:
     return F.when(x <= 0.46875, near).when(x <= 4.0, mid).otherwise(far)
 
 
-def log_normal_tail(z: Column) -> Column:
-    """ln P(Z > z) for any z."""
-    half = F.log(F.lit(0.5))
-    x = F.abs(z) / F.lit(math.sqrt(2.0))
-    upper = half + _log_erfc(x)
-    return F.when(z >= 0, upper).otherwise(F.log1p(-F.exp(upper)))
+def log_far_tail(z: Column) -> Column:
+    """ln P(Z > |z|): the smaller of the two tails."""
+    return F.lit(math.log(0.5)) + _log_erfc(F.abs(z) / F.lit(math.sqrt(2.0)))
 
 
-def log_normal_cdf(z: Column) -> Column:
-    return log_normal_tail(-z)
+def log_near_tail(far: Column) -> Column:
+    """ln P(Z <= |z|) from ``far`` = ln P(Z > |z|)."""
+    return F.log1p(-F.exp(far))
 
 
 def normal_two_sided_p(z: Column) -> Column:
@@ -114,11 +113,14 @@ def t_two_sided_p(t: float, dof: float) -> float:
     return max(0.0, 1.0 - front * _beta_fraction(b, a, y) / b)
 
 
-@F.pandas_udf("double")
-def t_two_sided_p_col(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided_p(a, b) for a, b in zip(t, dof)], dtype="float64").where(
-        lambda s: s.notna(), None
-    )
+def _t_batch(t: pd.Series, dof: pd.Series) -> pd.Series:
+    return pd.Series([t_two_sided_p(a, b) for a, b in zip(t, dof)], dtype="float64")
+
+
+def t_two_sided_p_col(t: Column, dof: Column) -> Column:
+    """Student-t tail as a column; for result rows (pairs, coefficients), not data rows."""
+    batch = F.pandas_udf(_t_batch, T.DoubleType())
+    return F.nanvl(batch(t, dof.cast("double")), F.lit(None).cast("double"))
 
 
 # ----- Shapiro-Wilk (Royston 1995, algorithm AS R94) -------------------------

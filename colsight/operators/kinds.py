@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colsight.functions import cells
+from colsight.functions.tables import small_table
 
 SNIFF_VALUES = 200
 SHOWN_SAMPLES = 5
@@ -86,7 +87,7 @@ def sniff_sample(df: DataFrame, order_by: list[str] | None = None, limit: int =
             some = first_rows(df.where(cell != ""), limit).select(cell.alias("v")).collect()
             found = [r["v"] for r in some]
         rows.extend((i, at, v) for at, v in enumerate(found[:limit]))
-    return df.sparkSession.createDataFrame(rows, "pos int, at int, value string")
+    return small_table(df.sparkSession, rows, "pos int, at int, value string")
 
 
 def kind_votes(sample: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 def infer_kinds_table(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """One row per column: name, position, kind, missing count, sample values."""
-    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "pos int, name string")
+    names = small_table(df.sparkSession, list(enumerate(df.columns)), "pos int, name string")
     return (
         names.join(missing_counts(df), "pos")
         .join(F.broadcast(kind_votes(sniff_sample(df, order_by))), "pos", "left")

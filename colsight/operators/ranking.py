@@ -20,16 +20,24 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsight.functions.tables import small_table
+
 # Distinct values one window task sorts, and the most buckets of one column. The
 # broadcast split table has at most MAX_BUCKETS rows per column.
 BUCKET_VALUES = 1_000_000
 MAX_BUCKETS = 10_000
+SPLIT_SAMPLE = 200
 
 
-def long_form(df: DataFrame, cells: dict[int, Column], **carried: Column) -> DataFrame:
+def long_form(
+    df: DataFrame, cells: dict[int, Column], carried: dict[int, dict[str, Column]] | None = None
+) -> DataFrame:
     """Unpivot one-typed cells to ``(pos, value, carried...)``; one scan, no shuffle."""
     rows = [
-        F.struct(F.lit(pos).alias("pos"), cell.alias("value"), *[c.alias(n) for n, c in carried.items()])
+        F.struct(
+            F.lit(pos).alias("pos"), cell.alias("value"),
+            *[c.alias(n) for n, c in (carried or {}).get(pos, {}).items()],
+        )
         for pos, cell in cells.items()
     ]
     return df.select(F.inline(F.array(*rows)))
@@ -65,52 +73,58 @@ def _bucket_of(value: Column, splits: Column, steps: Iterable[int]) -> Column:
     )
 
 
-def with_rows_before(
-    counts: DataFrame,
-    sizes: dict[int, tuple[int, int]] | None = None,
-    bucket_values: int = BUCKET_VALUES,
+def with_buckets(
+    counts: DataFrame, sizes: dict[int, tuple[int, int]], bucket_values: int = BUCKET_VALUES
 ) -> DataFrame:
-    """Add ``before``: how many rows of the same column hold a smaller value.
-
-    ``counts`` is read up to three times; hold it first when it is costly.
-    """
-    sizes = sizes or column_sizes(counts)
+    """Add ``bucket``: value ranges of each column with about equally many distinct values."""
     spark = counts.sparkSession
     widest = max((d for _, d in sizes.values()), default=0)
     buckets = min(MAX_BUCKETS, math.ceil(widest / bucket_values)) if widest else 1
-    running = F.sum("cnt").over(
-        Window.partitionBy("pos", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    )
     if buckets <= 1:
-        ranked = counts.withColumn("bucket", F.lit(0)).withColumn("before", running - F.col("cnt"))
-        return ranked.drop("bucket")
-
+        return counts.withColumn("bucket", F.lit(0))
+    # split points need not be exact: a hash sample of the distinct values balances well
+    every = max(1, widest // (buckets * SPLIT_SAMPLE))
+    sample = counts.where(F.pmod(F.xxhash64("value"), F.lit(every)) == 0)
     cuts = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, 20 * buckets)
-    splits = counts.groupBy("pos").agg(F.percentile_approx("value", cuts, accuracy).alias("splits"))
+    splits = sample.groupBy("pos").agg(
+        F.percentile_approx("value", cuts, max(1_000, 10 * buckets)).alias("splits")
+    )
     kind = counts.schema["value"].dataType.simpleString()
-    known = spark.createDataFrame(
+    known = small_table(spark, 
         [(r["pos"], sorted(set(r["splits"]))) for r in splits.collect()],
         f"pos int, splits array<{kind}>",
     )
     steps = [1 << b for b in range(buckets.bit_length(), -1, -1)]
-    placed = counts.join(F.broadcast(known), "pos").withColumn(
-        "bucket", _bucket_of(F.col("value"), F.col("splits"), steps)
+    return counts.join(F.broadcast(known), "pos", "left").withColumn(
+        "bucket", F.coalesce(_bucket_of(F.col("value"), F.col("splits"), steps), F.lit(0))
     ).drop("splits")
+
+
+def with_rows_before(
+    counts: DataFrame,
+    sizes: dict[int, tuple[int, int]] | None = None,
+    bucket_values: int = BUCKET_VALUES,
+) -> DataFrame:
+    """Add ``before``: how many rows of the same column hold a smaller value.
+
+    ``counts`` is read up to three times; hold it first when it is costly.
+    """
+    sizes = sizes or column_sizes(counts)
+    placed = with_buckets(counts, sizes, bucket_values)
+    upto = Window.partitionBy("pos", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    within = F.sum("cnt").over(upto) - F.col("cnt")
+    if max((d for _, d in sizes.values()), default=0) <= bucket_values:
+        return placed.withColumn("before", within).drop("bucket")
     # at most columns x MAX_BUCKETS rows
+    earlier = Window.partitionBy("pos").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     starts = (
         placed.groupBy("pos", "bucket")
         .agg(F.sum("cnt").alias("held"))
-        .withColumn(
-            "start",
-            F.sum("held").over(
-                Window.partitionBy("pos").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-            ) - F.col("held"),
-        )
+        .withColumn("start", F.sum("held").over(earlier) - F.col("held"))
         .drop("held")
     )
     return (
-        placed.withColumn("within", running - F.col("cnt"))
+        placed.withColumn("within", within)
         .join(F.broadcast(starts), ["pos", "bucket"])
         .withColumn("before", F.col("within") + F.col("start"))
         .drop("within", "start", "bucket")
@@ -154,7 +168,77 @@ def exact_quantiles(ranked: DataFrame, points: dict[str, float], extra: Iterable
 
 def with_sizes(ranked: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
     """Attach the column size ``n`` (one row per column, so always broadcast)."""
-    known = ranked.sparkSession.createDataFrame(
+    known = small_table(ranked.sparkSession, 
         [(pos, n) for pos, (n, _) in sizes.items()], "pos int, n bigint"
     )
     return ranked.join(F.broadcast(known), "pos")
+
+
+# ----- selection without sorting ---------------------------------------------
+
+SELECT_BINS = 512
+SELECT_ROWS = 4_000
+
+
+def order_statistics(weighted: DataFrame, ranks: dict[int, set[int]]) -> dict[tuple[int, int], float]:
+    """Exact values at 0-based ranks of each column, by narrowing value ranges.
+
+    ``weighted`` is ``(pos, value, cnt)``; values may repeat, nothing is sorted or
+    shuffled whole. Each round is one aggregation into at most 512 bins per wanted
+    rank and keeps the bin that holds it, with that bin's real ends, so every
+    round splits off at least one end. A range with few rows left is read out.
+    """
+    spark = weighted.sparkSession
+    ends = weighted.groupBy("pos").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    found: dict[tuple[int, int], float] = {}
+    open_ranges: dict[tuple[int, int], tuple[float, float, int]] = {}
+    for r in ends.collect():
+        for rank in ranks.get(r["pos"], ()):
+            open_ranges[(r["pos"], rank)] = (r["lo"], r["hi"], 0)
+
+    def settle(key: tuple[int, int], cells: list[tuple]) -> None:
+        """``cells``: (lo, hi, rows, cnt) in value order; keep the one holding the rank."""
+        below = open_ranges[key][2]
+        for lo, hi, rows, cnt in cells:
+            if key[1] < below + cnt:
+                open_ranges[key] = (lo, hi, below)
+                rows_left[key] = rows
+                break
+            below += cnt
+        lo, hi, _ = open_ranges[key]
+        if lo == hi:
+            found[key] = lo
+            del open_ranges[key]
+
+    rows_left: dict[tuple[int, int], int] = {}
+    for key, (lo, hi, _) in list(open_ranges.items()):
+        if lo == hi:
+            found[key] = lo
+            del open_ranges[key]
+    while open_ranges:
+        small = {k for k in open_ranges if rows_left.get(k, SELECT_ROWS + 1) <= SELECT_ROWS}
+        wanted = small or set(open_ranges)
+        table = small_table(
+            spark, [(p, rank, *open_ranges[(p, rank)][:2]) for p, rank in sorted(wanted)],
+            "pos int, rank bigint, lo double, hi double",
+        )
+        inside = weighted.join(F.broadcast(table), "pos").where(F.col("value").between(F.col("lo"), F.col("hi")))
+        if small:
+            bin_key = F.col("value")
+        else:
+            scaled = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(SELECT_BINS))
+            bin_key = F.least(F.floor(scaled), F.lit(SELECT_BINS - 1))
+        cells = inside.groupBy("pos", "rank", bin_key.alias("bin")).agg(
+            F.min("value").alias("lo"), F.max("value").alias("hi"),
+            F.count(F.lit(1)).alias("rows"), F.sum("cnt").alias("cnt"),
+        )
+        grouped: dict[tuple[int, int], list[tuple]] = {}
+        for r in cells.collect():
+            grouped.setdefault((r["pos"], r["rank"]), []).append((r["lo"], r["hi"], r["rows"], r["cnt"]))
+        for key, rows in grouped.items():
+            settle(key, sorted(rows))
+    return found
+
+
+def median_ranks(n: int) -> tuple[int, int]:
+    return (n - 1) // 2, n // 2
