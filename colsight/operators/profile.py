@@ -165,6 +165,22 @@ def gini_sum() -> Column:
     return F.sum(F.col("value") * c * (2 * before + c + 1) / F.lit(2.0))
 
 
+def gini_table(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
+    """Gini coefficient of the absolute values of each numeric column."""
+    spark = df.sparkSession
+    sizes_of = {k.position: F.abs(typed_cell(df, k)) for k in kinds}
+    counts = ranking.hold(ranking.count_values(ranking.long_form(df, sizes_of)))
+    try:
+        sums = ranking.with_rows_before(counts).groupBy("pos").agg(
+            F.sum("cnt").cast("double").alias("n"), F.sum(F.col("value") * F.col("cnt")).alias("total"),
+            gini_sum().alias("weighted"),
+        ).collect()
+    finally:
+        counts.unpersist()
+    found = {r["pos"]: 2.0 * r["weighted"] / (r["n"] * r["total"]) - (r["n"] + 1) / r["n"] if r["total"] else 0.0 for r in sums}
+    return small_table(spark, [(k.name, found.get(k.position, 0.0)) for k in kinds], "name string, gini double")
+
+
 def with_anderson_term(ranked: DataFrame, mean: Column, sd: Column, n: Column) -> DataFrame:
     """Add ``anderson``: each value's term of the Anderson-Darling sum, ties collapsed."""
     c, before, n = F.col("cnt").cast("double"), F.col("before").cast("double"), n.cast("double")

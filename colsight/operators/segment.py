@@ -162,6 +162,17 @@ def silhouette_euclidean(labelled: DataFrame, features: list[str], columns: list
     return means.first().asDict()
 
 
+def sampled_silhouette(
+    labelled: DataFrame, features: list[str], columns: list[str], rows: int = EXACT_SILHOUETTE_ROWS
+) -> dict[str, float]:
+    """Euclidean silhouettes on a reproducible sample; a table within ``rows`` is used whole."""
+    picked = hold(sample_rows(labelled.select(*features, *columns), rows, features))
+    try:
+        return silhouette_euclidean(picked, features, columns)
+    finally:
+        picked.unpersist()
+
+
 # ----- k-means ---------------------------------------------------------------
 
 
@@ -194,9 +205,7 @@ def choose_k(points: DataFrame, scaling: Scaling, metric: str = "auto"):
         if metric == "squared_euclidean":
             scores = dict(zip(columns, pool.map(threaded(squared), columns)))
         elif metric == "euclidean_sample":
-            picked = hold(sample_rows(labelled.select(*features, *columns), EXACT_SILHOUETTE_ROWS, features))
-            scores = silhouette_euclidean(picked, features, columns)
-            picked.unpersist()
+            scores = sampled_silhouette(labelled, features, columns)
         else:
             scores = silhouette_euclidean(labelled, features, columns)
     candidates = [(k, scores[f"k{k}"], metric) for k in ks if scores.get(f"k{k}") is not None]
