@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colsight.functions import cells
-from colsight.functions.tables import small_table
+from colsight.functions.tables import per_column, small_table
 from colsight.functions.special import log_far_tail, log_near_tail, shapiro_p
 from colsight.operators.kinds import ColumnKind, KINDS, kinds_from_schema, name_column, of_kind, typed_cell
 from colsight.operators import ranking
@@ -131,10 +131,10 @@ def numeric_facts(counts: DataFrame) -> DataFrame:
     )
 
 
-def central_moments(counts: DataFrame, means: DataFrame) -> DataFrame:
-    """Second to fourth sums of deviations per column; ``means`` is (pos, mean)."""
-    d, c = F.col("value") - F.col("mean"), F.col("cnt")
-    return counts.join(F.broadcast(means), "pos").groupBy("pos").agg(
+def central_moments(counts: DataFrame, means: dict[int, float]) -> DataFrame:
+    """Second to fourth sums of deviations per column."""
+    d, c = F.col("value") - per_column(means), F.col("cnt")
+    return counts.groupBy("pos").agg(
         *[F.sum(F.pow(d, F.lit(float(k))) * c).alias(f"m{k}") for k in (2, 3, 4)]
     )
 
@@ -237,25 +237,21 @@ def bin_of(value: Column, lo: Column, hi: Column, bins: Column) -> Column:
     return F.when(down, guess - 1).when(up, guess + 1).otherwise(guess).cast("int")
 
 
-def spread_cells(counts: DataFrame, plan: DataFrame) -> DataFrame:
+def spread_cells(counts: DataFrame, facts: dict[int, dict]) -> DataFrame:
     """``(pos, bin, held, tukey, robust)``: histogram bins and outlier counts in one pass.
 
-    ``plan``: per column the bin range and number, quartiles, median and MAD.
+    ``facts``: per column the bin range and number, quartiles, median and MAD.
     """
-    fence = F.lit(FENCE) * (F.col("p75") - F.col("p25"))
-    beyond = (F.col("p75") > F.col("p25")) & (
-        (F.col("value") < F.col("p25") - fence) | (F.col("value") > F.col("p75") + fence)
-    )
-    far = F.abs(robust_score(F.col("median"), F.col("mad"))) > ROBUST_CUT
-    bin_index = F.when(F.col("bins") > 0, bin_of(F.col("value"), F.col("lo"), F.col("hi"), F.col("bins")))
-    return (
-        counts.join(F.broadcast(plan), "pos")
-        .groupBy("pos", bin_index.alias("bin"))
-        .agg(
-            F.sum("cnt").alias("held"),
-            F.sum(F.when(beyond, F.col("cnt")).otherwise(0)).alias("tukey"),
-            F.sum(F.when(far, F.col("cnt")).otherwise(0)).alias("robust"),
-        )
+    fact = lambda name: per_column({p: m[name] for p, m in facts.items()})
+    value, p25, p75, bins = F.col("value"), fact("p25"), fact("p75"), fact("bins")
+    fence = F.lit(FENCE) * (p75 - p25)
+    beyond = (p75 > p25) & ((value < p25 - fence) | (value > p75 + fence))
+    far = F.abs(robust_score(fact("median"), fact("mad"))) > ROBUST_CUT
+    bin_index = F.when(bins > 0, bin_of(value, fact("lo"), fact("hi"), bins))
+    return counts.groupBy("pos", bin_index.alias("bin")).agg(
+        F.sum("cnt").alias("held"),
+        F.sum(F.when(beyond, F.col("cnt")).otherwise(0)).alias("tukey"),
+        F.sum(F.when(far, F.col("cnt")).otherwise(0)).alias("robust"),
     )
 
 
@@ -341,8 +337,7 @@ def profile_numeric(
 
 
 def _fill_moments(counts: DataFrame, usable: dict[int, dict]) -> None:
-    means = small_table(counts.sparkSession, [(p, m["mean"]) for p, m in usable.items()], "pos int, mean double")
-    for r in central_moments(counts, means).collect():
+    for r in central_moments(counts, {p: m["mean"] for p, m in usable.items()}).collect():
         m = usable[r["pos"]]
         m.update(shape_statistics(m["count"], r["m2"], r["m3"], r["m4"]))
         m["cv"] = m["std"] / abs(m["mean"]) if m["mean"] else None
@@ -350,75 +345,69 @@ def _fill_moments(counts: DataFrame, usable: dict[int, dict]) -> None:
 
 
 def _fill_ranks(counts: DataFrame, usable: dict[int, dict], normality: bool) -> None:
-    """Percentiles, Gini and the normality test; |x| is ranked apart where signs are mixed."""
-    spark = counts.sparkSession
+    """Percentiles, Gini and the normality test in one ranking.
+
+    Gini ranks |x|; a column of mixed signs takes part a second time, folded.
+    """
     sizes = {p: (m["count"], m["distinct"]) for p, m in usable.items()}
-    facts = small_table(
-        spark, [(p, m["count"], m["mean"], m["std"]) for p, m in usable.items()],
-        "pos int, n bigint, mean double, sd double",
-    )
-    ranked = ranking.with_rows_before(counts, sizes).join(F.broadcast(facts), "pos")
-    gini = [gini_sum().alias("weighted"), F.sum(F.col("value") * F.col("cnt")).alias("total")]
-    extra = list(gini)
+    mixed = [p for p, m in usable.items() if m["min"] < 0]
+    offset = max(usable) + 1
+    table = counts.select("pos", "value", "cnt")
+    if mixed:
+        folded = counts.where(F.col("pos").isin(*mixed)).select(
+            (F.col("pos") + offset).alias("pos"), F.abs("value").alias("value"), "cnt"
+        )
+        table = table.unionByName(ranking.count_values(folded, F.col("cnt")))
+    every = sizes | {p + offset: sizes[p] for p in mixed}
+    ranked = ranking.with_sizes(ranking.with_rows_before(table, every), every)
+    extra = [gini_sum().alias("weighted"), F.sum(F.col("value") * F.col("cnt")).alias("total")]
     if normality:
-        sd = F.when(F.col("n") > SHAPIRO_MAX_ROWS, F.col("sd"))
-        ranked = with_anderson_term(ranked, F.col("mean"), sd, F.col("n"))
+        sd = per_column({p: m["std"] for p, m in usable.items() if m["count"] > SHAPIRO_MAX_ROWS} or {0: None})
+        ranked = with_anderson_term(ranked, per_column({p: m["mean"] for p, m in usable.items()}), sd, F.col("n"))
         extra.append(F.sum("anderson").alias("anderson"))
     at = {r["pos"]: r for r in ranking.exact_quantiles(ranked, PERCENTILES, extra).collect()}
-    sums = dict(at)
-    mixed = [p for p, m in usable.items() if m["min"] < 0]
-    if mixed:
-        folded = counts.where(F.col("pos").isin(*mixed)).select("pos", F.abs("value").alias("value"), "cnt")
-        folded = ranking.hold(ranking.count_values(folded, F.col("cnt")))
-        sums.update({r["pos"]: r for r in ranking.with_rows_before(folded).groupBy("pos").agg(*gini).collect()})
-        folded.unpersist()
     for p, m in usable.items():
         m.update({name: at[p][name] for name in PERCENTILES}, median=at[p]["p50"])
         m["iqr"] = m["p75"] - m["p25"]
-        n, total = m["count"], sums[p]["total"]
-        m["gini"] = 2.0 * sums[p]["weighted"] / (n * total) - (n + 1) / n if total else 0.0
+        sums = at[p + offset] if p in mixed else at[p]
+        n, total = m["count"], sums["total"]
+        m["gini"] = 2.0 * sums["weighted"] / (n * total) - (n + 1) / n if total else 0.0
     if normality:
         _add_normality(counts, usable, at, sizes)
 
 
 def _fill_mad(counts: DataFrame, usable: dict[int, dict], scale: float) -> None:
-    medians = small_table(counts.sparkSession, [(p, m["median"]) for p, m in usable.items()], "pos int, median double")
-    distance = counts.join(F.broadcast(medians), "pos").select(
-        "pos", F.abs(F.col("value") - F.col("median")).alias("value"), "cnt"
-    )
-    at = ranking.order_statistics(distance, {p: set(ranking.median_ranks(m["count"])) for p, m in usable.items()})
-    for p, m in usable.items():
-        lo, hi = ranking.median_ranks(m["count"])
-        m["mad"] = (at[(p, lo)] + at[(p, hi)]) / 2.0 * scale if m["count"] > 1 else 0.0
+    middle = per_column({p: m["median"] for p, m in usable.items()})
+    distance = counts.select("pos", F.abs(F.col("value") - middle).alias("value"), "cnt")
+    known = {
+        p: ranking.Extent(m["count"], m["distinct"], 0.0, max(m["max"] - m["median"], m["median"] - m["min"]))
+        for p, m in usable.items()
+    }
+    for p, value in ranking.medians(distance, known).items():
+        usable[p]["mad"] = value * scale if usable[p]["count"] > 1 else 0.0
 
 
 def _fill_spread(counts: DataFrame, usable: dict[int, dict]) -> tuple[list[tuple], list[tuple]]:
     """Histogram rows and outlier rows; at most 40 and 50 per column."""
-    spark = counts.sparkSession
-    plans = {}
-    for p, m in usable.items():
+    for m in usable.values():
         integers = m["whole"] and m["count"] == m["total_rows"]
-        lo, hi = (m["min"], m["max"]) if m["max"] > m["min"] else (m["min"] - 0.5, m["max"] + 0.5)
-        plans[p] = (lo, hi, histogram_plan(m["count"], m["min"], m["max"], m["iqr"], integers))
+        m["lo"], m["hi"] = (m["min"], m["max"]) if m["max"] > m["min"] else (m["min"] - 0.5, m["max"] + 0.5)
+        m["bins"] = histogram_plan(m["count"], m["min"], m["max"], m["iqr"], integers)
         m.update(outlier_iqr_count=0, outlier_robust_count=0)
-    plan = small_table(
-        spark,
-        [(p, m["name"], *plans[p], m["p25"], m["p75"], m["median"], m["mad"]) for p, m in usable.items()],
-        "pos int, name string, lo double, hi double, bins int, p25 double, p75 double, median double, mad double",
-    )
     held: dict[tuple[int, int], int] = {}
-    for r in spread_cells(counts, plan).collect():
+    for r in spread_cells(counts, usable).collect():
         m = usable[r["pos"]]
         m["outlier_iqr_count"] += r["tukey"]
         m["outlier_robust_count"] += r["robust"]
         held[(r["pos"], r["bin"])] = r["held"]
-    bins = []
-    for p, (lo, hi, k) in plans.items():
-        edges = bin_edges(lo, hi, k) if k else []
-        bins += [(usable[p]["name"], i, edges[i], edges[i + 1], held.get((p, i), 0)) for i in range(k)]
-    spots = []
+    bins, spots = [], []
+    for p, m in usable.items():
+        edges = bin_edges(m["lo"], m["hi"], m["bins"]) if m["bins"] else []
+        bins += [(m["name"], i, edges[i], edges[i + 1], held.get((p, i), 0)) for i in range(m["bins"])]
     if any(m["outlier_robust_count"] for m in usable.values()):
-        spots = [tuple(r) for r in outlier_table(counts, plan.select("pos", "name", "median", "mad")).collect()]
+        centres = [(p, m["name"], m["median"], m["mad"]) for p, m in usable.items()]
+        where = small_table(counts.sparkSession, centres, "pos int, name string, median double, mad double")
+        spots = [tuple(r) for r in outlier_table(counts, where).collect()]
     return bins, spots
 
 
@@ -492,7 +481,9 @@ def categorical_summary(df: DataFrame, counts: DataFrame, kinds: list[ColumnKind
 # ----- datetime --------------------------------------------------------------
 
 
-def gap_table(instants: DataFrame, bucket_values: int = ranking.BUCKET_VALUES) -> DataFrame:
+def gap_table(
+    instants: DataFrame, sizes: dict[int, tuple[int, int]], bucket_values: int = ranking.BUCKET_VALUES
+) -> DataFrame:
     """Gaps between consecutive instants as a count table ``(pos, value, cnt)`` in microseconds.
 
     ``instants`` is a held count table of epoch microseconds. Repeated instants
@@ -500,7 +491,7 @@ def gap_table(instants: DataFrame, bucket_values: int = ranking.BUCKET_VALUES) -
     number, so no task sorts a whole series; the gap across a range border is
     taken from the last instant of the range before.
     """
-    placed = ranking.with_buckets(instants, ranking.column_sizes(instants), bucket_values)
+    placed = ranking.with_buckets(instants, sizes, bucket_values)
     inside = placed.withColumn(
         "gap", F.col("value") - F.lag("value").over(Window.partitionBy("pos", "bucket").orderBy("value"))
     )
@@ -527,60 +518,65 @@ def cadence(gap_days: Column, guard_zero: bool = False) -> Column:
     return out.otherwise("irregular")
 
 
-def expected_gap(gap_days: Column) -> Column:
-    out = F.when(gap_days.isNull(), None)
-    for limit, _, days in CADENCES:
-        out = out.when(gap_days <= limit, days)
-    return out
+def median_gap_days(gaps: DataFrame) -> dict[int, float]:
+    """Median gap in days per column of a held gap table."""
+    return {p: gap / MICROS_PER_DAY for p, gap in ranking.medians(gaps).items()}
 
 
-def median_gap_days(gaps: DataFrame) -> DataFrame:
-    """``(pos, median_gap)`` in days from a held gap table."""
-    sizes = ranking.column_sizes(gaps)
-    ranked = ranking.with_sizes(ranking.with_rows_before(gaps, sizes), sizes)
-    mid = ranking.exact_quantiles(ranked, {"mid": 0.5})
-    return mid.select("pos", (F.col("mid") / F.lit(MICROS_PER_DAY)).alias("median_gap"))
+def granularity(gap_days: float | None) -> tuple[str, float | None]:
+    """Cadence name and expected gap of a median gap."""
+    for limit, label, days in CADENCES:
+        if gap_days is not None and gap_days <= limit:
+            return label, days
+    return "irregular", None
 
 
 def profile_datetime(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     """Range, cadence and gap count of every datetime column."""
-    spark = df.sparkSession
-    micros = {k.position: cells.epoch_micros(typed_cell(df, k)) for k in kinds}
-    names = small_table(spark, [(k.position, k.name) for k in kinds], "pos int, name string")
-    instants = ranking.hold(ranking.count_values(ranking.long_form(df, micros)))
-    gaps = ranking.hold(gap_table(instants))
+    long = ranking.long_form(
+        df, {k.position: cells.epoch_micros(typed_cell(df, k)) for k in kinds},
+        {k.position: {"blank": blank_cell(df, k)} for k in kinds},
+    )
+    # one row (pos, NULL, cnt, blanks) per column holds its unusable cells
+    everything = ranking.hold(long.groupBy("pos", "value").agg(
+        F.count(F.lit(1)).alias("cnt"), F.count_if("blank").alias("blanks")
+    ))
+    instants = everything.where(F.col("value").isNotNull())
+    gaps = None
     try:
-        blanks = df.agg(F.count(F.lit(1)).alias("total_rows"), F.array(*[
-            F.struct(F.lit(k.position).alias("pos"), F.count_if(blank_cell(df, k)).alias("missing")) for k in kinds
-        ]).alias("per")).select("total_rows", F.inline("per"))
-        ends = instants.groupBy("pos").agg(
-            F.sum("cnt").alias("count"), F.min("value").alias("lo"), F.max("value").alias("hi")
-        )
-        medians = median_gap_days(gaps)
-        late = gaps.join(F.broadcast(medians), "pos").groupBy("pos").agg(
-            F.first("median_gap").alias("median_gap"),
-            F.sum(F.when(
-                F.col("value") / F.lit(MICROS_PER_DAY) > F.lit(GAP_SLACK) * expected_gap(F.col("median_gap")),
-                F.col("cnt"),
-            ).otherwise(0)).alias("gap_count"),
-        )
-        out = (
-            names.join(blanks, "pos").join(ends, "pos", "left").join(late, "pos", "left")
-            .select(
-                "name", F.col("pos").alias("position"), "total_rows", "missing",
-                F.coalesce(guarded_ratio(F.col("missing"), F.col("total_rows")), F.lit(0.0)).alias("missing_pct"),
-                F.coalesce("count", F.lit(0)).alias("count"),
-                cells.from_epoch_micros(F.col("lo")).alias("min_date"),
-                cells.from_epoch_micros(F.col("hi")).alias("max_date"),
-                F.floor((F.col("hi") - F.col("lo")) / F.lit(MICROS_PER_DAY)).cast("bigint").alias("range_days"),
-                cadence(F.col("median_gap")).alias("granularity"),
-                F.coalesce("gap_count", F.lit(0)).alias("gap_count"),
-            )
-        )
-        return small_table(spark, out.collect(), out.schema)  # one row per column
+        usable = F.when(F.col("value").isNotNull(), F.col("cnt"))
+        facts = {r["pos"]: r for r in everything.groupBy("pos").agg(
+            F.sum("cnt").alias("total_rows"), F.sum("blanks").alias("missing"), F.sum(usable).alias("n"),
+            F.count("value").alias("distinct"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+        ).collect()}
+        sizes = {p: (f["n"], f["distinct"]) for p, f in facts.items() if f["n"]}
+        gaps = ranking.hold(gap_table(instants, sizes))
+        middle = median_gap_days(gaps)
+        expected = {p: granularity(gap)[1] for p, gap in middle.items()}
+        late = {}
+        if any(expected.values()):
+            days = F.col("value") / F.lit(MICROS_PER_DAY)
+            over = F.when(days > F.lit(GAP_SLACK) * per_column(expected), F.col("cnt")).otherwise(0)
+            late = {r["pos"]: r["late"] for r in gaps.groupBy("pos").agg(F.sum(over).alias("late")).collect()}
     finally:
-        gaps.unpersist()
-        instants.unpersist()
+        if gaps is not None:
+            gaps.unpersist()
+        everything.unpersist()
+    rows = []
+    for k in kinds:
+        f = facts.get(k.position)
+        total, missing = (f["total_rows"], f["missing"]) if f else (0, 0)
+        n, lo, hi = (f["n"] or 0, f["lo"], f["hi"]) if f else (0, None, None)
+        rows.append((k.name, k.position, total, missing, missing / total if total else 0.0, n, lo, hi,
+                     int((hi - lo) // MICROS_PER_DAY) if n else None, granularity(middle.get(k.position))[0],
+                     late.get(k.position, 0)))
+    table = small_table(
+        df.sparkSession, rows, "name string, position int, total_rows bigint, missing bigint, missing_pct double, "
+        "count bigint, min_date bigint, max_date bigint, range_days bigint, granularity string, gap_count bigint"
+    )
+    return table.withColumn("min_date", cells.from_epoch_micros(F.col("min_date"))).withColumn(
+        "max_date", cells.from_epoch_micros(F.col("max_date"))
+    )
 
 
 # ----- boolean, unknown ------------------------------------------------------

@@ -15,16 +15,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsight.functions.tables import small_table
+from colsight.functions.tables import per_column, small_table
 
 # Distinct values one window task sorts, and the most buckets of one column. The
 # broadcast split table has at most MAX_BUCKETS rows per column.
-BUCKET_VALUES = 1_000_000
+BUCKET_VALUES = 250_000
 MAX_BUCKETS = 10_000
 SPLIT_SAMPLE = 200
 
@@ -167,11 +168,10 @@ def exact_quantiles(ranked: DataFrame, points: dict[str, float], extra: Iterable
 
 
 def with_sizes(ranked: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
-    """Attach the column size ``n`` (one row per column, so always broadcast)."""
-    known = small_table(ranked.sparkSession, 
-        [(pos, n) for pos, (n, _) in sizes.items()], "pos int, n bigint"
-    )
-    return ranked.join(F.broadcast(known), "pos")
+    """Attach the column size ``n``."""
+    # coalesce keeps the optimizer from copying the lookup into every aggregate below
+    n = per_column({pos: n for pos, (n, _) in sizes.items()}, "bigint")
+    return ranked.withColumn("n", F.coalesce(n, F.lit(0)))
 
 
 # ----- selection without sorting ---------------------------------------------
@@ -180,7 +180,26 @@ SELECT_BINS = 512
 SELECT_ROWS = 4_000
 
 
-def order_statistics(weighted: DataFrame, ranks: dict[int, set[int]]) -> dict[tuple[int, int], float]:
+@dataclass
+class Extent:
+    """What selection needs to know of a column beforehand: rows, stored rows, bounds."""
+
+    n: int
+    stored: int
+    lo: float
+    hi: float
+
+
+def extents(weighted: DataFrame) -> dict[int, Extent]:
+    found = weighted.groupBy("pos").agg(
+        F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("stored"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    return {r["pos"]: Extent(r["n"], r["stored"], float(r["lo"]), float(r["hi"])) for r in found.collect()}
+
+
+def order_statistics(
+    weighted: DataFrame, ranks: dict[int, set[int]], known: dict[int, Extent] | None = None
+) -> dict[tuple[int, int], float]:
     """Exact values at 0-based ranks of each column, by narrowing value ranges.
 
     ``weighted`` is ``(pos, value, cnt)``; values may repeat, nothing is sorted or
@@ -189,12 +208,14 @@ def order_statistics(weighted: DataFrame, ranks: dict[int, set[int]]) -> dict[tu
     round splits off at least one end. A range with few rows left is read out.
     """
     spark = weighted.sparkSession
-    ends = weighted.groupBy("pos").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    known = known or extents(weighted)
     found: dict[tuple[int, int], float] = {}
     open_ranges: dict[tuple[int, int], tuple[float, float, int]] = {}
-    for r in ends.collect():
-        for rank in ranks.get(r["pos"], ()):
-            open_ranges[(r["pos"], rank)] = (r["lo"], r["hi"], 0)
+    rows_left: dict[tuple[int, int], int] = {}
+    for pos, extent in known.items():
+        for rank in ranks.get(pos, ()):
+            open_ranges[pos, rank] = (extent.lo, extent.hi, 0)
+            rows_left[pos, rank] = extent.stored
 
     def settle(key: tuple[int, int], cells: list[tuple]) -> None:
         """``cells``: (lo, hi, rows, cnt) in value order; keep the one holding the rank."""
@@ -210,13 +231,12 @@ def order_statistics(weighted: DataFrame, ranks: dict[int, set[int]]) -> dict[tu
             found[key] = lo
             del open_ranges[key]
 
-    rows_left: dict[tuple[int, int], int] = {}
     for key, (lo, hi, _) in list(open_ranges.items()):
         if lo == hi:
             found[key] = lo
             del open_ranges[key]
     while open_ranges:
-        small = {k for k in open_ranges if rows_left.get(k, SELECT_ROWS + 1) <= SELECT_ROWS}
+        small = {k for k in open_ranges if rows_left[k] <= SELECT_ROWS}
         wanted = small or set(open_ranges)
         table = small_table(
             spark, [(p, rank, *open_ranges[(p, rank)][:2]) for p, rank in sorted(wanted)],
@@ -242,3 +262,10 @@ def order_statistics(weighted: DataFrame, ranks: dict[int, set[int]]) -> dict[tu
 
 def median_ranks(n: int) -> tuple[int, int]:
     return (n - 1) // 2, n // 2
+
+
+def medians(weighted: DataFrame, known: dict[int, Extent] | None = None) -> dict[int, float]:
+    """The exact median of each column."""
+    known = known or extents(weighted)
+    at = order_statistics(weighted, {pos: set(median_ranks(e.n)) for pos, e in known.items()}, known)
+    return {pos: sum(at[pos, rank] for rank in median_ranks(e.n)) / 2.0 for pos, e in known.items()}

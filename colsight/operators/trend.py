@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsight.functions import cells
-from colsight.functions.tables import small_table
+from colsight.functions.tables import per_column, small_table
 from colsight.operators import ranking
 from colsight.operators.kinds import ColumnKind, of_kind, typed_cell
 from colsight.operators.profile import MICROS_PER_DAY, cadence, gap_table, median_gap_days
@@ -94,11 +94,10 @@ def fit_trends(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     if not pairs:
         return small_table(spark, [], TREND_SCHEMA)
 
-    start = small_table(spark, [(p, ends[p]["first"], ends[p]["mean"]) for p in pairs], "pos int, first bigint, mean double")
-    x = (F.col("at") - F.col("first")) / F.lit(MICROS_PER_DAY)
-    y = F.col("value") - F.col("mean")  # centred; the intercept is moved back below
+    x = (F.col("at") - per_column({p: ends[p]["first"] for p in pairs}, "bigint")) / F.lit(MICROS_PER_DAY)
+    y = F.col("value") - per_column({p: ends[p]["mean"] for p in pairs})  # the intercept is moved back below
     fits = {
-        r["pos"]: r for r in series_rows(df, pairs).join(F.broadcast(start), "pos").groupBy("pos").agg(
+        r["pos"]: r for r in series_rows(df, pairs).groupBy("pos").agg(
             F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
             F.regr_r2(y, x).alias("r2"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
             F.regr_sxx(y, x).alias("sxx"),
@@ -136,9 +135,9 @@ def _median_gaps(df: DataFrame, pairs: dict, whole: dict[int, bool]) -> dict[int
             series[key] = (len(series), at if whole[p] else F.when(typed_cell(df, v).isNotNull(), at))
         owner[p] = series[key][0]
     instants = ranking.hold(ranking.count_values(ranking.long_form(df, dict(series.values()))))
-    gaps = ranking.hold(gap_table(instants))
+    gaps = ranking.hold(gap_table(instants, ranking.column_sizes(instants)))
     try:
-        found = {r["pos"]: r["median_gap"] for r in median_gap_days(gaps).collect()}
+        found = median_gap_days(gaps)
     finally:
         gaps.unpersist()
         instants.unpersist()

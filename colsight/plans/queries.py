@@ -265,13 +265,10 @@ def distributed_rank(spark, sf_dir):
     return ranked.select("value", "cnt", "before", ranking.average_rank().alias("avg_rank"))
 
 
-def exact_median_distance(spark, sf_dir):
+def exact_median(spark, sf_dir):
     d = load(spark, sf_dir, "events").select(F.lit(0).alias("pos"), "value", F.lit(1).cast("bigint").alias("cnt"))
-    n = d.count()
-    at = ranking.order_statistics(d, {0: set(ranking.median_ranks(n))})
-    lo, hi = ranking.median_ranks(n)
-    return d.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).select(
-        "n", F.lit((at[0, lo] + at[0, hi]) / 2).alias("median"))
+    middle = ranking.medians(d)
+    return d.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(middle[0]).alias("median"))
 
 
 # ----- relations -------------------------------------------------------------
@@ -557,7 +554,7 @@ QUERIES: dict[str, Query] = {
     "preview": preview,
     "malformed_rows": malformed_rows,
     "distributed_rank": distributed_rank,
-    "exact_median": exact_median_distance,
+    "exact_median": exact_median,
     "pearson_pairs": pearson_pairs,
     "pearson_embeddings": pearson_embeddings,
     "spearman_pairs": spearman_pairs,

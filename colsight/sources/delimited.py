@@ -59,7 +59,10 @@ def check_suffix(path: str) -> None:
 def pick_delimiter(lines: list[str]) -> str:
     """The delimiter that splits the first lines most consistently into most fields."""
     def quality(sep: str) -> tuple[float, int]:
-        widths = [len(row) for row in csv.reader(lines, delimiter=sep) if row]
+        try:
+            widths = [len(row) for row in csv.reader([line + "\n" for line in lines], delimiter=sep) if row]
+        except csv.Error:  # a quoted cell that this delimiter would split
+            return (-1.0, 0)
         if not widths or widths[0] < 2:
             return (-1.0, 0)
         return (sum(w == widths[0] for w in widths) / len(widths), widths[0])
