@@ -336,6 +336,48 @@ def profile_numeric(
     )
 
 
+def _quartile_facts(counts: DataFrame, kinds: list[ColumnKind]) -> dict[int, dict]:
+    """Facts, quartiles and median of usable columns by selection, without ranking."""
+    facts = {r["pos"]: r.asDict() for r in numeric_facts(counts).collect() if r["count"]}
+    known = {p: ranking.Extent(m["count"], m["distinct"], m["min"], m["max"]) for p, m in facts.items()}
+    points = {"p25": 0.25, "p75": 0.75, "median": 0.5}
+    ranks = {p: {r for q in points.values() for r in ranking.quantile_ranks(m["count"], q)} for p, m in facts.items()}
+    at = ranking.order_statistics(counts.where(F.col("value").isNotNull()), ranks, known)
+    for k in kinds:
+        if k.position in facts:
+            m = facts[k.position]
+            m["name"] = k.name
+            for name, q in points.items():
+                m[name] = ranking.quantile_from(at, k.position, m["count"], q)
+            m["iqr"] = m["p75"] - m["p25"]
+    return facts
+
+
+def histograms(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
+    """Only the histograms: ``(name, bin, bin_lo, bin_hi, cnt)``, empty bins kept."""
+    return _spread_only(df, kinds)[0]
+
+
+def robust_outliers(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
+    """Only the most extreme robust outliers: ``(name, rank, value, z)``."""
+    return _spread_only(df, kinds)[1]
+
+
+def _spread_only(df: DataFrame, kinds: list[ColumnKind]) -> tuple[DataFrame, DataFrame]:
+    everything = ranking.hold(numeric_counts(df, kinds))
+    try:
+        facts = _quartile_facts(everything, kinds)
+        counts = everything.where(F.col("value").isNotNull())
+        bins, spots = [], []
+        if facts:
+            _fill_mad(counts, facts, MAD_SCALE)
+            bins, spots = _fill_spread(counts, facts)
+    finally:
+        everything.unpersist()
+    spark = df.sparkSession
+    return small_table(spark, bins, HISTOGRAM_SCHEMA), small_table(spark, spots, OUTLIER_SCHEMA)
+
+
 def _fill_moments(counts: DataFrame, usable: dict[int, dict]) -> None:
     for r in central_moments(counts, {p: m["mean"] for p, m in usable.items()}).collect():
         m = usable[r["pos"]]
@@ -495,16 +537,15 @@ def gap_table(
     inside = placed.withColumn(
         "gap", F.col("value") - F.lag("value").over(Window.partitionBy("pos", "bucket").orderBy("value"))
     )
-    edges = placed.groupBy("pos", "bucket").agg(F.min("value").alias("head"), F.max("value").alias("tail"))
-    between = edges.withColumn(
-        "gap", F.col("head") - F.lag("tail").over(Window.partitionBy("pos").orderBy("bucket"))
-    )
-    stacked = (
-        inside.select("pos", F.col("gap").alias("value"), F.lit(1).cast("bigint").alias("cnt"))
-        .unionByName(between.select("pos", F.col("gap").alias("value"), F.lit(1).cast("bigint").alias("cnt")))
-        .unionByName(placed.where(F.col("cnt") > 1).select(
-            "pos", F.lit(0).cast("bigint").alias("value"), (F.col("cnt") - 1).alias("cnt")))
-    )
+    once, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    # a gap to the instant before, and one gap of zero per repetition
+    stacked = inside.select("pos", F.inline(F.array(
+        F.struct(F.col("gap").alias("value"), once.alias("cnt")), F.struct(none.alias("value"), (F.col("cnt") - 1).alias("cnt"))
+    ))).where(F.col("cnt") > 0)
+    if max((d for _, d in sizes.values()), default=0) > bucket_values:
+        edges = placed.groupBy("pos", "bucket").agg(F.min("value").alias("head"), F.max("value").alias("tail"))
+        before = F.lag("tail").over(Window.partitionBy("pos").orderBy("bucket"))
+        stacked = stacked.unionByName(edges.select("pos", (F.col("head") - before).alias("value"), once.alias("cnt")))
     return ranking.count_values(stacked, F.col("cnt"))
 
 

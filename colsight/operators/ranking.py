@@ -59,6 +59,16 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Give a narrow input (say, one file with one row group) a task per core.
+
+    Worth one shuffle only for rows that are then read many times; an input that
+    already has enough partitions is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def column_sizes(counts: DataFrame) -> dict[int, tuple[int, int]]:
     """pos -> (rows, distinct values); one small row per column reaches the driver."""
     found = counts.groupBy("pos").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("d"))
@@ -264,6 +274,18 @@ def median_ranks(n: int) -> tuple[int, int]:
     return (n - 1) // 2, n // 2
 
 
+def quantile_ranks(n: int, q: float) -> tuple[int, int]:
+    """0-based positions of the order statistics around a quantile."""
+    at = (n - 1) * q
+    return math.floor(at), math.ceil(at)
+
+
+def quantile_from(at: dict[tuple[int, int], float], pos: int, n: int, q: float) -> float:
+    """Linear interpolation between selected order statistics."""
+    lo, hi = (at[pos, rank] for rank in quantile_ranks(n, q))
+    return lo + (hi - lo) * ((n - 1) * q - math.floor((n - 1) * q))
+
+
 def medians(weighted: DataFrame, known: dict[int, Extent] | None = None) -> dict[int, float]:
     """The exact median of each column."""
     known = known or extents(weighted)

@@ -11,8 +11,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +44,9 @@ COLLINEAR_LOGISTIC = "Feature columns are too collinear to compute reliable stan
 # --- end of fixed values -----------------------------------------------------
 
 CONDITION_LIMIT = 1e12
+MAX_NEWTON = 30
+NEWTON_STEP = 1e-7  # in standard deviations of the features
+NEWTON_GAIN = 1e-13
 PAIRS_PER_SCAN = 60
 PRODUCTS_PER_SCAN = 80
 # A rank table up to this many values (about 16 MB) is broadcast; larger ones shuffle.
@@ -79,7 +80,7 @@ def numeric_frame(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
 
 
 def _pair_correlations(df: DataFrame, columns: dict[tuple[int, int], tuple[str, str]]) -> DataFrame:
-    """``corr`` and complete-row count of the given column pairs, many per scan."""
+    """Correlation and complete-row count of the given column pairs, many per scan."""
     pairs = list(columns)
     out = None
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
@@ -87,8 +88,10 @@ def _pair_correlations(df: DataFrame, columns: dict[tuple[int, int], tuple[str,
         for i, j in pairs[start:start + PAIRS_PER_SCAN]:
             a, b = F.col(columns[i, j][0]), F.col(columns[i, j][1])
             n = F.count_if(a.isNotNull() & b.isNotNull())
-            r = F.corr(a, b)
-            r = F.when((n >= MIN_PAIR_ROWS) & ~F.isnan(r), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+            # corr() fails on a constant column in ANSI mode; the quotient is NULL instead
+            spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+            r = F.try_divide(F.covar_pop(a, b), spread)
+            r = F.when((n >= MIN_PAIR_ROWS) & r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
             cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), r.alias("r"), n.alias("n")))
         part = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
         out = part if out is None else out.unionByName(part)
@@ -407,7 +410,7 @@ def solve_logistic(df: DataFrame, kinds: list[ColumnKind], target: ColumnKind) -
         typed_cell(df, target).cast("int").alias("label"),
         *[typed_cell(df, k).alias(c) for k, c in zip(of_kind(kinds, "numeric"), cols)],
     ).na.drop()
-    rows = ranking.hold(rows)
+    rows = ranking.hold(ranking.spread_out(rows))
     try:
         sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones")).first()
         n, ones = sizes["n"], sizes["ones"] or 0
@@ -423,27 +426,14 @@ def solve_logistic(df: DataFrame, kinds: list[ColumnKind], target: ColumnKind) -
             return _skipped_model(target.name, "logistic", ALL_CONSTANT), []
         if _invert_scaled(moments.products[np.ix_(active, active)]) is None:
             return _skipped_model(target.name, "logistic", COLLINEAR_LOGISTIC), []
-        scaled = [
-            ((F.col(cols[i]) - F.lit(float(moments.means[i]))) / F.lit(float(sd[i]))).alias(cols[i]) for i in active
-        ]
-        features = VectorAssembler(inputCols=[cols[i] for i in active], outputCol="features")
-        fit = GeneralizedLinearRegression(
-            family="binomial", link="logit", labelCol="label", maxIter=50, tol=1e-10
-        ).fit(features.transform(rows.select(label.cast("double"), *scaled)))
-        beta, base = fit.coefficients.toArray(), float(fit.intercept)
-
         z = [(F.col(cols[i]) - F.lit(float(moments.means[i]))) / F.lit(float(sd[i])) for i in active]
-        linear = F.lit(base)
-        for b, cell in zip(beta, z):
-            linear = linear + F.lit(float(b)) * cell
-        probability = 1.0 / (1.0 + F.exp(-linear))
-        information = _fisher_matrix(rows, probability, z)
-        try:
-            covariance = np.linalg.inv(information)
-        except np.linalg.LinAlgError:
+        design = rows.select("label", *[c.alias(f"x{i}") for i, c in enumerate(z)])
+        fit = fit_logit(design, len(active), math.log(ones / (n - ones)))
+        if fit is None:
             return _skipped_model(target.name, "logistic", COLLINEAR_LOGISTIC), []
-        error = np.sqrt(np.maximum(np.diag(covariance), 0.0))[1:]
-        quality = auc_and_accuracy(rows, probability, label).first()
+        base, beta = float(fit.beta[0]), fit.beta[1:]
+        error = np.sqrt(np.maximum(np.diag(fit.covariance), 0.0))[1:]
+        quality = auc_and_accuracy(design, logit_probability(fit.beta), label).first()
     finally:
         rows.unpersist()
     out = []
@@ -459,20 +449,74 @@ def solve_logistic(df: DataFrame, kinds: list[ColumnKind], target: ColumnKind) -
     return model, _ranked_coefficients(target.name, "logistic", out)
 
 
-def _fisher_matrix(rows: DataFrame, probability: Column, cells: list[Column]) -> np.ndarray:
-    """Sum of p(1-p) times the outer product of (1, cells); probabilities floored."""
-    p = F.greatest(F.lit(PROBABILITY_FLOOR), F.least(F.lit(1.0 - PROBABILITY_FLOOR), probability))
-    design = [F.lit(1.0), *[F.col(f"x{i}") for i in range(len(cells))]]
-    weighed = rows.select((p * (1.0 - p)).alias("w"), *[c.alias(f"x{i}") for i, c in enumerate(cells)])
-    k = len(design)
+@dataclass
+class LogitFit:
+    beta: np.ndarray
+    covariance: np.ndarray
+    converged: bool
+
+
+def logit_probability(beta: np.ndarray) -> Column:
+    """Fitted probability from the standardised design columns x0, x1, ..."""
+    linear = F.lit(float(beta[0]))
+    for i, b in enumerate(beta[1:]):
+        linear = linear + F.lit(float(b)) * F.col(f"x{i}")
+    return 1.0 / (1.0 + F.exp(-linear))
+
+
+def _logit_sums(design: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, gradient and Fisher information at ``beta``; one scan per block of sums."""
+    k = len(beta)
+    p = F.greatest(F.lit(PROBABILITY_FLOOR), F.least(F.lit(1.0 - PROBABILITY_FLOOR), F.col("p")))
+    staged = design.withColumn("p", logit_probability(beta)).select(
+        "*", (F.col("label") - F.col("p")).alias("e"), (p * (1.0 - p)).alias("w"),
+        F.log(F.when(F.col("label") == 1, p).otherwise(1.0 - p)).alias("l"),
+    )
+    term = [F.lit(1.0), *[F.col(f"x{i}") for i in range(k - 1)]]
     spots = [(i, j) for i in range(k) for j in range(i, k)]
-    out = np.zeros((k, k))
-    for start in range(0, len(spots), PRODUCTS_PER_SCAN):
-        block = spots[start:start + PRODUCTS_PER_SCAN]
-        sums = weighed.agg(*[F.sum(F.col("w") * design[i] * design[j]).alias(f"s{m}") for m, (i, j) in enumerate(block)]).first()
-        for m, (i, j) in enumerate(block):
-            out[i, j] = out[j, i] = sums[m]
-    return out
+    wanted = [F.sum("l"), *[F.sum(F.col("e") * t) for t in term], *[F.sum(F.col("w") * term[i] * term[j]) for i, j in spots]]
+    sums: list[float] = []
+    for start in range(0, len(wanted), PRODUCTS_PER_SCAN):
+        sums += staged.agg(*[c.alias(f"s{m}") for m, c in enumerate(wanted[start:start + PRODUCTS_PER_SCAN])]).first()
+    information = np.zeros((k, k))
+    for value, (i, j) in zip(sums[1 + k:], spots):
+        information[i, j] = information[j, i] = value
+    return sums[0], np.array(sums[1:1 + k]), information
+
+
+def fit_logit(design: DataFrame, features: int, start: float) -> LogitFit | None:
+    """Newton's method on aggregate sums; None when the information is singular.
+
+    Each step is one pass over the held rows. Steps that lower the likelihood are
+    halved. Under separation the estimates grow without bound, so the loop ends on
+    a flat likelihood or the step limit, as any unpenalised fit must.
+    """
+    beta = np.zeros(features + 1)
+    beta[0] = start
+    level, gradient, information = _logit_sums(design, beta)
+    converged = False
+    for _ in range(MAX_NEWTON):
+        try:
+            step = np.linalg.solve(information, gradient)
+        except np.linalg.LinAlgError:
+            return None
+        for _ in range(8):
+            trial = beta + step
+            found = _logit_sums(design, trial)
+            if found[0] >= level - 1e-12 * abs(level):
+                break
+            step = step / 2.0
+        else:
+            break
+        gain, level, gradient, information = found[0] - level, *found
+        beta = trial
+        if np.max(np.abs(step)) < NEWTON_STEP or gain <= NEWTON_GAIN * abs(level):
+            converged = True
+            break
+    try:
+        return LogitFit(beta, np.linalg.inv(information), converged)
+    except np.linalg.LinAlgError:
+        return None
 
 
 def logistic_models(df: DataFrame, kinds: list[ColumnKind]) -> tuple[DataFrame, DataFrame]:

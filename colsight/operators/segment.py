@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from colsight.functions.tables import small_table
 from colsight.operators.kinds import ColumnKind, of_kind, typed_cell
-from colsight.operators.ranking import hold
+from colsight.operators.ranking import hold, spread_out
 
 # --- fixed values: limits, seed, labels and reasons --------------------------
 K_MIN, K_MAX = 2, 8
@@ -329,7 +329,7 @@ def _segment_rows(rows: DataFrame, scaling: Scaling, metric: str) -> Segments:
     spark = rows.sparkSession
     z = [f"z{i}" for i in range(len(scaling.names))]
     assembler = VectorAssembler(inputCols=z, outputCol="features")
-    points = hold(assembler.transform(rows.select("*", *scaled_cells(scaling))))
+    points = hold(spread_out(assembler.transform(rows.select("*", *scaled_cells(scaling)))))
     try:
         model, score, candidates = choose_k(points, scaling, metric)
         raw = model.transform(points).withColumnRenamed(model.getPredictionCol(), "cluster")

@@ -119,18 +119,18 @@ def gini(spark, sf_dir):
 def histogram(spark, sf_dir):
     a = load(spark, sf_dir, "lineitem").select("l_extendedprice")
     b = load(spark, sf_dir, "part").select("p_size")
-    parts = [P.profile_numeric(d, by_schema(d), normality=False).histogram for d in (a, b)]
+    parts = [P.histograms(d, by_schema(d)) for d in (a, b)]
     return out(parts[0].unionByName(parts[1]))
 
 
 def histogram_bars(spark, sf_dir):
     d = load(spark, sf_dir, "orders").select("o_totalprice")
-    return out(charts.histogram_bars(P.profile_numeric(d, by_schema(d), normality=False).histogram))
+    return out(charts.histogram_bars(P.histograms(d, by_schema(d))))
 
 
 def outliers_top50(spark, sf_dir):
     d = load(spark, sf_dir, "events").select("value")
-    return out(P.profile_numeric(d, by_schema(d), normality=False).outliers)
+    return out(P.robust_outliers(d, by_schema(d)))
 
 
 def normality(spark, sf_dir):
