@@ -59,16 +59,6 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Give a narrow input (say, one file with one row group) a task per core.
-
-    Worth one shuffle only for rows that are then read many times; an input that
-    already has enough partitions is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def column_sizes(counts: DataFrame) -> dict[int, tuple[int, int]]:
     """pos -> (rows, distinct values); one small row per column reaches the driver."""
     found = counts.groupBy("pos").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("d"))
