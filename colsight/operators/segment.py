@@ -35,6 +35,8 @@ NO_FIT = "Could not fit any k between K_MIN and K_MAX."
 # --- end of fixed values -----------------------------------------------------
 
 MAX_ITERATIONS = 100
+RESTARTS = 3
+PARALLEL_FITS = 8
 # Stop once no centre moves further than this many standard deviations.
 CENTER_SHIFT = 3e-3
 # All-pairs Euclidean silhouettes are used up to this many rows (one bounded matrix per
@@ -176,8 +178,8 @@ def sampled_silhouette(
 # ----- k-means ---------------------------------------------------------------
 
 
-def fit_kmeans(points: DataFrame, k: int):
-    return KMeans(k=k, seed=SEED, initMode="k-means||", maxIter=MAX_ITERATIONS, tol=CENTER_SHIFT,
+def fit_kmeans(points: DataFrame, k: int, restart: int = 0):
+    return KMeans(k=k, seed=SEED + restart, initMode="k-means||", maxIter=MAX_ITERATIONS, tol=CENTER_SHIFT,
                   featuresCol="features", predictionCol=f"k{k}").fit(points)
 
 
@@ -195,9 +197,14 @@ def choose_k(points: DataFrame, scaling: Scaling, metric: str = "auto"):
         except Exception:  # noqa: BLE001  one group only: no silhouette for this k
             return None
 
-    # independent jobs over the same held rows, submitted side by side
-    with ThreadPool(len(ks)) as pool:
-        models = dict(zip(ks, pool.map(threaded(lambda k: fit_kmeans(points, k)), ks)))
+    # independent jobs over the same held rows, submitted side by side; one start can end in
+    # a poor optimum that depends on the partitioning, so the tightest of a few is kept
+    starts = [(k, restart) for k in ks for restart in range(RESTARTS)]
+    models: dict[int, object] = {}
+    with ThreadPool(min(PARALLEL_FITS, len(starts))) as pool:
+        for (k, _), model in zip(starts, pool.map(threaded(lambda s: fit_kmeans(points, *s)), starts)):
+            if k not in models or model.summary.trainingCost < models[k].summary.trainingCost:
+                models[k] = model
         labelled = points
         for model in models.values():
             labelled = model.transform(labelled)
