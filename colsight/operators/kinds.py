@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -173,12 +172,3 @@ def typed_cell(df: DataFrame, kind: ColumnKind) -> Column:
 def apply_kinds(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     """The typed table: double, timestamp_ntz, boolean or text per column."""
     return df.select(*[typed_cell(df, k).alias(k.name) for k in kinds])
-
-
-def kinds_in_order(kinds: list[ColumnKind]) -> list[ColumnKind]:
-    """Grouped by kind in the fixed order of ``KINDS``, source order inside."""
-    return sorted(kinds, key=lambda k: (KINDS.index(k.kind), k.position))
-
-
-def vote_threshold(n: int) -> int:
-    return math.ceil(n * VOTE_SHARE)

@@ -246,7 +246,9 @@ def order_statistics(
         if small:
             bin_key = F.col("value")
         else:
-            scaled = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(SELECT_BINS))
+            # halves first: the full width of a column may exceed the largest double
+            part = (F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+            scaled = part * F.lit(float(SELECT_BINS))
             bin_key = F.least(F.floor(scaled), F.lit(SELECT_BINS - 1))
         cells = inside.groupBy("pos", "rank", bin_key.alias("bin")).agg(
             F.min("value").alias("lo"), F.max("value").alias("hi"),

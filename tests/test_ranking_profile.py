@@ -39,7 +39,8 @@ def test_rank_equals_sorted_position(spark, partitions, bucket_values):
 def test_selection_equals_sorting(spark, monkeypatch):
     monkeypatch.setattr(R, "SELECT_ROWS", 20)
     rng = np.random.default_rng(1)
-    columns = {0: rng.lognormal(sigma=6, size=3000), 1: np.repeat([1.0, 2.0, 9.0], 500), 2: np.array([4.0])}
+    columns = {0: rng.lognormal(sigma=6, size=3000), 1: np.repeat([1.0, 2.0, 9.0], 500), 2: np.array([4.0]),
+               3: np.concatenate([[-1.5e308, 1.5e308], np.arange(99.0)])}
     rows = [(p, float(v), 1) for p, vs in columns.items() for v in vs]
     df = R.hold(spark.createDataFrame(rows, "pos int, value double, cnt bigint"))
     got = R.medians(df)
