@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.llm.shared import Links, components, cut
@@ -176,15 +176,16 @@ def _linked(sets: list[np.ndarray], percent: int, links: Links, rows: np.ndarray
             links.join(every[left[x]], every[right[y]])
 
 
-def _compare(percent: int):
+def _compare(words: int, percent: int):
     """Links inside each key of rows sorted by key: (node, a node that it reaches)."""
 
-    def finish(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame | None:
+    def finish(rows: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame | None:
+        rows = [r for r in rows if len(r[2])]
         if len(rows) < 2:
             return None
         node = np.array([r[0] for r in rows], np.int64)
         tile = np.array([r[1] for r in rows])
-        sets = [np.frombuffer(r[2], U) for r in rows]
+        sets = [r[2] for r in rows]
         links = Links(len(rows))
         if (tile == tile[0]).all():
             _linked(sets, percent, links, np.arange(len(rows)), None)
@@ -197,27 +198,20 @@ def _compare(percent: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows = None, []
         for f in frames:
-            for k1, k2, node, tile, own in zip(f["k1"], f["k2"], f["node"], f["tile"], f["shingles"], strict=True):
-                if (k1, k2) != key:
-                    if (out := finish(rows)) is not None:
-                        yield out
-                    key, rows = (k1, k2), []
-                rows.append((node, tile, own))
+            for first, sets in shingle_sets(pa.array(f["text"], pa.string()), words):
+                part = f.iloc[first : first + len(sets)]
+                for k1, k2, node, tile, own in zip(part["k1"], part["k2"], part["node"], part["tile"], sets, strict=True):
+                    if (k1, k2) != key:
+                        if (out := finish(rows)) is not None:
+                            yield out
+                        key, rows = (k1, k2), []
+                    rows.append((node, tile, own))
         if (out := finish(rows)) is not None:
             yield out
 
     return run
 
 
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, sets in shingle_sets(batch.column(1), n):
-                yield pa.record_batch([batch.column(0).slice(first, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
-
-    return run
-
-
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles``, and ``component_id``, the smallest id reachable by links.
 
@@ -245,25 +239,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = entries.repartition("token", "part").sortWithinPartitions("token", "part", "print", "n")
     lists = cut(entries.mapInArrow(_shared_lists, "token long, print long, n long, place long"))
 
+    # a set's popularity: the lengths of the lists it is in
+    by_token, by_set = Window.partitionBy("token"), Window.partitionBy("print", "n")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("print", "n").agg(F.min("id").alias("node"))
-    lists = lists.join(classes, ["print", "n"]).select("token", "node", "n", "place")
-    length = lists.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
-    lists = cut(lists.join(length, "token"))
-    popular = lists.groupBy("node").agg(F.sum("length").alias("popular"))
-    ranked = lists.join(popular, "node")
-    best = ranked.groupBy("token").agg(F.max(F.struct("popular", "node", "n", "place")).alias("best"))
+    lists = lists.withColumn("length", F.count("*").over(by_token)).where("length > 1")
+    lists = lists.join(classes, ["print", "n"]).withColumn("popular", F.sum("length").over(by_set))
+    lists = cut(lists.select("token", "node", "n", "place", "popular"))
 
     def may(a: str, b: str):
         """Whether the sizes and positions of a shared shingle still allow the threshold."""
         n1, n2, p1, p2 = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}place", f"{b}place"))
         return (100 + percent) * (1 + F.least(n1 - 1 - p1, n2 - 1 - p2)) >= percent * (n1 + n2)
 
-    votes = lists.join(best, "token").where("node <> best.node").where(may("", "best."))
+    best = F.max(F.struct("popular", "node", "n", "place")).over(by_token)
+    votes = lists.withColumn("best", best).where("node <> best.node").where(may("", "best."))
     votes = votes.groupBy("node", F.col("best.node").alias("other")).agg(F.count("*").alias("votes"), F.max("best.popular").alias("popular"))
     pointers = cut(votes.groupBy("node").agg(F.max(F.struct("votes", "popular", "other")).alias("top")).select("node", F.col("top.other").alias("other")))
     grouped = cut(components(pointers, "node", "other").select("node", F.col("component").alias("root")))
 
-    left = lists.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = lists.select("token", "node", "n", "place").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = cut(left.withColumn("mixed", F.min("root").over(by_token) != F.max("root").over(by_token)).where("mixed").drop("mixed"))
     right = left.select("token", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "place", "root")))
     cross = left.join(right, "token").where("node < other_node AND root <> other_root").where(may("", "other_")).select("node", "other_node").distinct()
     cross = cut(cross)
@@ -277,10 +272,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = cross.select(F.explode(F.array("node", "other_node")).alias("node"), F.col("node").alias("k1"), F.col("other_node").cast("string").alias("k2"), F.lit(0).alias("tile"))
     wanted = cut(members.unionByName(pairs))
 
-    texts = docs.join(wanted.select(F.col("node").alias("id")).distinct(), "id")
-    sets = texts.mapInArrow(_sets(words), "node long, shingles binary")
-    compared = wanted.join(sets, "node").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "tile", "node")
-    links = compared.mapInPandas(_compare(percent), "u long, v long")
+    texts = wanted.join(docs, wanted["node"] == docs["id"]).select("k1", "k2", "tile", "node", "text")
+    links = texts.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "tile", "node").mapInPandas(_compare(words, percent), "u long, v long")
     found = components(links)
     named = rows.join(classes, ["print", "n"], "left").join(found, "node", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))

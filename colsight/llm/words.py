@@ -61,12 +61,12 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
         first = last
 
 
-def split(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(offs: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row where its words begin among them (one entry more than rows)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offs), np.int64)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     rows = offs[:-1][offs[:-1] < len(data)]
