@@ -3,18 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colsight.llm.jaccard import jaccard_groups
+from colsight.llm.pii import PII_SQL, pii_digest
+from colsight.llm.quality import REJECT_BELOW, fit_quality, held_out, score_quality
+from colsight.llm.secrets import SECRETS_SQL, secret_digest
+from colsight.llm.vectors import near_vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document by a model of the labels that are not held out."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= REJECT_BELOW).cast("int").alias("predicted"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return jaccard_groups(_read(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii_digest(_read(spark, sf_dir, "documents"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secret_digest(_read(spark, sf_dir, "documents"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op5_ngram_jaccard_join, op7_pii, op8_secret_scans, op9_embedding_near_dedup)}
+ORACLES: dict[str, str] = {"op7_pii": PII_SQL, "op8_secret_scans": SECRETS_SQL}
