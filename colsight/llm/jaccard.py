@@ -1,7 +1,7 @@
 """Exact set-similarity join of word shingles by relations between sets.
 
-1. Index lists. Shingles are ordered with the frequent ones last; two sets above the threshold share one of the first few.
-   Only those go into the index, with their position in the set. Lists of one set are dropped as they are made.
+1. Index lists. Shingles are ordered with the frequent ones last; two sets above the threshold share several of the first
+   few. Only those go into the index, with their position in the set. Lists of one set are dropped as they are made.
 2. Answers from similar sets. In each list every set points to its most popular fellow. Sets joined by pointers, mostly
    copies of one text, are compared together: what all of them hold is counted once, and only the differences are
    multiplied out, block by block. Blocks whose sets are linked already are skipped.
@@ -31,6 +31,8 @@ FREQUENT_ROWS = 200_000
 """Frequent shingles that are sent to the tasks, the most frequent ones."""
 LIST_ROWS = 4096
 """Sets of a frequent shingle that stand in one part of its list."""
+HITS = 4
+"""Shingles that two linked sets surely share among their first ones (or all, if they have fewer)."""
 TILE_SETS, TILE_SHINGLES = 2048, 2_000_000
 """Sets and shingles of a tile of a group; larger groups are compared tile by tile."""
 
@@ -91,7 +93,7 @@ def _entries(n: int, percent: int, often):
                     if not m or (p := _print(own), m) in seen:
                         continue
                     seen.add((p, m))
-                    first = m - (percent * m + 99) // 100 + 1
+                    first = min(m, m - (percent * m + 99) // 100 + HITS)
                     doubt = np.flatnonzero(maybe[(own >> U(44)).astype(np.int64)])
                     late = np.searchsorted(value, own[doubt])
                     hit = (late < len(value)) & (value[np.minimum(late, len(value) - 1)] == own[doubt]) if len(value) else np.zeros(len(doubt), bool)
@@ -239,29 +241,35 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = entries.repartition("token", "part").sortWithinPartitions("token", "part", "print", "n")
     lists = cut(entries.mapInArrow(_shared_lists, "token long, print long, n long, place long"))
 
+    def enough(hits: str, a: str, b: str):
+        """Whether two sets share as many of their first shingles as linked ones must."""
+        return F.col(hits) >= F.least(F.lit(HITS), *(F.ceil(F.col(n) * percent / 100) for n in (a, b)))
+
     # a set's popularity: the lengths of the lists it is in
     by_token, by_set = Window.partitionBy("token"), Window.partitionBy("print", "n")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("print", "n").agg(F.min("id").alias("node"))
     lists = lists.withColumn("length", F.count("*").over(by_token)).where("length > 1")
     lists = lists.join(classes, ["print", "n"]).withColumn("popular", F.sum("length").over(by_set))
+    lists = lists.withColumn("shared", F.count("*").over(by_set)).where(enough("shared", "n", "n"))
     lists = cut(lists.select("token", "node", "n", "place", "popular"))
 
     def may(a: str, b: str):
         """Whether the sizes and positions of a shared shingle still allow the threshold."""
         n1, n2, p1, p2 = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}place", f"{b}place"))
-        return (100 + percent) * (1 + F.least(n1 - 1 - p1, n2 - 1 - p2)) >= percent * (n1 + n2)
+        return (100 + percent) * (HITS + F.least(n1 - 1 - p1, n2 - 1 - p2)) >= percent * (n1 + n2)
 
     best = F.max(F.struct("popular", "node", "n", "place")).over(by_token)
     votes = lists.withColumn("best", best).where("node <> best.node").where(may("", "best."))
-    votes = votes.groupBy("node", F.col("best.node").alias("other")).agg(F.count("*").alias("votes"), F.max("best.popular").alias("popular"))
-    pointers = cut(votes.groupBy("node").agg(F.max(F.struct("votes", "popular", "other")).alias("top")).select("node", F.col("top.other").alias("other")))
+    votes = votes.groupBy("node", F.col("best.node").alias("other")).agg(F.count("*").alias("votes"), F.max("best.popular").alias("popular"), F.first("n").alias("n"), F.first("best.n").alias("m"))
+    pointers = cut(votes.where(enough("votes", "n", "m")).groupBy("node").agg(F.max(F.struct("votes", "popular", "other")).alias("top")).select("node", F.col("top.other").alias("other")))
     grouped = cut(components(pointers, "node", "other").select("node", F.col("component").alias("root")))
 
     left = lists.select("token", "node", "n", "place").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = cut(left.withColumn("mixed", F.min("root").over(by_token) != F.max("root").over(by_token)).where("mixed").drop("mixed"))
     right = left.select("token", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "place", "root")))
-    cross = left.join(right, "token").where("node < other_node AND root <> other_root").where(may("", "other_")).select("node", "other_node").distinct()
-    cross = cut(cross)
+    cross = left.join(right, "token").where("node < other_node AND root <> other_root").where(may("", "other_"))
+    cross = cross.groupBy("node", "other_node").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("other_n").alias("m"))
+    cross = cut(cross.where(enough("hits", "n", "m")).select("node", "other_node"))
 
     size = classes.select("node", "n")
     members = grouped.join(size, "node")
