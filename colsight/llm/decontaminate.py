@@ -6,7 +6,7 @@ shares of the item's own score; an item is retrieved where its impacts reach ``s
 sum of its terms' largest impacts stays below that, then block by block of items with the block's largest impacts, and
 only then scored item by item. What is retrieved counts if its question part and its answer part overlap the passage.
 
-Words are runs of letters, digits and bytes beyond ASCII; A-Z count as a-z. An item's answer is its last line, or the last
+Words are runs of lower-cased letters, digits and bytes beyond ASCII. An item's answer is its last line, or the last
 third of its words where it has one line; the question is the rest.
 """
 
@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsight.llm.words import SPACE, chunks, grams, hashes, short, split
+from colsight.llm.words import SPACE, chunks, grams, hashes, split
 
 K1, B = 1.2, 0.75
 SHARE = 0.4
@@ -48,20 +49,23 @@ class Index:
     block_at: np.ndarray
     blocks: np.ndarray
     block_impacts: np.ndarray
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
+    run_words: np.ndarray
+    question: tuple[np.ndarray, ...]
+    answer: tuple[np.ndarray, ...]
 
 
-def _own_grams(word: np.ndarray) -> np.ndarray:
-    if not len(word):
-        return word
-    return np.unique(grams(word, GRAM_WORDS)) if len(word) >= GRAM_WORDS else short(word)
+def _parts(word: np.ndarray, answer: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of words of the question, and those that reach into the answer; of a shorter item, all its words."""
+    n = min(GRAM_WORDS, len(word))
+    run = grams(word, n)
+    asks = np.arange(len(run)) + n <= answer
+    return np.unique(run[asks]), np.unique(run[~asks])
 
 
 def build_index(ids: list[int], texts: list[str]) -> Index | None:
     """The index of the items that have words; None if none has."""
     words, cut_at = [], []
-    for _, offs, data in chunks(pa.array(texts, pa.string())):
+    for _, offs, data in chunks(pc.utf8_lower(pa.array(texts, pa.string()))):
         starts, ends, at = split(offs, data, BETWEEN)
         word = hashes(data, starts, ends)
         for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
@@ -91,7 +95,7 @@ def build_index(ids: list[int], texts: list[str]) -> Index | None:
         np.array([ids[i] for i in keep], np.int64), max(32, int(size.max())), terms, np.maximum.reduceat(impact, np.searchsorted(where, np.arange(len(terms)))),
         np.searchsorted(where, np.arange(len(terms) + 1)), item, impact,
         np.searchsorted(key // (len(bags) // BLOCK_ITEMS + 1), np.arange(len(terms) + 1)), key % (len(bags) // BLOCK_ITEMS + 1), np.maximum.reduceat(impact, first),
-        [_own_grams(w[:c]) for w, c in zip(words, cut_at, strict=True)], [_own_grams(w[c:]) for w, c in zip(words, cut_at, strict=True)],
+        np.minimum(size, GRAM_WORDS), *zip(*(_parts(w, c) for w, c in zip(words, cut_at, strict=True)), strict=True),
     )
 
 
@@ -153,7 +157,7 @@ def _matches(index: Index, offs: np.ndarray, data: np.ndarray, share: float) ->
             s = some[p]
             row = int(text[s])
             first = at[row] + (s - base[row]) * index.stretch
-            here = grams(word[first : min(first + 2 * index.stretch, at[row + 1])], GRAM_WORDS)
+            here = grams(word[first : min(first + 2 * index.stretch, at[row + 1])], int(index.run_words[item]))
             q, a = index.question[item], index.answer[item]
             in_q, in_a = np.isin(q, here).sum(), np.isin(a, here).sum()
             over_q, over_a = in_q / max(1, len(q)), in_a / max(1, len(a))
@@ -193,7 +197,7 @@ def _judge(held, at: int, share: float):
         for batch in batches:
             *own, items, retrieved, score = batch.columns
             items, retrieved, score = items.to_pylist(), retrieved.to_pylist(), score.to_pylist()
-            for first, offs, data in chunks(batch.column(at)):
+            for first, offs, data in chunks(pc.utf8_lower(batch.column(at))):
                 seen: dict[int, set[int]] = {}
                 for row, item, share_, _, _, fits in _matches(index, offs, data, share):
                     i = first + row
