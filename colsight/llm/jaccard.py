@@ -2,11 +2,12 @@
 
 1. Index lists. Shingles are ordered with the frequent ones last; two sets above the threshold share several of the first
    few. Only those go into the index, with their position in the set. Lists of one set are dropped as they are made.
-2. Answers from similar sets. In each list every set points to its most popular fellow. Sets joined by pointers, mostly
-   copies of one text, are compared together: what all of them hold is counted once, and only the differences are
-   multiplied out, block by block. Blocks whose sets are linked already are skipped.
-3. Position skips. Sets that share a list without a pointer path are compared pair by pair, if list positions and sizes
-   still allow the threshold.
+2. Position skips. In each list every set points to its most popular fellow, if list positions and sizes still allow the
+   threshold; the trees of pointers are mostly copies of one text. Trees that share enough lists, by the bounds of their
+   positions and sizes, form a group. No pair of sets is written for this.
+3. Answers from similar sets. A group is compared as a whole: what all of its sets hold is counted once, and only the
+   differences are multiplied out, block by block in order of size. Blocks whose sets are linked already, or whose sizes
+   exclude links, are skipped.
 
 Equal sets are one class from the start; a set is named by a 64-bit fingerprint and its size. Frequent shingles (each task
 counts those met twice in a batch) only choose the order, so missing some changes no result.
@@ -144,6 +145,8 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _linked(sets: list[np.ndarray], percent: int, links: Links, rows: np.ndarray, cols: np.ndarray | None) -> None:
     """Link the sets with numbers ``rows`` among each other, or with those of ``cols``."""
+    by_size = lambda x: x[np.argsort([len(sets[i]) for i in x], kind="stable")]
+    rows, cols = by_size(rows), None if cols is None else by_size(cols)
     every = rows if cols is None else np.concatenate((rows, cols))
     token, where = np.unique(np.concatenate([sets[i] for i in every]), return_inverse=True)
     held = np.bincount(where, minlength=len(token))
@@ -162,7 +165,8 @@ def _linked(sets: list[np.ndarray], percent: int, links: Links, rows: np.ndarray
         for j in range(i if cols is None else 0, len(b), step):
             left, right = a[i : i + step], b[j : j + step]
             root = links.roots()[every[np.concatenate((left, right))]]
-            if (root == root[0]).all():
+            low, high = size[left], size[right]
+            if (root == root[0]).all() or 100 * low[-1] < percent * high[0] or 100 * high[-1] < percent * low[0]:
                 continue
             both = np.full((len(left), len(right)), common, np.float32)
             for k in range(0, width, 4096):
@@ -249,7 +253,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_token, by_set = Window.partitionBy("token"), Window.partitionBy("print", "n")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("print", "n").agg(F.min("id").alias("node"))
     lists = lists.withColumn("length", F.count("*").over(by_token)).where("length > 1")
-    lists = lists.join(classes, ["print", "n"]).withColumn("popular", F.sum("length").over(by_set))
+    lists = lists.join(classes.hint("merge"), ["print", "n"]).withColumn("popular", F.sum("length").over(by_set))
     lists = lists.withColumn("shared", F.count("*").over(by_set)).where(enough("shared", "n", "n"))
     lists = cut(lists.select("token", "node", "n", "place", "popular"))
 
@@ -264,12 +268,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pointers = cut(votes.where(enough("votes", "n", "m")).groupBy("node").agg(F.max(F.struct("votes", "popular", "other")).alias("top")).select("node", F.col("top.other").alias("other")))
     grouped = cut(components(pointers, "node", "other").select("node", F.col("component").alias("root")))
 
-    left = lists.select("token", "node", "n", "place").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = cut(left.withColumn("mixed", F.min("root").over(by_token) != F.max("root").over(by_token)).where("mixed").drop("mixed"))
-    right = left.select("token", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "place", "root")))
-    cross = left.join(right, "token").where("node < other_node AND root <> other_root").where(may("", "other_"))
-    cross = cross.groupBy("node", "other_node").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("other_n").alias("m"))
-    cross = cut(cross.where(enough("hits", "n", "m")).select("node", "other_node"))
+    # of each list one row per pointer tree, with the bounds of its sets' sizes and positions
+    trees = lists.select("token", "node", "n", "place").join(grouped.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    trees = trees.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("n"), F.min("place").alias("place"))
+    trees = cut(trees.withColumn("trees", F.count("*").over(by_token)).where("trees > 1").drop("trees"))
+    other = trees.select("token", *(F.col(c).alias(f"other_{c}") for c in ("root", "low", "n", "place")))
+    sizes_fit = (100 * F.col("n") >= percent * F.col("other_low")) & (100 * F.col("other_n") >= percent * F.col("low"))
+    room = HITS + F.least(F.col("n") - 1 - F.col("place"), F.col("other_n") - 1 - F.col("other_place"))
+    near = trees.join(other, "token").where("root < other_root").where(sizes_fit & ((100 + percent) * room >= percent * (F.col("low") + F.col("other_low"))))
+    near = near.groupBy("root", "other_root").agg(F.count("*").alias("hits"), F.min("low").alias("n"), F.min("other_low").alias("m")).where(enough("hits", "n", "m"))
+    bonds = grouped.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(near.select(F.col("root").alias("u"), F.col("other_root").alias("v")))
+    grouped = cut(components(bonds).select("node", F.col("component").alias("root")))
 
     size = classes.select("node", "n")
     members = grouped.join(size, "node")
@@ -277,10 +286,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = members.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     members = members.select("node", F.col("root").alias("k1"), F.concat_ws("-", F.lit("g"), F.least("tile", "o"), F.greatest("tile", "o")).alias("k2"), "tile")
-    pairs = cross.select(F.explode(F.array("node", "other_node")).alias("node"), F.col("node").alias("k1"), F.col("other_node").cast("string").alias("k2"), F.lit(0).alias("tile"))
-    wanted = cut(members.unionByName(pairs))
+    wanted = cut(members)
 
-    texts = wanted.join(docs, wanted["node"] == docs["id"]).select("k1", "k2", "tile", "node", "text")
+    texts = docs.join(wanted.hint("merge"), docs["id"] == wanted["node"]).select("k1", "k2", "tile", "node", "text")
     links = texts.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "tile", "node").mapInPandas(_compare(words, percent), "u long, v long")
     found = components(links)
     named = rows.join(classes, ["print", "n"], "left").join(found, "node", "left")
