@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # ---- fixed values: equivalent spellings, known notices and short licences (public texts) ----
 SPELLINGS = {
-    "licence": "license", "licences": "licenses", "licenced": "licensed", "copyrights": "copyright", "sub license": "sublicense",
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "copyrights": "copyright", "sublicence": "sublicense", "sub license": "sublicense",
     "non commercial": "noncommercial", "whilst": "while", "wilful": "willful", "acknowledgement": "acknowledgment", "http": "https",
 }
 NOTICES = {

@@ -10,6 +10,7 @@ Only the class counts (one row per class), the pattern plan and the rounding res
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ MOST_COLUMNS = 4000
 
 def encoder(path: str) -> WordValues:
     """Word values that are token ids. The tokenizer neither joins words over white space nor marks where they stand."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the task its core
     from tokenizers import Tokenizer
 
     held = Tokenizer.from_file(path)

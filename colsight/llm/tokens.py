@@ -14,7 +14,9 @@ import pyarrow as pa
 
 from colsight.llm.words import U, chunks, hashes, mix, split
 
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 150_000
+"""Words whose values a task keeps; beyond it the memory is emptied."""
+VALUED_AT_ONCE = 2000
 CASED = mix(np.arange(256, dtype=U) + U(0xA0761D6478BD642F))
 
 
@@ -37,7 +39,7 @@ class WordValues:
         if new:
             raw = data.tobytes()
             texts = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new].tolist()]
-            values = self.value(texts)
+            values = [v for i in range(0, len(texts), VALUED_AT_ONCE) for v in self.value(texts[i : i + VALUED_AT_ONCE])]
             size = np.fromiter(map(len, values), np.int64, len(values))
             self.flat = np.concatenate((self.flat, np.array([x for v in values for x in v], np.int32)))
             base = len(self.ends) - 1
