@@ -10,7 +10,6 @@ Only the class counts (one row per class), the pattern plan and the rounding res
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.llm.shared import cut
-from colsight.llm.tokens import WordValues
+from colsight.llm.tokens import word_ids
 
 LENGTH, STEP = 4096, 16
 END_ID = 2
@@ -30,15 +29,6 @@ MOST_COLUMNS = 4000
 """Columns that are priced in; stopping early leaves more to the rest, never a document out."""
 
 
-def encoder(path: str) -> WordValues:
-    """Word values that are token ids. The tokenizer neither joins words over white space nor marks where they stand."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the task its core
-    from tokenizers import Tokenizer
-
-    held = Tokenizer.from_file(path)
-    return WordValues(lambda words: [e.ids for e in held.encode_batch(words, add_special_tokens=False)])
-
-
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -102,7 +92,7 @@ def _pieces(tokenizer: str, end_id: int, length: int, step: int):
     """Pieces of each document: the full ones and the remainder, which gets a class and a rank among the task's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task_ranks = encoder(tokenizer), {}
+        encode, task_ranks = word_ids(tokenizer), {}
         for batch in batches:
             for first, rows in encode.rows(batch.column(1)):
                 out = []
@@ -200,7 +190,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Checksums of parts: rows of a text with all parts wanted of it."""
-        encode = encoder(tokenizer)
+        encode = word_ids(tokenizer)
         for batch in batches:
             cuts = batch.column(1).to_pylist()
             out = []

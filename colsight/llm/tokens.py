@@ -1,4 +1,4 @@
-"""Values of words, looked up once per task for each distinct word.
+"""Values of words, looked up once per task for each distinct word, and token ids as such values.
 
 Whitespace-separated words of a batch are numbered by hash; each new one is valued (encoded, counted) once and kept, up to
 a bound after which the memory is emptied.
@@ -6,6 +6,8 @@ a bound after which the memory is emptied.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,17 +16,44 @@ import pyarrow as pa
 
 from colsight.llm.words import U, chunks, hashes, mix, split
 
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 """Words whose values a task keeps; beyond it the memory is emptied."""
-VALUED_AT_ONCE = 2000
+VALUED_AT_ONCE = 10_000
+# fixed values of the public word tokenizer: its split (of lower-cased text) and its mark at the end of a split part
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PART_END = "</w>"
+LETTER, DIGIT, ODD = 1, 2, 3
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[48:58] = DIGIT
+KIND[[39, *range(128, 256)]] = ODD
 CASED = mix(np.arange(256, dtype=U) + U(0xA0761D6478BD642F))
 
 
+def is_odd(text: str) -> bool:
+    """Whether a word stays whole: with an apostrophe, beyond ASCII, or with what may begin a special token."""
+    return "'" in text or "<|" in text or not text.isascii()
+
+
+def parts(offs: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut into runs of letters, single digits and runs of others, except odd ones; as ``split`` returns them."""
+    kind = KIND[data]
+    odd = kind == ODD
+    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+    odd = np.concatenate(([0], np.cumsum(odd)))
+    whole = odd[ends] > odd[starts]
+    cuts = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) + 1
+    word = np.searchsorted(starts, cuts, "right") - 1
+    cuts = cuts[(word >= 0) & (cuts > starts[word]) & (cuts < ends[word]) & ~whole[word]]
+    starts, ends = np.sort(np.concatenate((starts, cuts))), np.sort(np.concatenate((ends, cuts)))
+    return starts, ends, np.searchsorted(starts, offs)
+
+
 class WordValues:
-    """Arrays of integers for words: ``value`` maps a list of words to a list of integer sequences."""
+    """Arrays of integers for words: ``value`` maps a list of words to all their integers in order and to how many each has."""
 
-    def __init__(self, value: Callable[[list[str]], list[list[int]]]):
-        self.value = value
+    def __init__(self, value: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], by_parts: bool = False):
+        self.value, self.by_parts = value, by_parts
         self.number: dict[int, int] = {}
         self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -32,16 +61,16 @@ class WordValues:
         first = np.empty(len(word), np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         if len(self.number) > KEPT_WORDS:
-            self.__init__(self.value)
+            self.__init__(self.value, self.by_parts)
         keys = word.tolist()
         known = [self.number.get(k) for k in keys]
         new = [i for i, k in enumerate(known) if k is None]
         if new:
             raw = data.tobytes()
             texts = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new].tolist()]
-            values = [v for i in range(0, len(texts), VALUED_AT_ONCE) for v in self.value(texts[i : i + VALUED_AT_ONCE])]
-            size = np.fromiter(map(len, values), np.int64, len(values))
-            self.flat = np.concatenate((self.flat, np.array([x for v in values for x in v], np.int32)))
+            values, sizes = zip(*(self.value(texts[i : i + VALUED_AT_ONCE]) for i in range(0, len(texts), VALUED_AT_ONCE)), strict=True)
+            size = np.concatenate(sizes)
+            self.flat = np.concatenate((self.flat, *values)).astype(np.int32)
             base = len(self.ends) - 1
             self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(size)))
             for j, i in enumerate(new):
@@ -52,6 +81,8 @@ class WordValues:
         """(first row, the values of all words of each row in order) for runs of rows."""
         for first, offs, data in chunks(column):
             starts, ends, at = split(offs, data)
+            if self.by_parts:
+                starts, ends, at = parts(offs, data, starts, ends)
             if not len(starts):
                 yield first, [self.flat[:0]] * (len(offs) - 1)
                 continue
@@ -62,3 +93,35 @@ class WordValues:
             until = np.concatenate(([0], np.cumsum(size)))
             flat = self.flat[np.arange(until[-1]) + np.repeat(begin - until[:-1], size)]
             yield first, [flat[a:b] for a, b in zip(until[at[:-1]].tolist(), until[at[1:]].tolist(), strict=True)]
+
+
+def word_ids(path: str) -> WordValues:
+    """Token ids of words by a tokenizer that neither joins words over white space nor marks where they stand.
+
+    With the public word tokenizer, plain words are cut into its parts first; distinct parts are encoded many in one call.
+    All other words are encoded one by one.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the task its core
+    from tokenizers import Tokenizer
+
+    held = Tokenizer.from_file(path)
+    spec = json.loads(held.to_str())
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    by_parts = (first.get("pattern") or {}).get("Regex") == SPLIT and spec["model"].get("end_of_word_suffix") == PART_END
+    vocabulary = held.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for piece, i in vocabulary.items() if piece.endswith(PART_END)]] = True
+
+    def value(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = np.array([not by_parts or is_odd(t) for t in texts])
+        plain = [texts[i] for i in np.flatnonzero(~odd)]
+        ids = np.array(held.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int32)
+        alone = [e.ids for e in held.encode_batch_fast([texts[i] for i in np.flatnonzero(odd)], add_special_tokens=False)]
+        size = np.zeros(len(texts), np.int64)
+        size[~odd] = np.diff(np.flatnonzero(last[ids]), prepend=-1)
+        size[odd] = [len(x) for x in alone]
+        out, one = np.zeros(size.sum(), np.int32), np.repeat(odd, size)
+        out[~one], out[one] = ids, [i for x in alone for i in x]
+        return out, size
+
+    return WordValues(value, by_parts)
