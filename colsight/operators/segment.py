@@ -24,13 +24,11 @@ K_MIN, K_MAX = 2, 8
 SEED = 42
 MIN_ROWS = 20
 MIN_FEATURES = 2
-PROJECTION_ROWS = 2000
 TOP_FEATURES = 3
 LABELS = string.ascii_uppercase
 FEW_ROWS = "Need at least {} rows to find meaningful clusters; this dataset has {}."
 FEW_FEATURES = "Need at least {} numeric columns to cluster; this dataset has {}."
 FEW_COMPLETE = "After dropping rows with any missing numeric value, only {} rows remain. Need at least {}."
-FAILED = "Clustering failed: {}: {}"
 NO_FIT = "Could not fit any k between K_MIN and K_MAX."
 # --- end of fixed values -----------------------------------------------------
 
@@ -38,7 +36,7 @@ MAX_ITERATIONS = 100
 RESTARTS = 3
 PARALLEL_FITS = 8
 # Stop once no centre moves further than this many standard deviations.
-CENTER_SHIFT = 3e-3
+CENTER_SHIFT = 1e-4
 # All-pairs Euclidean silhouettes are used up to this many rows (one bounded matrix per
 # task); above it, every row still counts, in the linear-cost squared Euclidean form.
 EXACT_SILHOUETTE_ROWS = 4_000
@@ -106,15 +104,6 @@ def zscores(df: DataFrame, kinds: list[ColumnKind], key: list[str] | None = None
     return rows.select(*(key or []), *[z.alias(f"z_{k.name}") for z, k in zip(scaled_cells(scaling), numeric)])
 
 
-def sample_rows(df: DataFrame, limit: int, key: list[str], seed: int = SEED) -> DataFrame:
-    """A reproducible sample under any partitioning: the rows with the smallest key hashes.
-
-    Rows come back in key order; a bounded top-k per task, no sort of the table.
-    """
-    mark = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
-    return df.orderBy(mark, *key).limit(limit).orderBy(*key)
-
-
 # ----- silhouettes -----------------------------------------------------------
 
 
@@ -131,7 +120,7 @@ def silhouette_euclidean(labelled: DataFrame, features: list[str], columns: list
     """
     table = labelled.select(*features, *columns).limit(EXACT_SILHOUETTE_ROWS + 1).toPandas()
     if len(table) > EXACT_SILHOUETTE_ROWS:
-        raise ValueError("too many rows for the all-pairs silhouette; sample first")
+        raise ValueError("too many rows for the all-pairs silhouette")
     points = table[features].to_numpy(float)
     groups = {}
     for c in columns:
@@ -164,17 +153,6 @@ def silhouette_euclidean(labelled: DataFrame, features: list[str], columns: list
     return means.first().asDict()
 
 
-def sampled_silhouette(
-    labelled: DataFrame, features: list[str], columns: list[str], rows: int = EXACT_SILHOUETTE_ROWS
-) -> dict[str, float]:
-    """Euclidean silhouettes on a reproducible sample; a table within ``rows`` is used whole."""
-    picked = hold(sample_rows(labelled.select(*features, *columns), rows, features))
-    try:
-        return silhouette_euclidean(picked, features, columns)
-    finally:
-        picked.unpersist()
-
-
 # ----- k-means ---------------------------------------------------------------
 
 
@@ -191,12 +169,6 @@ def choose_k(points: DataFrame, scaling: Scaling, metric: str = "auto"):
     ks = list(range(K_MIN, min(K_MAX, scaling.n - 1) + 1))
     threaded = inheritable_thread_target(points.sparkSession)
 
-    def squared(column: str) -> float | None:
-        try:
-            return silhouette_squared(labelled, column)
-        except Exception:  # noqa: BLE001  one group only: no silhouette for this k
-            return None
-
     # independent jobs over the same held rows, submitted side by side; one start can end in
     # a poor optimum that depends on the partitioning, so the tightest of a few is kept
     starts = [(k, restart) for k in ks for restart in range(RESTARTS)]
@@ -208,16 +180,15 @@ def choose_k(points: DataFrame, scaling: Scaling, metric: str = "auto"):
         labelled = points
         for model in models.values():
             labelled = model.transform(labelled)
-        columns = [f"k{k}" for k in ks]
+        # a k whose fit leaves one group has no silhouette and is no candidate
+        columns = [f"k{k}" for k in ks if sum(n > 0 for n in models[k].summary.clusterSizes) > 1]
         if metric == "squared_euclidean":
-            scores = dict(zip(columns, pool.map(threaded(squared), columns)))
-        elif metric == "euclidean_sample":
-            scores = sampled_silhouette(labelled, features, columns)
+            scores = dict(zip(columns, pool.map(threaded(lambda c: silhouette_squared(labelled, c)), columns)))
         else:
             scores = silhouette_euclidean(labelled, features, columns)
     candidates = [(k, scores[f"k{k}"], metric) for k in ks if scores.get(f"k{k}") is not None]
     if not candidates:
-        raise RuntimeError(NO_FIT)
+        return None, None, []
     k, score, _ = max(candidates, key=lambda c: (c[1], -c[0]))
     return models[k], score, candidates
 
@@ -326,10 +297,7 @@ def segment(df: DataFrame, kinds: list[ColumnKind], metric: str = "auto") -> Seg
     scaling = fit_scaling(rows, names)
     if scaling.n < MIN_ROWS:
         return skipped(df, FEW_COMPLETE.format(scaling.n, MIN_ROWS))
-    try:
-        return _segment_rows(rows, scaling, metric)
-    except Exception as problem:  # noqa: BLE001
-        return skipped(df, FAILED.format(type(problem).__name__, str(problem)[:200]))
+    return _segment_rows(rows, scaling, metric)
 
 
 def _segment_rows(rows: DataFrame, scaling: Scaling, metric: str) -> Segments:
@@ -339,6 +307,8 @@ def _segment_rows(rows: DataFrame, scaling: Scaling, metric: str) -> Segments:
     points = hold(assembler.transform(rows.select("*", *scaled_cells(scaling))))
     try:
         model, score, candidates = choose_k(points, scaling, metric)
+        if model is None:
+            return skipped(rows, NO_FIT)
         raw = model.transform(points).withColumnRenamed(model.getPredictionCol(), "cluster")
         sizes = {r["cluster"]: r["count"] for r in raw.groupBy("cluster").count().collect()}
         new = canonical_order(sizes, model.clusterCenters())
@@ -346,14 +316,12 @@ def _segment_rows(rows: DataFrame, scaling: Scaling, metric: str) -> Segments:
         clusters = cluster_sizes(labelled).orderBy("cluster").collect()  # at most K_MAX rows
         features = distinguishing_features(labelled, {f"c{i}": n for i, n in enumerate(scaling.names)}).collect()
         axes, shares = fit_projection(points)
-        flat = projected(labelled, axes)
-        shown = sample_rows(flat.select("x", "y", "cluster", *z), PROJECTION_ROWS, z)
-        spots = shown.select("x", "y", "cluster").collect()  # at most PROJECTION_ROWS rows
+        spots = projected(labelled, axes).select("x", "y", F.col("cluster").cast("int").alias("cluster"))  # every row, lazily
     finally:
         points.unpersist()
     summary = (len(new), score, candidates[0][2], len(scaling.names), scaling.n, *(shares + [0.0])[:2], None)
     return Segments(
         small_table(spark, [summary], SUMMARY_SCHEMA), small_table(spark, candidates, CANDIDATE_SCHEMA),
         small_table(spark, clusters, CLUSTER_SCHEMA), small_table(spark, sorted(features), FEATURE_SCHEMA),
-        small_table(spark, spots, PROJECTION_SCHEMA),
+        spots,
     )

@@ -13,7 +13,7 @@ def histogram_bars(histogram: DataFrame) -> DataFrame:
 
 
 def cluster_points(projection: DataFrame) -> DataFrame:
-    """Projected points per cluster; at most the projection limit in total."""
+    """Projected points per cluster, for a table small enough to draw."""
     return projection.groupBy("cluster").agg(F.collect_list(F.struct("x", "y")).alias("points"))
 
 

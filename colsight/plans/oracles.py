@@ -270,7 +270,7 @@ ZSCORE = f"""SELECT p_partkey, {r('(p_size - ms) / ss', 6)} AS z_p_size, {r('(p_
 PCA_VARIANCE = f"""SELECT count(*) AS n, {r('(1 + abs(corr(p_size, p_retailprice))) / 2', 6)} AS first,
  {r('(1 - abs(corr(p_size, p_retailprice))) / 2', 6)} AS second, 1.0 AS total FROM part"""
 SILHOUETTE = f"""WITH p AS (SELECT s_suppkey AS id, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y, s_nationkey % 3 AS c FROM supplier),
-d AS (SELECT a.id, a.c AS own, b.c AS other, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS total, count(*) AS m FROM p a, p b GROUP BY 1, 2, 3),
+d AS (SELECT a.id, a.c AS own, b.c AS other, sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS total, count(*) AS m FROM p a, p b GROUP BY 1, 2, 3),
 s AS (SELECT id, max(CASE WHEN own = other THEN m END) AS n_own, max(CASE WHEN own = other THEN total / greatest(m - 1, 1) END) AS a,
   min(CASE WHEN own <> other THEN total / m END) AS b FROM d GROUP BY id)
 SELECT count(*) AS n, {r('avg(CASE WHEN n_own > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END)', 6)} AS silhouette FROM s"""
@@ -430,7 +430,7 @@ ORACLES: dict[str, str] = {
     "auc_accuracy": AUC,
     "zscore": ZSCORE,
     "pca_variance": PCA_VARIANCE,
-    "silhouette_given": SILHOUETTE,
+    "silhouette_squared_given": SILHOUETTE,
     "cluster_summary": cluster_summary(),
     "trend_fit": TREND_FIT,
     "forecast": FORECAST,

@@ -403,7 +403,7 @@ def projection(spark, sf_dir):
     scaling = S.fit_scaling(rows, ["p_size", "p_retailprice"])
     points = rows.select("*", *S.scaled_cells(scaling))
     axes, _ = S.fit_projection(S.VectorAssembler(inputCols=["z0", "z1"], outputCol="features").transform(points))
-    return S.sample_rows(S.projected(points, axes).select("z0", "z1", "x", "y"), S.PROJECTION_ROWS, ["z0", "z1"])
+    return S.projected(points, axes).select("z0", "z1", "x", "y")
 
 
 def pca_variance(spark, sf_dir):
@@ -416,11 +416,12 @@ def pca_variance(spark, sf_dir):
         "n", F.lit(shares[0]).alias("first"), F.lit(shares[1]).alias("second"), F.lit(sum(shares)).alias("total")), 6)
 
 
-def silhouette_given(spark, sf_dir):
+def silhouette_squared_given(spark, sf_dir):
     d = load(spark, sf_dir, "supplier").select("s_acctbal", F.col("s_nationkey").cast("double").alias("nation"),
                                                (F.col("s_nationkey") % 3).alias("cluster"))
-    scores = S.sampled_silhouette(d, ["s_acctbal", "nation"], ["cluster"])
-    return out(d.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(scores["cluster"]).alias("silhouette")), 6)
+    points = S.VectorAssembler(inputCols=["s_acctbal", "nation"], outputCol="features").transform(d)
+    score = S.silhouette_squared(points, "cluster")
+    return out(d.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(score).alias("silhouette")), 6)
 
 
 def cluster_summary(spark, sf_dir):
@@ -574,7 +575,7 @@ QUERIES: dict[str, Query] = {
     "k_candidates": k_candidates,
     "projection": projection,
     "pca_variance": pca_variance,
-    "silhouette_given": silhouette_given,
+    "silhouette_squared_given": silhouette_squared_given,
     "cluster_summary": cluster_summary,
     "trend_fit": trend_fit,
     "forecast": forecast,

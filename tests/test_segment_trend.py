@@ -46,6 +46,19 @@ def test_silhouette_against_definition(spark, blobs):
     assert got == pytest.approx(np.mean(values), rel=1e-9)
 
 
+def test_squared_silhouette_against_definition(spark, blobs):
+    points = S.VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(blobs.withColumn("cluster", F.col("g")))
+    pdf = blobs.toPandas()
+    x, g = pdf[["a", "b"]].to_numpy(), pdf["g"].to_numpy()
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    values = []
+    for i in range(len(x)):
+        a = d[i, (g == g[i]) & (np.arange(len(x)) != i)].mean()
+        b = min(d[i, g == o].mean() for o in set(g) - {g[i]})
+        values.append((b - a) / max(a, b))
+    assert S.silhouette_squared(points, "cluster") == pytest.approx(np.mean(values), rel=1e-9)
+
+
 def test_projection_against_eigenvectors(spark, blobs):
     rows = S.complete_rows(blobs.drop("g"), K.kinds_from_schema(blobs.drop("g")))
     scaling = S.fit_scaling(rows, ["a", "b", "c"])
@@ -60,11 +73,15 @@ def test_projection_against_eigenvectors(spark, blobs):
         assert axes[:, k] == pytest.approx(v, abs=1e-8)
 
 
-def test_sample_is_stable_under_partitioning(spark):
-    df = spark.range(500).select(F.col("id").alias("k"))
-    a = [r["k"] for r in S.sample_rows(df, 40, ["k"]).collect()]
-    b = [r["k"] for r in S.sample_rows(df.repartition(13), 40, ["k"]).collect()]
-    assert a == b == sorted(a) and len(a) == 40
+def test_repeated_points_at_any_size(spark):
+    """Six equal points, many times over: six groups, and every row is in the projection."""
+    spots = [(0.0, 0.0), (0.0, 9.0), (9.0, 0.0), (9.0, 9.0), (0.0, 30.0), (30.0, 0.0)]
+    for rows in (3_996, 4_002):
+        at = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in spots])
+        df = spark.range(rows).select(F.get(at, (F.col("id") % 6).cast("int")).alias("p")).select("p.*")
+        got = S.segment(df, K.kinds_from_schema(df))
+        assert got.summary.first()["k"] == 6
+        assert got.projection.count() == rows and got.projection.select(F.round("x", 6), F.round("y", 6)).distinct().count() == 6
 
 
 def test_segment_gates(spark):
