@@ -193,3 +193,19 @@ def test_license_scan(spark):
     rows = [(0, text), (1, changed), (2, text + " more"), (3, "Words.\nReleased under the MIT Licence\nLicensed under CC BY-NC 4.0."), (4, None), (5, ""), (5, text)]
     got = sorted((r.doc_id, r.license or "", r.notices) for r in license_scan(docs(spark, rows)).collect())
     assert got == [(0, "MIT", ""), (1, "MIT", ""), (2, "", ""), (3, "", "CC-BY-NC-4.0,MIT"), (4, "", ""), (5, "", ""), (5, "MIT", "")]
+
+
+def test_word_ids_equal_those_of_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from colsight.llm.tokens import word_ids
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, rng = Tokenizer.from_file(path), random.Random(1)
+    signs = "abcXYZ019'\"!<|>.,-_\x00\x1c\x7f\n\t \x85 éÉß́ΣİΩ漢字²½"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    texts += ["it's we'll I'D 'RE ''s '''ll <|endoftext|>x a<|endoftext|>b <|ENDOFTEXT|>", "", "'", None]
+    got = [ids.tolist() for _, rows in word_ids(path).rows(pa.array(texts, pa.string())) for ids in rows]
+    assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
