@@ -39,7 +39,10 @@ def parts(offs: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
     """Words cut into runs of letters, single digits and runs of others, except odd ones; as ``split`` returns them."""
     kind = KIND[data]
     odd = kind == ODD
-    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+    special = np.zeros(len(data), bool)
+    special[:-1] = (data[:-1] == 60) & (data[1:] == 124)
+    special[ends - 1] = False  # the next byte is another word's, perhaps of the next row
+    odd |= special
     odd = np.concatenate(([0], np.cumsum(odd)))
     whole = odd[ends] > odd[starts]
     cuts = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) + 1
