@@ -92,19 +92,28 @@ def _pieces(tokenizer: str, end_id: int, length: int, step: int):
     """Pieces of each document: the full ones and the remainder, which gets a class and a rank among the task's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task_ranks = word_ids(tokenizer), {}
+        encode, given = word_ids(tokenizer), np.zeros(length // step + 2, np.int64)
         for batch in batches:
-            for first, rows in encode.rows(batch.column(1)):
-                out = []
-                for i, ids in enumerate(rows):
-                    ids = np.append(ids, end_id)
-                    for start in range(0, len(ids), length):
-                        part = ids[start : start + length]
-                        group = -(-len(part) // step) if len(part) < length else 0
-                        rank = task_ranks[group] = task_ranks.get(group, -1) + 1
-                        out.append((first + i, start, len(part), crc(part), len(ids), group, rank))
-                row, *rest = (np.array(x, np.int64) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(pa.array, rest)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "group", "rank"])
+            for first, at, flat in encode.runs(batch.column(1)):
+                n = len(at) - 1
+                ids = np.insert(flat, at[1:], end_id).astype("<u4")
+                size = np.diff(at) + 1
+                begin = np.cumsum(size) - size
+                many = -(-size // length)
+                row = np.repeat(np.arange(n), many)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * length
+                part = np.minimum(length, size[row] - start)
+                group = np.where(part < length, -(-part // step), 0)
+                order = np.argsort(group, kind="stable")
+                own = np.bincount(group, minlength=len(given))
+                rank = np.empty(len(row), np.int64)
+                rank[order] = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+                rank += given[group]
+                given += own
+                raw, place = memoryview(ids.tobytes()), (begin[row] + start) * 4
+                sums = [zlib.crc32(raw[a:b]) for a, b in zip(place.tolist(), (place + part * 4).tolist(), strict=True)]
+                columns = (start, part, np.array(sums, np.int64), size[row], group, rank)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), *map(pa.array, columns)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "group", "rank"])
 
     return run
 

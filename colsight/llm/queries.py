@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colsight.llm.bytebpe import bpe_digest
 from colsight.llm.decontaminate import contamination
 from colsight.llm.jaccard import jaccard_groups
 from colsight.llm.licenses import LICENSES_SQL, license_scan
@@ -75,11 +76,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "contaminated", "bench_items", "bench_retrieved", "bench_score")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, decoded again."""
+    return bpe_digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scans, op2_quality_classifier, op3_token_counts, op4_html_extraction, op5_ngram_jaccard_join, op6_packing, op7_pii, op8_secret_scans,
-        op9_embedding_near_dedup, op10_benchmark_decontamination,
+        op9_embedding_near_dedup, op10_benchmark_decontamination, op11_byte_bpe,
     )
 }
 ORACLES: dict[str, str] = {"op1_license_scans": LICENSES_SQL, "op7_pii": PII_SQL, "op8_secret_scans": SECRETS_SQL}

@@ -1,7 +1,7 @@
 """Values of words, looked up once per task for each distinct word, and token ids as such values.
 
 Whitespace-separated words of a batch are numbered by hash; each new one is valued (encoded, counted) once and kept, up to
-a bound after which the memory is emptied.
+a bound beyond which the words used longest ago go.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import pyarrow as pa
 
 from colsight.llm.words import U, chunks, hashes, mix, split
 
-KEPT_WORDS = 300_000
-"""Words whose values a task keeps; beyond it the memory is emptied."""
+KEPT_WORDS = 400_000
+KEPT_VALUES = 8_000_000
+"""Words, and integers of them, that a Python worker keeps; beyond it those used longest ago go."""
 VALUED_AT_ONCE = 10_000
 # fixed values of the public word tokenizer: its split (of lower-cased text) and its mark at the end of a split part
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -52,58 +53,107 @@ def parts(offs: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def _grown(buffer: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The buffer itself, or one of at least twice its size that begins with what is used."""
+    if used + more <= len(buffer):
+        return buffer
+    out = np.zeros(max(2 * len(buffer), used + more), buffer.dtype)
+    out[:used] = buffer[:used]
+    return out
+
+
 class WordValues:
-    """Arrays of integers for words: ``value`` maps a list of words to all their integers in order and to how many each has."""
+    """Arrays of integers for words: ``value`` maps a list of words (bytes) to all their integers in order and to how many
+    each has. Beyond ``KEPT_WORDS`` words or ``KEPT_VALUES`` integers those used last stay, half of the bound."""
 
-    def __init__(self, value: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], by_parts: bool = False):
+    def __init__(self, value: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], by_parts: bool = False):
         self.value, self.by_parts = value, by_parts
         self.number: dict[int, int] = {}
-        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.keys, self.used = np.zeros(1 << 14, U), np.zeros(1 << 14, np.int64)
+        self.clock = 0
+
+    def _forget(self) -> None:
+        n = len(self.number)
+        if n <= KEPT_WORDS and self.ends[n] <= KEPT_VALUES:
+            return
+        last = np.argsort(-self.used[:n], kind="stable")[: KEPT_WORDS // 2]
+        size = np.diff(self.ends[: n + 1])[last]
+        stay = last[np.cumsum(size) <= KEPT_VALUES // 2]
+        flat, until = self._of(stay)
+        self.flat[: len(flat)] = flat
+        self.ends[: len(until)] = until
+        self.keys[: len(stay)], self.used[: len(stay)] = self.keys[stay], self.used[stay]
+        self.number = dict(zip(self.keys[: len(stay)].tolist(), range(len(stay)), strict=True))
 
     def _numbers(self, codes: np.ndarray, word: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        first = np.empty(len(word), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        if len(self.number) > KEPT_WORDS:
-            self.__init__(self.value, self.by_parts)
+        self._forget()
+        self.clock += 1
         keys = word.tolist()
-        known = [self.number.get(k) for k in keys]
-        new = [i for i, k in enumerate(known) if k is None]
-        if new:
+        known = np.array([self.number.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            first = np.empty(len(word), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            first = first[new]
             raw = data.tobytes()
-            texts = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new].tolist()]
+            texts = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             values, sizes = zip(*(self.value(texts[i : i + VALUED_AT_ONCE]) for i in range(0, len(texts), VALUED_AT_ONCE)), strict=True)
-            size = np.concatenate(sizes)
-            self.flat = np.concatenate((self.flat, *values)).astype(np.int32)
-            base = len(self.ends) - 1
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(size)))
-            for j, i in enumerate(new):
-                self.number[keys[i]] = known[i] = base + j
-        return np.array(known, np.int64)
-
-    def rows(self, column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """(first row, the values of all words of each row in order) for runs of rows."""
+            size, base = np.concatenate(sizes), len(self.number)
+            total = int(self.ends[base])
+            self.flat = _grown(self.flat, total, int(size.sum()))
+            self.flat[total : total + size.sum()] = np.concatenate(values)
+            self.ends = _grown(self.ends, base + 1, len(new))
+            self.ends[base + 1 : base + 1 + len(new)] = total + np.cumsum(size)
+            self.keys, self.used = _grown(self.keys, base, len(new)), _grown(self.used, base, len(new))
+            self.keys[base : base + len(new)] = word[new]
+            known[new] = np.arange(base, base + len(new))
+            self.number.update(zip(word[new].tolist(), known[new].tolist(), strict=True))
+        self.used[known] = self.clock
+        return known
+
+    def _of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = self.ends[number]
+        size = self.ends[number + 1] - begin
+        until = np.concatenate(([0], np.cumsum(size)))
+        return self.flat[np.arange(until[-1]) + np.repeat(begin - until[:-1], size)], until
+
+    def gather(self, codes: np.ndarray, word: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's integers begin (one more than words) and the integers; ``codes`` number the words by the distinct
+        hashes ``word``, and ``starts``, ``ends`` say where each lies in ``data``."""
+        flat, until = self._of(self._numbers(codes, word, data, starts, ends)[codes])
+        return until, flat
+
+    def runs(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, where each row's values begin, one more than rows; the values) for runs of rows."""
         for first, offs, data in chunks(column):
             starts, ends, at = split(offs, data)
             if self.by_parts:
                 starts, ends, at = parts(offs, data, starts, ends)
-            if not len(starts):
-                yield first, [self.flat[:0]] * (len(offs) - 1)
-                continue
-            codes, word = pd.factorize(hashes(data, starts, ends, CASED))
-            number = self._numbers(codes, word, data, starts, ends)[codes]
-            begin = self.ends[number]
-            size = self.ends[number + 1] - begin
-            until = np.concatenate(([0], np.cumsum(size)))
-            flat = self.flat[np.arange(until[-1]) + np.repeat(begin - until[:-1], size)]
-            yield first, [flat[a:b] for a, b in zip(until[at[:-1]].tolist(), until[at[1:]].tolist(), strict=True)]
+            if len(starts):
+                codes, word = pd.factorize(hashes(data, starts, ends, CASED))
+                until, flat = self.gather(codes, word, data, starts, ends)
+                yield first, until[at], flat
+            else:
+                yield first, np.zeros(len(offs), np.int64), self.flat[:0]
+
+    def rows(self, column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first row, the values of all words of each row in order) for runs of rows."""
+        for first, at, flat in self.runs(column):
+            yield first, [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+_HELD: dict[str, WordValues] = {}
 
 
 def word_ids(path: str) -> WordValues:
     """Token ids of words by a tokenizer that neither joins words over white space nor marks where they stand.
 
     With the public word tokenizer, plain words are cut into its parts first; distinct parts are encoded many in one call.
-    All other words are encoded one by one.
+    All other words are encoded one by one. A Python worker keeps them from task to task.
     """
+    if path in _HELD:
+        return _HELD[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the task its core
     from tokenizers import Tokenizer
 
@@ -115,7 +165,8 @@ def word_ids(path: str) -> WordValues:
     last = np.zeros(max(vocabulary.values()) + 1, bool)
     last[[i for piece, i in vocabulary.items() if piece.endswith(PART_END)]] = True
 
-    def value(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def value(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in words]
         odd = np.array([not by_parts or is_odd(t) for t in texts])
         plain = [texts[i] for i in np.flatnonzero(~odd)]
         ids = np.array(held.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int32)
@@ -127,4 +178,5 @@ def word_ids(path: str) -> WordValues:
         out[~one], out[one] = ids, [i for x in alone for i in x]
         return out, size
 
-    return WordValues(value, by_parts)
+    _HELD[path] = WordValues(value, by_parts)
+    return _HELD[path]

@@ -125,7 +125,7 @@ def count_pieces(docs: DataFrame, text_col: str = "text", vocabulary_path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(vocabulary(path))
         lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-        values = WordValues(lambda new: (automaton.counts([w.encode().translate(lower) for w in new]), np.ones(len(new), np.int64)))
+        values = WordValues(lambda new: (automaton.counts([w.translate(lower) for w in new]), np.ones(len(new), np.int64)))
         for batch in batches:
             number = np.zeros((2, batch.num_rows), np.int64)
             for first, rows in values.rows(batch.column(at)):
