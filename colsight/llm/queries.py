@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from colsight.llm.bytebpe import bpe_digest
 from colsight.llm.decontaminate import contamination
+from colsight.llm.divergence import DIVERGENCE_SQL, source_divergence
 from colsight.llm.jaccard import jaccard_groups
 from colsight.llm.licenses import LICENSES_SQL, license_scan
 from colsight.llm.packing import pack
 from colsight.llm.pages import extract_pages
+from colsight.llm.phrases import PHRASES_SQL, collocations
 from colsight.llm.pii import PII_SQL, pii_digest
 from colsight.llm.quality import REJECT_BELOW, fit_quality, held_out, score_quality
 from colsight.llm.secrets import SECRETS_SQL, secret_digest
@@ -81,11 +83,22 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_read(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms that set each source apart."""
+    return source_divergence(_read(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most strongly bound phrases of each language."""
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scans, op2_quality_classifier, op3_token_counts, op4_html_extraction, op5_ngram_jaccard_join, op6_packing, op7_pii, op8_secret_scans,
         op9_embedding_near_dedup, op10_benchmark_decontamination, op11_byte_bpe,
+        op12_source_divergence, op13_phrase_collocations,
     )
 }
-ORACLES: dict[str, str] = {"op1_license_scans": LICENSES_SQL, "op7_pii": PII_SQL, "op8_secret_scans": SECRETS_SQL}
+ORACLES: dict[str, str] = {"op1_license_scans": LICENSES_SQL, "op7_pii": PII_SQL, "op8_secret_scans": SECRETS_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_phrase_collocations": PHRASES_SQL}

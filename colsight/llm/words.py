@@ -91,6 +91,14 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndar
     return mix(np.add.reduceat(value, first) + size.astype(U) * GRAM[7])
 
 
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow string array."""
+    size = ends - starts
+    until = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(until[-1]) + np.repeat(starts - until[:-1], size)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(until), pa.py_buffer(data[at])).cast(pa.string())
+
+
 def grams(word: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, over row borders too; position i is the run that begins at word i."""
     m = len(word) - n + 1
