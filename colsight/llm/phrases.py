@@ -4,12 +4,18 @@ Each shard of texts (a bounded number of bytes) becomes a bidirectional FM-index
 transforms of its words and of its words reversed. All phrases of one length are intervals of both; one extension step
 turns all of them into the intervals of all phrases that are one word longer, with their counts. Counts are summed over
 shards, and everything after that works on phrases, not texts.
+
+Lengths are counted one after the other. A phrase that is frequent holds only frequent shorter ones, so before the next
+length texts are broken where a phrase is not among the frequent ones of the last length. These are looked up in a Bloom
+filter of fixed size: it never misses one, and what it lets through besides is counted and found to be rare.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -19,11 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.llm.shared import cut
-from colsight.llm.words import LOWER, U, chunks, hashes, mix, split, strings
+from colsight.llm.words import GRAM, LOWER, U, chunks, grams, hashes, mix, split, strings
 
 MOST_WORDS, LEAST_COUNT, COVERED, TOP = 3, 10, 50, 2000
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 """Bytes of text of an index; a longer text is a shard of its own."""
+FILTER_BITS, FILTER_HASHES = 26, 4
+"""The filter has 2 to this power bits (8 MB), however many phrases it holds."""
 OUT_ROWS = 1 << 16
 # fixed values: bytes that end a piece, and bytes between the words of a piece
 ENDS_PIECE = np.zeros(256, bool)
@@ -98,80 +106,153 @@ class FMIndex:
         place, inside, count = place[real], inside[real], count[real]
         return Phrases(place, inside, count) if left else Phrases(inside, place, count)
 
-    def enumerate(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, a text position, count) of all phrases up to ``most`` words: extended to the right, the last time to the
-        left."""
-        phrases = self.words()
-        yield 1, self.suffix[phrases.forward], phrases.count
-        for length in range(2, most + 1):
-            phrases = self.extended(phrases, left=length == most)
-            yield length, self.suffix[phrases.forward], phrases.count
+    def phrases(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(a text position, count) of all phrases of so many words: extended to the right, the last time to the left."""
+        found = self.words()
+        for n in range(2, length + 1):
+            found = self.extended(found, left=n == length)
+        return self.suffix[found.forward], found.count
+
+
+def _lang_code(lang: str) -> int:
+    return int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "big")
+
+
+def _filter_places(gram: np.ndarray, power: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(64-bit word of the filter, bit in it) for each of the filter's hashes."""
+    for k in range(1, FILTER_HASHES + 1):
+        place = mix(gram + GRAM[k]) >> U(64 - power)
+        yield (place >> U(6)).astype(np.int64), place & U(63)
 
 
-def _words(lang: np.ndarray, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
-    """(bytes, hashes with the language mixed in, whether a piece begins, language, text) of all words of runs of rows."""
+def _may_be_in(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    found = np.ones(len(gram), bool)
+    for word, bit in _filter_places(gram, len(bits).bit_length() + 5):
+        found &= (bits[word] >> bit & U(1)).astype(bool)
+    return found
+
+
+def _in_frequent(word: np.ndarray, opens: np.ndarray, length: int, bits: np.ndarray) -> np.ndarray:
+    """Which words lie in a phrase of ``length`` words whose shorter phrases may all be frequent."""
+    keep = np.zeros(len(word), bool)
+    if len(word) < length:
+        return keep
+    good = _may_be_in(bits, grams(word, length - 1))
+    begins = good[:-1] & good[1:]
+    for k in range(1, length):
+        begins &= ~opens[k : len(opens) - length + 1 + k]
+    for k in range(length):
+        keep[k : len(begins) + k] |= begins
+    return keep
+
+
+def _words(lang: np.ndarray, codes: np.ndarray, column: pa.Array, length: int, bits: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """(bytes, hashes with the language mixed in, whether a piece begins, language, text) of the words of runs of rows."""
     for first, offs, data in chunks(column):
         starts, ends, at = split(offs, data, ENDS_PIECE | BETWEEN)
-        word = hashes(data, starts, ends)
         own = np.repeat(lang[first : first + len(offs) - 1], np.diff(at))
+        word = mix(hashes(data, starts, ends) + codes[own])
         ended = np.concatenate(([0], np.cumsum(ENDS_PIECE[data])))
         opens = np.ones(len(starts), bool)
         opens[1:] = ended[starts[1:]] > ended[ends[:-1]]
         opens[at[:-1][at[:-1] < len(starts)]] = True
-        yield len(data), mix(word + own.astype(U) * U(0x9E3779B97F4A7C15)), opens, own, strings(LOWER[data], starts, ends)
+        if bits is not None:
+            keep = np.flatnonzero(_in_frequent(word, opens, length, bits))
+            opens = opens[keep] | (np.diff(keep, prepend=-2) > 1)
+            word, own, starts, ends = word[keep], own[keep], starts[keep], ends[keep]
+        yield len(data) * len(word) // max(1, int(at[-1])), word, opens, own, strings(LOWER[data], starts, ends)
 
 
-def _rows(parts: list, langs: list[str], most: int) -> Iterator[pa.RecordBatch]:
-    """(lang, words, phrase, n) of all phrases of a shard, and a row of 0 words with each language's number of words."""
+def _rows(parts: list, langs: list[str], length: int) -> Iterator[pa.RecordBatch]:
+    """(lang, words, phrase, n) of all phrases of ``length`` words of a shard; with single words also a row of 0 words that
+    has each language's number of words."""
     word, opens, lang = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
     if not len(word):
         return
+    names = ["lang", "words", "phrase", "n"]
     spelled = pa.chunked_array([p[3] for p in parts])
     code, distinct = pd.factorize(word)
     first = np.empty(len(distinct), np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-    names = spelled.take(pa.array(first)).combine_chunks()
+    spelled = spelled.take(pa.array(first)).combine_chunks()
     text = np.insert(code + 1, np.append(np.flatnonzero(opens)[1:], len(code)), 0)
-    of_word = lang[first]
-    named = pa.array(langs, pa.string())
-    every = np.bincount(lang, minlength=len(langs))
-    yield pa.RecordBatch.from_arrays([named, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs)), pa.array(every)], ["lang", "words", "phrase", "n"])
-    index = FMIndex(text, most)
-    for length, at, count in index.enumerate(most):
-        for a in range(0, len(at), OUT_ROWS):
-            place = at[a : a + OUT_ROWS]
-            spelt = [names.take(pa.array(text[place + k] - 1)) for k in range(length)]
-            phrase = spelt[0] if length == 1 else pc.binary_join_element_wise(*spelt, " ")
-            own = named.take(pa.array(of_word[text[place] - 1]))
-            yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(place), length, np.int32)), phrase, pa.array(count[a : a + OUT_ROWS])], ["lang", "words", "phrase", "n"])
-
-
-def _counted(most: int):
+    of_word, named = lang[first], pa.array(langs, pa.string())
+    del word, opens, code, parts
+    if length == 1:
+        every = np.bincount(lang, minlength=len(langs))
+        yield pa.RecordBatch.from_arrays([named, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs)), pa.array(every)], names)
+    at, count = FMIndex(text, length).phrases(length)
+    for a in range(0, len(at), OUT_ROWS):
+        place = at[a : a + OUT_ROWS]
+        spelt = [spelled.take(pa.array(text[place + k] - 1)) for k in range(length)]
+        phrase = spelt[0] if length == 1 else pc.binary_join_element_wise(*spelt, " ")
+        own = named.take(pa.array(of_word[text[place] - 1]))
+        yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(place), length, np.int32)), phrase, pa.array(count[a : a + OUT_ROWS])], names)
+
+
+def _counted(length: int, bits):
+    """Rows (lang, text) to counts of phrases of ``length`` words, shard by shard; ``bits``: the broadcast filter or None."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         parts, held = [], 0
         for batch in batches:
-            codes = pc.fill_null(batch.column(0), "und").dictionary_encode()
-            numbers = np.array([known.setdefault(x, len(known)) for x in codes.dictionary.to_pylist()], np.int64)
-            for size, *part in _words(numbers[codes.indices.to_numpy()], batch.column(1)):
+            column = pc.fill_null(batch.column(0), "und").dictionary_encode()
+            numbers = np.array([known.setdefault(x, len(known)) for x in column.dictionary.to_pylist()], np.int64)
+            codes = np.array([_lang_code(x) for x in known], U)
+            for size, *part in _words(numbers[column.indices.to_numpy()], codes, batch.column(1), length, bits and bits.value):
                 if parts and held + size > SHARD_BYTES:
-                    yield from _rows(parts, list(known), most)
+                    yield from _rows(parts, list(known), length)
                     parts, held = [], 0
                 parts.append(part)
                 held += size
         if parts:
-            yield from _rows(parts, list(known), most)
+            yield from _rows(parts, list(known), length)
 
     return run
 
 
-def phrase_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", most: int = MOST_WORDS) -> DataFrame:
+def _filter_bits(length: int, power: int):
+    """Rows (lang, phrase) to the bits that the filter has for them, as (word of the filter, mask)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0).dictionary_encode()
+            codes = np.array([_lang_code(x) for x in column.dictionary.to_pylist()], U)
+            own = column.indices.to_numpy()
+            for first, offs, data in chunks(batch.column(1)):
+                starts, ends, at = split(offs, data, BETWEEN)
+                word = mix(hashes(data, starts, ends) + np.repeat(codes[own[first : first + len(offs) - 1]], length))
+                places = list(_filter_places(grams(word, length)[at[:-1]], power))
+                mask = np.concatenate([U(1) << bit for _, bit in places]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([w for w, _ in places])), pa.array(mask)], ["word", "mask"])
+
+    return run
+
+
+def _filter(frequent: DataFrame, length: int):
+    """The broadcast filter of phrases of ``length`` words; rows of one per word of the filter at most reach the driver."""
+    rows = frequent.select("lang", "phrase").mapInArrow(_filter_bits(length, FILTER_BITS), "word long, mask long")
+    set_ = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), U)
+    bits[set_["word"].to_numpy(np.int64)] = set_["mask"].to_numpy(np.int64).view(U)
+    return frequent.sparkSession.sparkContext.broadcast(bits)
+
+
+def phrase_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", most: int = MOST_WORDS, least: int = 1) -> DataFrame:
     """(lang, words, phrase, n): how often each phrase of up to ``most`` words occurs inside the pieces of all texts of a
-    language, overlaps included; the row of 0 words and phrase '' has the number of all words."""
+    language, overlaps included, where that is ``least`` times or more; the row of 0 words and phrase '' has the number
+    of all words."""
     read = docs.select(docs[lang_column].cast("string").alias("lang"), docs[text_column].cast("string").alias("text"))
-    rows = read.mapInArrow(_counted(most), "lang string, words int, phrase string, n long")
-    # shards have summed already; most phrases are rare, so a second partial sum before the shuffle would only hold them
-    return rows.repartition("lang", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    found, bits = [], None
+    for length in range(1, most + 1):
+        rows = read.mapInArrow(_counted(length, bits), "lang string, words int, phrase string, n long")
+        # shards have summed already; most phrases are rare, so a second partial sum before the shuffle would only hold them
+        sums = rows.repartition("lang", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+        found.append(cut(sums.where((F.col("n") >= least) | (F.col("words") == 0))))
+        if length < most:
+            bits = _filter(found[-1].where("words > 0"), length)
+    return reduce(DataFrame.unionByName, found)
 
 
 def collocations(
@@ -185,8 +266,7 @@ def collocations(
     are empty, null languages ``und``; repeated rows count each; no rows, or no candidates, give no rows. Other columns are
     not read.
     """
-    counts = phrase_counts(docs, text_column, lang_column, most)
-    counts = cut(counts.where((F.col("n") >= least) | (F.col("words") == 0)))
+    counts = phrase_counts(docs, text_column, lang_column, most, least)
     known = counts.where("words > 0").select("lang", "phrase", "n")
     found = counts.where("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
 

@@ -66,14 +66,16 @@ def frame(spark, rows):
 def test_intervals_of_both_directions_hold_the_same_phrases():
     rng = np.random.default_rng(4)
     text = np.append(rng.integers(0, 6, 400), 0)
-    index = FMIndex(text, 3)
     want = [Counter() for _ in range(4)]
     for k in (1, 2, 3):
         for i in range(len(text) - k + 1):
             if (text[i : i + k] > 0).all():
                 want[k][tuple(text[i : i + k].tolist())] += 1
-    for length, at, count in index.enumerate(3):
-        assert {tuple(text[p : p + length].tolist()): c for p, c in zip(at, count, strict=True)} == want[length]
+    for length in (1, 2, 3):
+        for depth in range(length, 4):
+            at, count = FMIndex(text, depth).phrases(length)
+            assert {tuple(text[p : p + length].tolist()): c for p, c in zip(at, count, strict=True)} == want[length]
+    index = FMIndex(text, 3)
     words = index.words()
     for left in (True, False):
         pairs = index.extended(words, left)
@@ -107,13 +109,27 @@ def test_shards_add_up():
     for limit in (1, 12 << 20):
         phrases.SHARD_BYTES, kept = limit, phrases.SHARD_BYTES
         got = Counter()
-        for out in phrases._counted(3)(iter([batch, batch.slice(0, 0)])):
-            for r in out.to_pylist():
-                got[r["lang"], r["words"], r["phrase"]] += r["n"]
+        for length in (1, 2, 3):
+            for out in phrases._counted(length, None)(iter([batch, batch.slice(0, 0)])):
+                for r in out.to_pylist():
+                    got[r["lang"], r["words"], r["phrase"]] += r["n"]
         phrases.SHARD_BYTES = kept
         assert +got == +want
 
 
+def test_filter_loses_no_frequent_phrase(spark, monkeypatch):
+    rows = corpus(3, 500)
+    docs = frame(spark, rows)
+    want = Counter()
+    for lang, text in rows:
+        for g in grams(text, 4):
+            want[lang if lang is not None else "und", " ".join(g)] += 1
+    for bits in (26, 9):  # the small one lets nearly all through
+        monkeypatch.setattr(phrases, "FILTER_BITS", bits)
+        got = {(r.lang, r.phrase): r.n for r in phrase_counts(docs, most=4, least=5).where("words > 0").collect()}
+        assert got == {k: n for k, n in want.items() if n >= 5}
+
+
 def test_edges(spark):
     assert collocations(frame(spark, [])).collect() == []
     assert collocations(frame(spark, [("en", None), (None, "")])).collect() == []
