@@ -23,8 +23,9 @@ UNIT = 1_000_000_000
 LEAST_DOCS, TOP_TERMS = 3, 200
 COUNTED_BYTES = 4 << 20
 """Bytes of text whose terms are counted together before rows leave the task."""
-CELLS = 1 << 21
-"""Counts (sources times terms) that a block of the vocabulary may have."""
+LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 22
+"""Counts (sources times terms) that a block of the vocabulary has on average: more with many sources, so that the pairs
+that every block returns stay fewer than its counts."""
 SALTS = 32
 NOT_TERM = np.ones(256, bool)
 NOT_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -115,7 +116,7 @@ def source_divergence(
     a language keeps terms of at least ``least_docs`` of its documents (rows, so repeated rows count each). Sources without
     terms take part; a language without kept terms has pairs of value 0; a single source has none. Values tie by item in
     UTF-8 order. No rows give none. Other columns are not read. The pairs are sources squared, as the result is; a block of
-    the vocabulary has at most ``CELLS`` counts on average, and every block compares all pairs of its language.
+    the vocabulary has a bounded number of counts, and every block compares all pairs of its language.
     """
     read = docs.select(*(docs[c].cast("string").alias(name) for c, name in ((lang_column, "lang"), (source_column, "source"), (text_column, "text"))))
     counted = read.mapInArrow(_counts, "lang string, source string, term string, n long, docs long")
@@ -127,7 +128,8 @@ def source_divergence(
     kept_terms = cells.groupBy("lang", "term").agg(F.first("everywhere").alias("everywhere")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("everywhere").alias("lang_total"))
     langs = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(kept_terms, "lang", "left")
     groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang").fillna(0, ["total", "v", "lang_total"])
-    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("v") * F.col("sources") / CELLS))
+    cells_each = F.greatest(F.lit(LEAST_CELLS), F.least(4 * F.col("sources") * F.col("sources"), F.lit(MOST_CELLS)))
+    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("v") * F.col("sources") / cells_each))
     groups = cut(groups.withColumn("blocks", blocks))
 
     salt = F.pmod(F.xxhash64("term"), F.lit(SALTS))  # a source with a third of all terms is dealt to all of these

@@ -60,7 +60,8 @@ def test_equals_brute_force(spark):
 
 
 def test_blocks_and_chunks_add_up(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "CELLS", 20)
+    monkeypatch.setattr(divergence, "LEAST_CELLS", 20)
+    monkeypatch.setattr(divergence, "MOST_CELLS", 20)
     rows = corpus(2, 120)
     assert sorted(tuple(r) for r in source_divergence(frame(spark, rows), least_docs=1, top_terms=5).collect()) == brute(rows, 1, 5)
 
