@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colsight.llm.shared import cut
 from colsight.llm.words import SPACE, chunks, grams, hashes, split
 
 K1, B = 1.2, 0.75
@@ -28,8 +29,9 @@ SHARE = 0.4
 GRAM_WORDS = 3
 QUESTION_OVERLAP, ANSWER_OVERLAP, WHOLE_OVERLAP = 0.5, 0.3, 0.6
 BLOCK_ITEMS = 8
-INDEX_ITEMS = 50_000
-"""Items of one index, which is sent to every task; more items make more indexes, each read against all texts."""
+INDEX_BYTES = 32 << 20
+"""Bytes of the items' texts of one index, which is sent to every task; more make more indexes, each met by all passages
+in the same pass. Statistics are those of all items, so results do not depend on it."""
 
 BETWEEN = SPACE.copy()
 BETWEEN[:128] |= ~np.isin(np.arange(128), [*range(48, 58), *range(65, 91), *range(97, 123)])
@@ -62,10 +64,10 @@ def _parts(word: np.ndarray, answer: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(run[asks]), np.unique(run[~asks])
 
 
-def build_index(ids: list[int], texts: list[str]) -> Index | None:
-    """The index of the items that have words; None if none has."""
+def _item_words(texts: pa.Array) -> tuple[list[np.ndarray], list[int]]:
+    """The words of each text, and how many of them are the question's."""
     words, cut_at = [], []
-    for _, offs, data in chunks(pc.utf8_lower(pa.array(texts, pa.string()))):
+    for _, offs, data in chunks(pc.utf8_lower(texts)):
         starts, ends, at = split(offs, data, BETWEEN)
         word = hashes(data, starts, ends)
         for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
@@ -74,6 +76,34 @@ def build_index(ids: list[int], texts: list[str]) -> Index | None:
             line = body.rfind(b"\n")
             n = int(np.count_nonzero(starts[a:b] < offs[i] + line)) if line > 0 else 0
             cut_at.append(n if n else (b - a) - (b - a) // 3)
+    return words, cut_at
+
+
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of texts: a row for each distinct term of each, and one without a term that has its number of words."""
+    for batch in batches:
+        words, _ = _item_words(batch.column(0))
+        words = [w for w in words if len(w)]
+        size = pa.array([len(w) for w in words], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), size], ["term", "n"])
+        term = np.concatenate([np.zeros(0, np.uint64), *(np.unique(w) for w in words)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.ones(len(term), np.int64))], ["term", "n"])
+
+
+@dataclass
+class Statistics:
+    """Items with words, their mean and greatest length, and in how many items each of some terms (sorted) is."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build_index(ids: list[int], texts: list[str], known: Statistics | None = None) -> Index | None:
+    """The index of the items that have words; None if none has. ``known``: statistics of more items than these."""
+    words, cut_at = _item_words(pa.array(texts, pa.string()))
     keep = [i for i, w in enumerate(words) if len(w)]
     if not keep:
         return None
@@ -84,15 +114,16 @@ def build_index(ids: list[int], texts: list[str]) -> Index | None:
     terms, where = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
     item = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
     tf = np.concatenate([b[1] for b in bags]).astype(float)
-    df = np.bincount(where)
-    idf = np.log(1 + (len(bags) - df + 0.5) / (df + 0.5))
-    weight = idf[where] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / size.mean()))
+    known = known or Statistics(len(bags), float(size.mean()), int(size.max()), terms, np.bincount(where))
+    df = known.df[np.searchsorted(known.terms, terms)]
+    idf = np.log(1 + (known.items - df + 0.5) / (df + 0.5))
+    weight = idf[where] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / known.mean))
     impact = weight / np.bincount(item, weight)[item]
     order = np.lexsort((item, where))
     where, item, impact = where[order], item[order], impact[order]
     key, first = np.unique(where * (len(bags) // BLOCK_ITEMS + 1) + item // BLOCK_ITEMS, return_index=True)
     return Index(
-        np.array([ids[i] for i in keep], np.int64), max(32, int(size.max())), terms, np.maximum.reduceat(impact, np.searchsorted(where, np.arange(len(terms)))),
+        np.array([ids[i] for i in keep], np.int64), max(32, known.longest), terms, np.maximum.reduceat(impact, np.searchsorted(where, np.arange(len(terms)))),
         np.searchsorted(where, np.arange(len(terms) + 1)), item, impact,
         np.searchsorted(key // (len(bags) // BLOCK_ITEMS + 1), np.arange(len(terms) + 1)), key % (len(bags) // BLOCK_ITEMS + 1), np.maximum.reduceat(impact, first),
         np.minimum(size, GRAM_WORDS), *zip(*(_parts(w, c) for w, c in zip(words, cut_at, strict=True)), strict=True),
@@ -179,15 +210,28 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         raise ValueError(f"columns exist already: {', '.join(taken)}")
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    count = items.count()
     at = docs.columns.index(text_col)
     out = docs.withColumns({"bench_items": F.array().cast("array<long>"), "bench_retrieved": F.lit(0).cast("long"), "bench_score": F.lit(None).cast("double")})
-    parts = max(1, -(-count // INDEX_ITEMS))
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).orderBy("id", "text").toPandas()
-        index = build_index(rows["id"].tolist(), rows["text"].tolist())
+    terms = items.select("text").mapInArrow(_item_terms, "term long, n long").groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"), F.max("n").alias("longest"))
+    sizes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-sizes["bytes"] // INDEX_BYTES))
+    terms = cut(terms) if parts > 1 else terms.cache()
+    total = terms.where("term IS NULL").first()
+    for part in range(parts if total and total["df"] else 0):
+        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
+        rows = own.orderBy("id", "text").toPandas()
+        if not len(rows):
+            continue
+        met = terms.where("term IS NOT NULL")
+        if parts > 1:
+            met = met.join(own.select("text").mapInArrow(_item_terms, "term long, n long").select("term").distinct(), "term", "left_semi")
+        met = met.select("term", "df").toPandas()
+        order = np.argsort(met["term"].to_numpy(np.int64).view(np.uint64))
+        known = Statistics(total["df"], total["n"] / total["df"], total["longest"], met["term"].to_numpy(np.int64).view(np.uint64)[order], met["df"].to_numpy(np.int64)[order])
+        index = build_index(rows["id"].tolist(), rows["text"].tolist(), known)
         if index is not None:
             out = out.mapInArrow(_judge(spark.sparkContext.broadcast(index), at, share), out.schema)
+    terms.unpersist()
     return out.withColumn("contaminated", F.size("bench_items") > 0)
 
 

@@ -168,7 +168,7 @@ def _linked(sets: list[np.ndarray], percent: int, links: Links, rows: np.ndarray
             low, high = size[left], size[right]
             if (root == root[0]).all() or 100 * low[-1] < percent * high[0] or 100 * high[-1] < percent * low[0]:
                 continue
-            both = np.full((len(left), len(right)), common, np.float32)
+            both = np.full((len(left), len(right)), common, np.int64)
             for k in range(0, width, 4096):
                 lo, hi = np.searchsorted(column, (k, k + 4096))
                 grids = []
@@ -176,7 +176,7 @@ def _linked(sets: list[np.ndarray], percent: int, links: Links, rows: np.ndarray
                     own = (owner[lo:hi] >= x[0]) & (owner[lo:hi] <= x[-1])
                     grids.append(np.zeros((len(x), min(4096, width - k)), np.float32))
                     grids[-1][owner[lo:hi][own] - x[0], column[lo:hi][own] - k] = 1
-                both += grids[0] @ grids[1].T
+                both += (grids[0] @ grids[1].T).astype(np.int64)  # at most 4096, exact in float32
             need = (100 + percent) * both >= percent * (size[left][:, None] + size[right][None, :])
             x, y = np.nonzero(need)
             links.join(every[left[x]], every[right[y]])

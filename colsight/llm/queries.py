@@ -43,7 +43,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    found = extract_pages(_read(spark, sf_dir, "pages"))
+    found = extract_pages(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

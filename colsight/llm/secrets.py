@@ -1,8 +1,8 @@
-"""Secrets by rules over a trigram inverted index.
+"""Secrets by rules over a trigram index.
 
 From each rule's regular expression follow trigrams that any match must hold: factors of literal strings, each an OR of
-ANDs of trigrams. Postings (trigram, id) are made for these trigrams only; a rule is verified on the documents in which
-the postings meet its query. A rule without a mandatory trigram reads every text. Trigrams are over a-z case-folded text,
+ANDs of trigrams. Postings are made for these trigrams only; a rule is verified on the documents in which the postings
+meet its query. A rule without a mandatory trigram reads every text. Trigrams are over a-z case-folded text,
 a superset of what either case of a rule needs.
 """
 
@@ -15,6 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colsight.llm.shared import free_names
 from colsight.llm.spans import Rule, add_spans, digest, spans_sql
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,6 +29,8 @@ RULES = [
     Rule("pem", r"-----BEGIN[A-Z\x20]{0,40}PRIVATE\x20KEY-----", base_score=0.9),
 ]
 BASE = ["assign", "access", "hex"]
+WORD = 62
+"""Trigrams of a postings column."""
 MOST_STRINGS = 64
 """A factor with more literal strings says nothing."""
 
@@ -82,36 +85,33 @@ def _holds(mask: dict[str, Column], query: list[list[list[str]]]) -> Column:
     return reduce(Column.__and__, every)
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+def find_secrets(df: DataFrame, text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """``df`` with an array column ``secret_<kind>`` for each rule: start, stop (code points), value and score.
 
-    A null or empty text has empty arrays. Rows may share an id, or have none: postings are by id, and what they select
-    is verified on each row's own text. All other columns stay; the new names must be free.
+    A row's postings, which of the wanted trigrams its text holds, are bits beside the row, so that queries meet them
+    where the text is and nothing is shuffled. A null or empty text has empty arrays; rows are searched one by one, so
+    repeated rows and null ids do not matter. All other columns stay; the new names must be free.
     """
     if taken := [f"secret_{r.kind}" for r in rules if f"secret_{r.kind}" in df.columns]:
         raise ValueError(f"columns exist already: {', '.join(taken)}")
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     names = sorted({g for q in queries.values() for f in q for side in f for g in side})
-    folded = df.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_low"))
-    present = F.array_compact(F.array(*(F.when(F.contains("_low", F.lit(g)), i) for i, g in enumerate(names))))
-    postings = folded.select("_id", F.explode(present).alias("gram"))
-    words = range(-(-len(names) // 62))
-    marks = [F.bit_or(F.when(F.floor(F.col("gram") / 62) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("gram") % 62))).alias(f"m{w}") for w in words]
-    met = postings.groupBy("_id").agg(*marks)
-    mask = {g: F.coalesce(F.col(f"m{i // 62}").bitwiseAND(F.lit(1 << i % 62)) != 0, F.lit(False)) for i, g in enumerate(names)}
-    tried = {k: _holds(mask, q) for k, q in queries.items() if q}
-    met = met.select("_id", *(c.alias(f"_try_{k}") for k, c in tried.items())).where(" OR ".join(f"_try_{k}" for k in tried))
-    df = df.join(met.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    df = df.withColumn("_text", F.coalesce(text_col, F.lit("")))
+    words = range(-(-len(names) // WORD))
+    text, low, *inner = free_names([*df.columns, *(f"secret_{r.kind}" for r in rules)], "text", "low", *(f"postings_{w}" for w in words), *(f"try_{r.kind}" for r in rules))
+    postings, tried = inner[: len(words)], dict(zip((r.kind for r in rules), inner[len(words) :], strict=True))
+    df = df.withColumn(text, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).withColumn(low, F.lower(text))
+    bits = [F.when(F.contains(low, F.lit(g)), F.lit(1 << i % WORD)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(names)]
+    df = df.withColumns({p: reduce(Column.bitwiseOR, bits[w * WORD : (w + 1) * WORD]) for w, p in zip(words, postings, strict=True)}).drop(low)
+    holds = {g: F.col(postings[i // WORD]).bitwiseAND(F.lit(1 << i % WORD)) != 0 for i, g in enumerate(names)}
+    df = df.withColumns({tried[k]: _holds(holds, q) for k, q in queries.items() if q})
     for rank, rule in enumerate(rules):
-        on = F.coalesce(f"_try_{rule.kind}", F.lit(False)) if rule.kind in tried else None
-        df = add_spans(df, "_text", rule, rank, f"secret_{rule.kind}", on)
-    return df.drop("_text", *(f"_try_{k}" for k in tried))
+        df = add_spans(df, text, rule, rank, f"secret_{rule.kind}", F.col(tried[rule.kind]) if queries[rule.kind] else None)
+    return df.drop(text, *inner)
 
 
 def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, digest and list of the spans of every row; rows that repeat are reported again."""
-    found = find_secrets(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
+    found = find_secrets(docs.select(F.col(id_col), F.col(text_col)), text_col)
     return digest(found, id_col, {r.kind: f"secret_{r.kind}" for r in RULES}, BASE)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -13,21 +14,53 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; in tests, where it is unset, a folder of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its
+    own; on a cluster that raises, as executors would write where nobody else reads."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         place = tempfile.mkdtemp(prefix="colsight-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder; a lost executor costs nothing that is written there."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cuts_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the tables that ``cut`` wrote inside: for work whose result has been written elsewhere by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        del _written[before:]
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names with as many underscores in front as make them free among the taken ones, in any case."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in wanted:
+        while name in used:
+            name = f"_{name}"
+        used.add(name)
+        out.append(name)
+    return out
+
+
 class Links:
     """Union-find over the numbers 0..n-1 of one task."""
 

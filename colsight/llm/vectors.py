@@ -1,8 +1,7 @@
 """Near copies among embeddings: int8 tile products with error bounds, then full precision where they leave doubt.
 
 A unit vector x is kept as s q + e with q of int8 and s one scale; |s q| and |e| are known. For two of them
-x y = s s' q q' + s q e' + e y, so |x y - s s' q q'| <= |s q| |e'| + |e|. A product of int8 vectors is exact in float32 up to
-1024 dimensions. Only pairs whose bound reaches the threshold are recomputed in double precision.
+x y = s s' q q' + s q e' + e y, so |x y - s s' q q'| <= |s q| |e'| + |e|. Products of int8 vectors are exact. Only pairs whose bound reaches the threshold are recomputed in double precision.
 
 Equal vectors are one row with a count. Every tile of rows meets every later tile; a pair of tiles returns counts and
 the stars of its links, never its pairs. The work is quadratic in the number of distinct vectors, as all exact products are.
@@ -21,6 +20,8 @@ from colsight.llm.shared import Links, components, cut
 
 TILE_ROWS = 4096
 """Aimed-at rows of a tile."""
+EXACT = 1024
+"""Dimensions of int8 whose product is exact in float32; longer vectors are multiplied in parts, summed in float64."""
 SLACK = 1e-6
 """Added to every bound for rounding of the bound itself."""
 
@@ -51,7 +52,7 @@ def _tile_links(threshold: float):
             links.join(np.arange(len(x)), np.arange(len(x), 2 * len(x)))
         for i in range(0, len(x), 512):
             b = slice(i, i + 512)
-            about = (q[b].astype(np.float32) @ y8) * s[b, None] * t[None, :]
+            about = sum((q[b, k : k + EXACT].astype(np.float32) @ y8[k : k + EXACT]).astype(np.float64) for k in range(0, q.shape[1], EXACT)) * s[b, None] * t[None, :]
             about += big[b, None] * lost[None, :] + err[b, None] + SLACK
             rows, cols = np.nonzero(about >= threshold)
             if same:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
 import pytest
 
-from colsight.llm.pages import extract_pages
 from colsight.llm.pii import find_pii, pii_digest, redact_pii
 from colsight.llm.secrets import find_secrets, secret_digest, trigram_query
 from colsight.llm.shared import components
+from colsight.llm.spans import Rule
 from colsight.llm.vectors import near_vectors
 
 SCHEMA = "doc_id long, text string, start int, kind string, rank int"
@@ -73,30 +74,83 @@ def test_added_spans_scores_and_redaction(spark):
 def test_trigram_queries():
     assert trigram_query("AKIA[A-Z0-9]{16,}") == [[["aki", "kia"]]]
     assert trigram_query("[0-9a-f]{24,}") == []
-    assert trigram_query("(api_?key|token)\\d") == [[["_ke", "api", "key", "pi_"], ["api", "ike", "key", "pik"], ["ken", "oke", "tok"]]]
+    assert trigram_query("(api_?key|token)\\d") == [[["_ke", "api", "i_k", "key", "pi_"], ["api", "ike", "key", "pik"], ["ken", "oke", "tok"]]]
     assert trigram_query("abc.*xyz|q") == []
 
 
-PAGE = (
-    '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div>{}<footer>&copy; x</footer></body></html>'
-)
+def matches(parsed, rng):
+    """A random string that a parsed pattern matches."""
+    out = ""
+    for name, value in parsed:
+        name = str(name)
+        if name == "LITERAL":
+            out += rng.choice([chr(value).upper(), chr(value).lower()])
+        elif name == "IN":
+            k, v = rng.choice(value)
+            out += chr(v) if str(k) == "LITERAL" else chr(rng.randint(*v)) if str(k) == "RANGE" else "7"
+        elif name == "ANY":
+            out += rng.choice("xyz ")
+        elif name == "BRANCH":
+            out += matches(rng.choice(value[1]), rng)
+        elif name == "SUBPATTERN":
+            out += matches(value[3], rng)
+        else:
+            out += "".join(matches(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 3))))
+    return out
+
+
+def test_every_match_holds_its_trigram_query():
+    rng = random.Random(6)
+
+    def pattern(depth):
+        kind = rng.randrange(6 if depth else 3)
+        if kind < 3:
+            return "".join(rng.choice("abkey_1") for _ in range(rng.randrange(1, 6))) if kind else rng.choice(["[ab]", "[0-9a-f]", ".", "\\d", "[a-z]{2,}", "x?", "k{1,3}"])
+        if kind == 3:
+            return f"({pattern(depth - 1)}|{pattern(depth - 1)})"
+        return pattern(depth - 1) + pattern(depth - 1) if kind == 4 else f"({pattern(depth - 1)}){rng.choice(['?', '*', '+', '{2}'])}"
+
+    asked = 0
+    for _ in range(400):
+        text = pattern(3)
+        query, parsed = trigram_query(text), re._parser.parse(text)
+        asked += bool(query)
+        for _ in range(5):
+            low = matches(parsed, rng).lower()
+            assert all(any(all(g in low for g in side) for side in factor) for factor in query), (text, low, query)
+    assert asked > 100
+
+
+def test_rules_without_trigrams_and_working_names(spark):
+    rules = [Rule("hex", "[0-9a-f]{24,}"), Rule("num", "[0-9]{6,}")]
+    rows = [(1, "deadbeef" * 3 + " 1234567"), (None, "x"), (None, None)]
+    table = spark.createDataFrame([(i, t, "a", "b", "c", "d", "e") for i, t in rows], "doc_id long, text string, _id string, _text string, hits string, try_hex string, low string")
+    found = find_secrets(table, rules=rules)
+    assert found.columns == [*table.columns, "secret_hex", "secret_num"]
+    assert sorted(([s.value for s in r.secret_hex], [s.value for s in r.secret_num], r._id, r._text, r.hits) for r in found.collect()) == [
+        ([], [], "a", "b", "c"), ([], [], "a", "b", "c"), (["deadbeef" * 3], ["1234567"], "a", "b", "c"),
+    ]
+    names = spark.createDataFrame([("me@x.org", "keep", "gaps", 1)], "text string, _text string, gaps string, begin int")
+    row = find_pii(names).first()
+    assert row._text == "keep" and row.gaps == "gaps" and row.pii_email[0].value == "me@x.org"
+    assert redact_pii(names).first().text == "<EMAIL>"
 
 
-def test_pages(spark):
-    rows = [
-        (0, "http://a.org/1", PAGE.format("<article><h1>Top</h1><p><b>One\n two<br>three<p>fo<i>u</i>r &amp; &lt;five&gt;&nbsp;<script>x</script></article>")),
-        (1, "http://a.org/2", PAGE.format("<article><p>Short</p><div class='comments'>Nice!</div><aside>No</aside><form>No</form></article>")),
-        (2, "http://b.org/1", PAGE.format('<div class="post-12"><p>' + "Long body text. " * 20 + '</p></div><div class="sidebar">Links</div>')),
-        (3, "http://b.org/2", PAGE.format('<div class="post-77"><p>Tiny.</p></div><div class="box"><p>Subscribe to our very long letter, please do.</p></div>')),
-        (4, None, None), (5, "", ""), (6, "http://c.org", "no tags &eacute;"), (7, "http://c.org", "<p>cut <!-- off"), (7, "http://c.org", "<p>cut <b>off</b"),
-    ]
-    rows += [(10 + i, "http://b.org/x", rows[2][2]) for i in range(3)]
-    table = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, html string, host string")
-    got = [(r.page_id, r.text) for r in extract_pages(table).orderBy("page_id", "text").collect()]
-    assert got[:9] == [
-        (0, "Top One two three four & <five>"), (1, "Short"), (2, " ".join(["Long body text."] * 20)), (3, "Tiny."), (4, ""), (5, ""), (6, "no tags é"), (7, "cut"), (7, "cut off"),
+def test_words_nearby_decide_on_doubtful_numbers(spark):
+    texts = [
+        "account GB82 WEST 1234 5698 7654 32 please", "code GB82 WEST 1234 5698 7654 32 please", "account GB83 WEST 1234 5698 7654 32",
+        "my SSN is 123-45-6789.", "part 123-45-6789.", "SSN 000-45-6789 666-12-1234", "mail me@x.org", "me@x.org",
     ]
-    assert extract_pages(table.where("page_id < 0")).count() == 0
+    table = docs(spark, list(enumerate(texts)))
+    found = {r.doc_id: r for r in find_pii(table).collect()}
+    assert [len(found[i].pii_account) for i in range(3)] == [1, 0, 0] and found[0].pii_account[0].score == 0.7
+    assert [len(found[i].pii_national) for i in (3, 4, 5)] == [1, 0, 0]
+    low = {r.doc_id: r for r in find_pii(table, min_score=0.0).collect()}
+    assert len(low[1].pii_account) == len(low[4].pii_national) == 1
+    marked = [r.text for r in redact_pii(table).orderBy("doc_id").collect()]
+    assert marked[0] == "account <ACCOUNT> please" and "GB82" in marked[1] and marked[3] == "my SSN is <NATIONAL>." and marked[4] == texts[4]
+    scores = {r.doc_id: r.scores for r in pii_digest(table).collect()}
+    assert scores[6] == "100" and scores[7] == "70" and scores[3] == "60" and scores[4] == ""
 
 
 def test_vectors_equal_brute_force(spark):
@@ -117,6 +171,22 @@ def test_vectors_equal_brute_force(spark):
     assert near_vectors(table.where("vec_id < 0")).count() == 0
 
 
+def test_vectors_ties_ids_and_many_dimensions(spark):
+    rng = np.random.default_rng(2)
+    wide = rng.normal(size=(40, 2500))
+    wide[20:] = wide[:20] + rng.normal(size=(20, 2500)) * rng.uniform(0.1, 0.5, (20, 1))
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: int(link[i].sum()) - 1 for i in range(40)}
+    tie = [(1, [4.0, 3.0]), (2, [5.0, 0.0]), (3, [4.0, 3.0]), (3, [0.0, 1.0]), (None, [4.0, 3.0]), (None, None)]
+    table = spark.createDataFrame(tie, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in near_vectors(table, threshold=0.8).collect())
+    assert (1, 2, 1) in got and (2, 2, 1) in got and sum(g[0] == 0 and g[2] is None for g in got) == 2
+    apart = {r.vec_id: r.n_links for r in near_vectors(table.where("vec_id < 3"), threshold=0.8 + 1e-9).collect()}
+    assert apart == {1: 0, 2: 0}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 7), (200, 201), (201, 200), (300, 300), (400, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
@@ -154,3 +224,25 @@ def test_pipeline(spark, tmp_path):
     assert masked.text.endswith("write to <EMAIL>") and masked.n_chars == len(masked.text)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == kept[-1]
+
+
+def test_pipeline_keeps_one_of_each_copy_whatever_its_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(5, "one two three four five six"), (5, "one two three four five six"), (None, "One two three\nfour five six"), (3, "one two three four five six"), (None, None), (None, ""), (7, "")]
+    rows += [(8, "all other words are in this text"), (8, "and quite another text has the same id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_copies(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(3, rows[0][1]), (0, ""), (0, ""), (7, ""), *rows[-2:]])
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, 3)], schemas["documents"]).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1]

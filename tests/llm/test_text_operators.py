@@ -64,6 +64,18 @@ def test_jaccard_equals_brute_force(spark, n, percent):
     assert got == brute_groups(rows, n, percent)
 
 
+def test_jaccard_is_exact_at_the_threshold_of_very_long_texts():
+    from colsight.llm.jaccard import _linked
+    from colsight.llm.shared import Links
+
+    common = np.arange(90_729, dtype=np.uint64)
+    for own, other, links in ((8_005, 8_006, True), (8_006, 8_006, False)):  # 100 x 90,729 = 85 x 106,740
+        sets = [np.concatenate((common, np.arange(n, dtype=np.uint64) + np.uint64(k << 20))) for n, k in ((own, 1), (other, 2))]
+        found = Links(2)
+        _linked(sets, 85, found, np.arange(2), None)
+        assert (found.roots()[1] == 0) == links
+
+
 def test_jaccard_star_of_copies_and_empty_table(spark):
     rng = random.Random(5)
     base = words_of(rng, 150, 10**6)
