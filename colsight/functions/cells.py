@@ -30,6 +30,9 @@ DATE_LAYOUTS: dict[str, tuple[str, str | None]] = {
     "month_name": (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 }
 
+# Layouts that no other one can be taken for; without an election these are read.
+CLEAR_LAYOUTS = ("iso_date", "iso_datetime", "year_month_day", "month_name")
+
 NUMERIC_TYPES = (T.NumericType,)
 TEMPORAL_TYPES = (T.TimestampNTZType, T.TimestampType, T.DateType)
 
@@ -114,7 +117,9 @@ def to_timestamp(cell: Column, dtype: T.DataType, layout: str | None = None) ->
         return cell.cast("timestamp_ntz")
     if not is_text(dtype):
         return F.lit(None).cast("timestamp_ntz")
-    return parse_date(cell, layout or "iso_date")
+    if layout is not None:
+        return parse_date(cell, layout)
+    return F.coalesce(*[parse_date(cell, name) for name in CLEAR_LAYOUTS])
 
 
 def epoch_micros(ts: Column) -> Column:

@@ -4,7 +4,7 @@ Plan of the numeric profile, whatever the number of columns:
 
 1. one scan of the data into a count table of distinct values, which is held;
 2. counts, moments and extremes from that table;
-3. ranks over it: percentiles, Gini and Anderson-Darling in one pass;
+3. ranks over it: percentiles, Gini and the normality test in one pass;
 4. MAD by selection over ``|x - median|``, without another sort;
 5. one pass for fences, robust outliers and histogram bins.
 
@@ -17,14 +17,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colsight.functions import cells
 from colsight.functions.tables import per_column, small_table
-from colsight.functions.special import log_far_tail, log_near_tail, shapiro_p
+from colsight.functions.special import francia_p, normal_score
 from colsight.operators.kinds import ColumnKind, KINDS, kinds_from_schema, name_column, of_kind, typed_cell
 from colsight.operators import ranking
 
@@ -34,11 +33,10 @@ MAD_SCALE = 1.4826
 ROBUST_FACTOR = 0.6745
 ROBUST_CUT = 3.5
 FENCE = 1.5
-SHAPIRO_MAX_ROWS = 5000
-AD_LEVELS = (0.15, 0.10, 0.05, 0.025, 0.01)
-AD_CRITICAL = (0.576, 0.656, 0.787, 0.918, 1.092)
+MIN_NORMALITY_ROWS, MIN_NORMALITY_VALUES = 5, 3
 MAX_BINS = 40
 MIN_BINS = 10
+TIE = 0.0005
 TOP_VALUES = 5
 TOP_OUTLIERS = 50
 YEAR_WORDS = ("year", "yr", "fiscal_year", "fy")
@@ -181,39 +179,15 @@ def gini_table(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     return small_table(spark, [(k.name, found.get(k.position, 0.0)) for k in kinds], "name string, gini double")
 
 
-def with_anderson_term(ranked: DataFrame, mean: Column, sd: Column, n: Column) -> DataFrame:
-    """Add ``anderson``: each value's term of the Anderson-Darling sum, ties collapsed."""
-    c, before, n = F.col("cnt").cast("double"), F.col("before").cast("double"), n.cast("double")
-    # one tail evaluation per value: separate projections keep it from being inlined
-    tails = (
-        ranked.withColumn("z", F.try_divide(F.col("value") - mean, sd))
-        .withColumn("far", log_far_tail(F.col("z")))
-        .withColumn("near", log_near_tail(F.col("far")))
-    )
-    up = F.col("z") >= 0
-    below, above = F.when(up, F.col("near")).otherwise(F.col("far")), F.when(up, F.col("far")).otherwise(F.col("near"))
-    term = c * (2 * before + c) * below + c * (2 * n - 2 * before - c) * above
-    return tails.withColumn("anderson", term).drop("z", "far", "near")
-
-
-def anderson_band(statistic: float, n: int) -> float:
-    scale = 1.0 + 4.0 / n - 25.0 / n / n
-    for level, critical in zip(AD_LEVELS, AD_CRITICAL):
-        if statistic < round(critical / scale, 3):
-            return level
-    return AD_LEVELS[-1]
+def francia_sums(mean: Column, n: Column) -> list[Column]:
+    """Aggregates over the ranked table for the squared correlation of values with the normal scores of their ranks."""
+    c, score = F.col("cnt").cast("double"), F.col("score")
+    return [F.sum(c * score).alias("score_sum"), F.sum(c * score * score).alias("score_square"), F.sum(c * score * (F.col("value") - mean)).alias("score_cross")]
 
 
-def shapiro_table(counts: DataFrame, positions: list[int]) -> DataFrame:
-    """(pos, w, p) of small columns; a group never exceeds SHAPIRO_MAX_ROWS rows."""
-    def one_column(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_p(np.repeat(pdf["value"].to_numpy(), pdf["cnt"].to_numpy()))
-        return pd.DataFrame({"pos": [pdf["pos"].iloc[0]], "w": [w], "p": [p]})
-
-    return (
-        counts.where(F.col("pos").isin(*positions)).select("pos", "value", "cnt")
-        .groupBy("pos").applyInPandas(one_column, "pos int, w double, p double")
-    )
+def francia_statistic(n: int, scores: float, squares: float, cross: float, m2: float) -> float | None:
+    spread = (squares - scores * scores / n) * m2
+    return min(cross * cross / spread, 1.0) if spread > 0 else None
 
 
 def histogram_plan(n: int, lo: float, hi: float, iqr: float, integers: bool) -> int:
@@ -301,7 +275,6 @@ OUTLIER_SCHEMA = "name string, rank bigint, value double, z double"
 def profile_numeric(
     df: DataFrame,
     kinds: list[ColumnKind],
-    normality: bool = True,
     mad_scale: float = MAD_SCALE,
 ) -> NumericProfile:
     """The full numeric panel for every column in ``kinds``."""
@@ -322,7 +295,7 @@ def profile_numeric(
         if usable:
             counts = everything.where(F.col("value").isNotNull())
             _fill_moments(counts, usable)
-            _fill_ranks(counts, usable, normality)
+            _fill_ranks(counts, usable)
             _fill_mad(counts, usable, mad_scale)
             bins, spots = _fill_spread(counts, usable)
     finally:
@@ -381,12 +354,12 @@ def _spread_only(df: DataFrame, kinds: list[ColumnKind]) -> tuple[DataFrame, Dat
 def _fill_moments(counts: DataFrame, usable: dict[int, dict]) -> None:
     for r in central_moments(counts, {p: m["mean"] for p, m in usable.items()}).collect():
         m = usable[r["pos"]]
-        m.update(shape_statistics(m["count"], r["m2"], r["m3"], r["m4"]))
+        m.update(shape_statistics(m["count"], r["m2"], r["m3"], r["m4"]), m2=r["m2"])
         m["cv"] = m["std"] / abs(m["mean"]) if m["mean"] else None
         m["format_hint"] = "year" if looks_like_years(m["name"], m["whole"], m["min"], m["max"]) else "standard"
 
 
-def _fill_ranks(counts: DataFrame, usable: dict[int, dict], normality: bool) -> None:
+def _fill_ranks(counts: DataFrame, usable: dict[int, dict]) -> None:
     """Percentiles, Gini and the normality test in one ranking.
 
     Gini ranks |x|; a column of mixed signs takes part a second time, folded.
@@ -403,10 +376,8 @@ def _fill_ranks(counts: DataFrame, usable: dict[int, dict], normality: bool) ->
     every = sizes | {p + offset: sizes[p] for p in mixed}
     ranked = ranking.with_sizes(ranking.with_rows_before(table, every), every)
     extra = [gini_sum().alias("weighted"), F.sum(F.col("value") * F.col("cnt")).alias("total")]
-    if normality:
-        sd = per_column({p: m["std"] for p, m in usable.items() if m["count"] > SHAPIRO_MAX_ROWS} or {0: None})
-        ranked = with_anderson_term(ranked, per_column({p: m["mean"] for p, m in usable.items()}), sd, F.col("n"))
-        extra.append(F.sum("anderson").alias("anderson"))
+    ranked = ranked.withColumn("score", normal_score(ranking.average_rank(), F.col("n")))
+    extra += francia_sums(per_column({p: m["mean"] for p, m in usable.items()}), F.col("n"))
     at = {r["pos"]: r for r in ranking.exact_quantiles(ranked, PERCENTILES, extra).collect()}
     for p, m in usable.items():
         m.update({name: at[p][name] for name in PERCENTILES}, median=at[p]["p50"])
@@ -414,8 +385,10 @@ def _fill_ranks(counts: DataFrame, usable: dict[int, dict], normality: bool) ->
         sums = at[p + offset] if p in mixed else at[p]
         n, total = m["count"], sums["total"]
         m["gini"] = 2.0 * sums["weighted"] / (n * total) - (n + 1) / n if total else 0.0
-    if normality:
-        _add_normality(counts, usable, at, sizes)
+        if n >= MIN_NORMALITY_ROWS and m["distinct"] >= MIN_NORMALITY_VALUES:
+            w = francia_statistic(n, at[p]["score_sum"], at[p]["score_square"], at[p]["score_cross"], m["m2"])
+            if w is not None:
+                m.update(normality_statistic=w, normality_p=francia_p(w, n), normality_test="shapiro_francia")
 
 
 def _fill_mad(counts: DataFrame, usable: dict[int, dict], scale: float) -> None:
@@ -453,19 +426,6 @@ def _fill_spread(counts: DataFrame, usable: dict[int, dict]) -> tuple[list[tuple
     return bins, spots
 
 
-def _add_normality(counts: DataFrame, usable: dict, at: dict, sizes: dict) -> None:
-    testable = [p for p in usable if sizes[p][0] >= 3 and sizes[p][1] >= 3]
-    small = [p for p in testable if usable[p]["count"] <= SHAPIRO_MAX_ROWS]
-    if small:
-        for r in shapiro_table(counts, small).collect():
-            usable[r["pos"]].update(normality_statistic=r["w"], normality_p=r["p"], normality_test="shapiro_wilk")
-    for p in set(testable) - set(small):
-        n = usable[p]["count"]
-        statistic = -n - at[p]["anderson"] / n
-        usable[p].update(normality_statistic=statistic, normality_p=anderson_band(statistic, n),
-                         normality_test="anderson_darling")
-
-
 # ----- categorical -----------------------------------------------------------
 
 
@@ -503,9 +463,11 @@ def categorical_summary(df: DataFrame, counts: DataFrame, kinds: list[ColumnKind
         F.sum(c * F.log2(c)).alias("c_log_c"),
     )
     # smallest of the most frequent values
-    mode = counts.join(F.broadcast(shape.select("pos", "mode_frequency")), "pos").where(
-        F.col("cnt") == F.col("mode_frequency")
-    ).groupBy("pos").agg(F.min("value").alias("mode"))
+    leading = F.col("cnt") == F.col("mode_frequency")
+    close = (F.col("mode_frequency") - F.col("cnt")) / F.col("count") < TIE
+    mode = counts.join(F.broadcast(shape.select("pos", "mode_frequency", F.col("count").cast("double").alias("count"))), "pos").where(close).groupBy("pos").agg(
+        F.min(F.when(leading, F.col("value"))).alias("mode"), F.count(F.lit(1)).alias("tied_count")
+    )
     n, k = F.col("count").cast("double"), F.col("unique_count").cast("double")
     # -sum(p log p) = log n - sum(c log c)/n
     entropy = F.when(k <= 1, 0.0).otherwise(F.try_divide(F.log2(n) - F.col("c_log_c") / n, F.log2(k)))
@@ -515,7 +477,7 @@ def categorical_summary(df: DataFrame, counts: DataFrame, kinds: list[ColumnKind
             "name", F.col("pos").alias("position"), "total_rows", "missing",
             F.coalesce(guarded_ratio(F.col("missing"), F.col("total_rows")), F.lit(0.0)).alias("missing_pct"),
             F.coalesce("count", F.lit(0)).alias("count"), "unique_count", "mode", "mode_frequency",
-            entropy.alias("entropy_normalized"),
+            entropy.alias("entropy_normalized"), "tied_count",
         )
     )
 
@@ -644,14 +606,14 @@ def boolean_summary(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, kinds: list[ColumnKind] | None = None, normality: bool = True) -> Profile:
+def profile(df: DataFrame, kinds: list[ColumnKind] | None = None) -> Profile:
     """Profile every column of a table by its kind."""
     spark = df.sparkSession
     kinds = kinds or kinds_from_schema(df)
     base = ["name", "position", "total_rows", "missing", "missing_pct"]
     unknown: list[tuple] = []
 
-    numeric = profile_numeric(df, of_kind(kinds, "numeric"), normality) if of_kind(kinds, "numeric") else None
+    numeric = profile_numeric(df, of_kind(kinds, "numeric")) if of_kind(kinds, "numeric") else None
     if numeric is None:
         numeric = NumericProfile(
             small_table(spark, [], NUMERIC_SCHEMA),
@@ -675,7 +637,7 @@ def profile(df: DataFrame, kinds: list[ColumnKind] | None = None, normality: boo
     else:
         categorical = small_table(spark, [], "name string, position int, total_rows bigint, missing bigint, "
                                             "missing_pct double, count bigint, unique_count bigint, mode string, "
-                                            "mode_frequency bigint, entropy_normalized double")
+                                            "mode_frequency bigint, entropy_normalized double, tied_count bigint")
         top = small_table(spark, [], "name string, rank int, value string, cnt bigint, pct double")
     dates = of_kind(kinds, "datetime")
     datetime = usable(profile_datetime(df, dates), NO_DATES) if dates else small_table(spark, 

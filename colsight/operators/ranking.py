@@ -176,7 +176,7 @@ def with_sizes(ranked: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFram
 
 # ----- selection without sorting ---------------------------------------------
 
-SELECT_BINS = 512
+SELECT_SPLITS = 1_024
 SELECT_ROWS = 4_000
 
 
@@ -197,68 +197,70 @@ def extents(weighted: DataFrame) -> dict[int, Extent]:
     return {r["pos"]: Extent(r["n"], r["stored"], float(r["lo"]), float(r["hi"])) for r in found.collect()}
 
 
+@dataclass
+class Bracket:
+    """A range of values that holds a wanted rank: its real ends, rows below it, stored rows inside."""
+
+    lo: float
+    hi: float
+    below: int
+    stored: int
+
+
 def order_statistics(
-    weighted: DataFrame, ranks: dict[int, set[int]], known: dict[int, Extent] | None = None
+    weighted: DataFrame, ranks: dict[int, set[int]], known: dict[int, Extent] | None = None, passes: list[str] | None = None
 ) -> dict[tuple[int, int], float]:
-    """Exact values at 0-based ranks of each column, by narrowing value ranges.
+    """Exact values at 0-based ranks of each column, without a sort.
 
-    ``weighted`` is ``(pos, value, cnt)``; values may repeat, nothing is sorted or
-    shuffled whole. Each round is one aggregation into at most 512 bins per wanted
-    rank and keeps the bin that holds it, with that bin's real ends, so every
-    round splits off at least one end. A range with few rows left is read out.
+    ``weighted`` is ``(pos, value, cnt)``; values may repeat. A mergeable quantile sketch cuts the values into parts of
+    about equal numbers, whatever their distribution; one pass counts every part exactly and so finds the one that holds
+    a rank; a part of at most SELECT_ROWS is read out. Up to four million stored values that is three passes; beyond it
+    the part is cut again. A value that is a cut is a part of its own, so each round leaves less. ``passes``, if given,
+    is told of each pass.
     """
     spark = weighted.sparkSession
+    passes = [] if passes is None else passes
     known = known or extents(weighted)
     found: dict[tuple[int, int], float] = {}
-    open_ranges: dict[tuple[int, int], tuple[float, float, int]] = {}
-    rows_left: dict[tuple[int, int], int] = {}
-    for pos, extent in known.items():
-        for rank in ranks.get(pos, ()):
-            open_ranges[pos, rank] = (extent.lo, extent.hi, 0)
-            rows_left[pos, rank] = extent.stored
-
-    def settle(key: tuple[int, int], cells: list[tuple]) -> None:
-        """``cells``: (lo, hi, rows, cnt) in value order; keep the one holding the rank."""
-        below = open_ranges[key][2]
-        for lo, hi, rows, cnt in cells:
-            if key[1] < below + cnt:
-                open_ranges[key] = (lo, hi, below)
-                rows_left[key] = rows
-                break
-            below += cnt
-        lo, hi, _ = open_ranges[key]
-        if lo == hi:
-            found[key] = lo
-            del open_ranges[key]
-
-    for key, (lo, hi, _) in list(open_ranges.items()):
-        if lo == hi:
-            found[key] = lo
-            del open_ranges[key]
-    while open_ranges:
-        small = {k for k in open_ranges if rows_left[k] <= SELECT_ROWS}
-        wanted = small or set(open_ranges)
-        table = small_table(
-            spark, [(p, rank, *open_ranges[(p, rank)][:2]) for p, rank in sorted(wanted)],
-            "pos int, rank bigint, lo double, hi double",
-        )
+    open_ = {(pos, rank): Bracket(e.lo, e.hi, 0, e.stored) for pos, e in known.items() for rank in ranks.get(pos, ())}
+
+    def close() -> None:
+        for key in [k for k, b in open_.items() if b.lo == b.hi]:
+            found[key] = open_.pop(key).lo
+
+    close()
+    while open_:
+        few = {k for k, b in open_.items() if b.stored <= SELECT_ROWS}
+        wanted = few or set(open_)
+        parts = {key: at for at, key in enumerate(sorted({(k[0], open_[k].lo, open_[k].hi) for k in wanted}))}
+        table = small_table(spark, [(at, *key) for key, at in parts.items()], "part int, pos int, lo double, hi double")
         inside = weighted.join(F.broadcast(table), "pos").where(F.col("value").between(F.col("lo"), F.col("hi")))
-        if small:
-            bin_key = F.col("value")
-        else:
-            # halves first: the full width of a column may exceed the largest double
-            part = (F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-            scaled = part * F.lit(float(SELECT_BINS))
-            bin_key = F.least(F.floor(scaled), F.lit(SELECT_BINS - 1))
-        cells = inside.groupBy("pos", "rank", bin_key.alias("bin")).agg(
-            F.min("value").alias("lo"), F.max("value").alias("hi"),
-            F.count(F.lit(1)).alias("rows"), F.sum("cnt").alias("cnt"),
+        cell = F.col("value")
+        if not few:
+            passes.append("sketch")
+            cuts = [i / SELECT_SPLITS for i in range(1, SELECT_SPLITS)]
+            sketch = inside.groupBy("part").agg(F.percentile_approx("value", cuts, 10 * SELECT_SPLITS).alias("splits"))
+            rows = [(r["part"], sorted(set(r["splits"]))) for r in sketch.collect()]
+            inside = inside.join(F.broadcast(small_table(spark, rows, "part int, splits array<double>")), "part")
+            steps = [1 << b for b in range(SELECT_SPLITS.bit_length(), -1, -1)]
+            inside = inside.withColumn("at", _bucket_of(F.col("value"), F.col("splits"), steps))
+            cell = 2 * F.col("at") + F.coalesce(F.get("splits", F.col("at")) == F.col("value"), F.lit(False)).cast("int")
+        passes.append("read" if few else "count")
+        cells = inside.groupBy("part", cell.alias("cell")).agg(
+            F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("cnt").alias("cnt"),
         )
-        grouped: dict[tuple[int, int], list[tuple]] = {}
+        grouped: dict[int, list[tuple]] = {}
         for r in cells.collect():
-            grouped.setdefault((r["pos"], r["rank"]), []).append((r["lo"], r["hi"], r["rows"], r["cnt"]))
-        for key, rows in grouped.items():
-            settle(key, sorted(rows))
+            grouped.setdefault(r["part"], []).append((r["lo"], r["hi"], r["rows"], r["cnt"]))
+        for key in wanted:
+            bracket = open_[key]
+            below = bracket.below
+            for lo, hi, rows, cnt in sorted(grouped[parts[key[0], bracket.lo, bracket.hi]]):
+                if key[1] < below + cnt:
+                    open_[key] = Bracket(lo, hi, below, rows)
+                    break
+                below += cnt
+        close()
     return found
 
 

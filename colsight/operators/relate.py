@@ -7,17 +7,18 @@ the number of columns: pair rows, one cross-product matrix, model rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.functions.special import t_two_sided_p, t_two_sided_p_col
 from colsight.functions.tables import small_table
 from colsight.operators import ranking
-from colsight.operators.kinds import ColumnKind, name_column, of_kind, typed_cell
+from colsight.operators.kinds import ColumnKind, of_kind, typed_cell
+from colsight.operators.moments import Moments, list_moments, matrix_moments, matrix_of, merged_over, pair_moments
 
 # --- fixed values: limits and reasons ----------------------------------------
 TOP_PAIRS = 3
@@ -47,8 +48,7 @@ CONDITION_LIMIT = 1e12
 MAX_NEWTON = 30
 NEWTON_STEP = 1e-7  # in standard deviations of the features
 NEWTON_GAIN = 1e-13
-PAIRS_PER_SCAN = 60
-PRODUCTS_PER_SCAN = 80
+MAX_HALVINGS = 8
 # A rank table up to this many values (about 16 MB) is broadcast; larger ones shuffle.
 BROADCAST_VALUES = 500_000
 # A value held by more than one row in HEAVY_SHARE is salted; at most HEAVY_SHARE such values exist.
@@ -59,7 +59,7 @@ PAIR_SCHEMA = "i int, j int, r double, n bigint"
 MODEL_SCHEMA = (
     "target string, kind string, n_observations bigint, r_squared double, adjusted_r_squared double, "
     "intercept double, auc double, accuracy double, true_count bigint, false_count bigint, "
-    "multicollinear array<string>, skipped_reason string"
+    "multicollinear array<string>, skipped_reason string, converged boolean, rounds int"
 )
 COEFFICIENT_SCHEMA = (
     "target string, kind string, rank int, feature string, estimate double, standardized_estimate double, "
@@ -79,71 +79,80 @@ def numeric_frame(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
 # ----- correlations ----------------------------------------------------------
 
 
-def _pair_correlations(df: DataFrame, columns: dict[tuple[int, int], tuple[str, str]]) -> DataFrame:
-    """Correlation and complete-row count of the given column pairs, many per scan."""
-    pairs = list(columns)
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        cells = []
-        for i, j in pairs[start:start + PAIRS_PER_SCAN]:
-            a, b = F.col(columns[i, j][0]), F.col(columns[i, j][1])
-            n = F.count_if(a.isNotNull() & b.isNotNull())
-            # corr() fails on a constant column in ANSI mode; the quotient is NULL instead
-            spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
-            r = F.try_divide(F.covar_pop(a, b), spread)
-            r = F.when((n >= MIN_PAIR_ROWS) & r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
-            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), r.alias("r"), n.alias("n")))
-        part = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else small_table(df.sparkSession, [], PAIR_SCHEMA)
+def _pair_rows(spark, pairs: list[tuple[int, int]], r: np.ndarray, n: np.ndarray) -> DataFrame:
+    rows = [(i, j, None if math.isnan(x) else float(x), int(m)) for (i, j), x, m in zip(pairs, r, n)]
+    return small_table(spark, rows, PAIR_SCHEMA)
 
 
 def pearson_pairs(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
-    """``(i, j, r, n)`` for every pair of numeric columns, each on its own complete rows."""
+    """``(i, j, r, n)`` for every pair of numeric columns, each on its own complete rows; one scan for all pairs."""
     frame = numeric_frame(df, kinds)
-    return _pair_correlations(frame, {(i, j): (f"c{i}", f"c{j}") for i, j in column_pairs(len(frame.columns))})
+    pairs = column_pairs(len(frame.columns))
+    if not pairs:
+        return small_table(df.sparkSession, [], PAIR_SCHEMA)
+    moments = pair_moments(frame)
+    a, b = np.array(pairs).T
+    return _pair_rows(df.sparkSession, pairs, moments.correlation(MIN_PAIR_ROWS)[a, b], moments.n[a, b])
 
 
-def attach_ranks(
-    frame: DataFrame, cell: Column, ranks: DataFrame, distinct: int, heavy: list[float], name: str
-) -> DataFrame:
-    """Add the rank of ``cell`` as ``name``; ``ranks`` is ``(value, rank)``, unique by value.
+def attach_ranks(long: DataFrame, ranks: DataFrame, distinct: int, heavy: DataFrame | None) -> DataFrame:
+    """``(row, pos, rank)`` of cells ``(row, pos, value)``; ``ranks`` is ``(pos, value, rank)``, unique by pos and value.
 
-    A bounded table is broadcast. Otherwise rows meet their rank by a shuffle in
-    which every value held by many rows is spread over SALTS tasks. The salt comes
-    from the task's own partition number, so a rerun places rows the same way.
+    A bounded table of ranks is broadcast. Otherwise cells meet their rank by one shuffle, in which the values of
+    ``heavy`` (a bounded table ``(pos, value)``) are spread over SALTS tasks by row.
     """
-    ranks = ranks.select(F.col("value").alias("_value"), F.col("rank").alias(name))
+    key = ["pos", "value"]
     if distinct <= BROADCAST_VALUES:
-        return frame.join(F.broadcast(ranks), cell == F.col("_value"), "left").drop("_value")
-    if not heavy:
-        return frame.join(ranks, cell == F.col("_value"), "left").drop("_value")
-    hot = F.coalesce(cell.isin(*heavy), F.lit(False))
-    salted = frame.withColumn("_salt", F.when(hot, F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0))
-    copies = F.when(F.col("_value").isin(*heavy), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = ranks.withColumn("_copy", F.explode(copies))
-    return salted.join(
-        spread, (cell == F.col("_value")) & (F.col("_salt") == F.col("_copy")), "left"
-    ).drop("_value", "_salt", "_copy")
+        return long.join(F.broadcast(ranks), key).select("row", "pos", "rank")
+    if heavy is None:
+        return long.join(ranks, key).select("row", "pos", "rank")
+    flag = F.broadcast(heavy.withColumn("hot", F.lit(True)))
+    salted = long.join(flag, key, "left").withColumn(
+        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(0)
+    )
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = ranks.join(flag, key, "left").withColumn("salt", F.explode(copies))
+    return salted.drop("hot").join(spread.drop("hot"), [*key, "salt"]).select("row", "pos", "rank")
+
+
+def _ranked_rows(pairs: list[tuple[int, int]], width: int):
+    """Moments of ``(row, pos, rank)`` cells that come sorted by row: cells become rows of a matrix again."""
+    a, b = np.array(pairs).T
+
+    def matrix(row: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        at = np.cumsum(np.diff(row, prepend=row[0]) != 0)
+        out = np.full((at[-1] + 1, width), np.nan)
+        out[at, cells[:, 0].astype(int)] = cells[:, 1]
+        return out
+
+    def run(batches):
+        row, cells = np.zeros(0, np.int64), np.zeros((0, 2))
+        for batch in batches:
+            row = np.concatenate((row, batch.column(0).to_numpy()))
+            cells = np.concatenate((cells, np.column_stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])))
+            cut = int(np.searchsorted(row, row[-1])) if len(row) else 0  # the last row may go on
+            if cut:
+                yield list_moments(matrix(row[:cut], cells[:cut]), a, b)
+            row, cells = row[cut:], cells[cut:]
+        if len(row):
+            yield list_moments(matrix(row, cells), a, b)
+
+    return run
 
 
 def spearman_pairs(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     """``(i, j, r, n)``: Pearson of average ranks taken within each pair's complete rows.
 
-    A column is ranked once, plus once more for every other column whose missing
-    values drop rows from the pair.
+    A column is ranked once, plus once more for every other column whose missing values drop rows from the pair. All
+    columns are ranked and joined with their ranks together, as cells ``(row, column, value)``.
     """
     spark = df.sparkSession
     frame = numeric_frame(df, kinds)
-    p = len(frame.columns)
     gaps = frame.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in frame.columns]).first()
     mask_of = lambda j: j if gaps[f"c{j}"] else None
-    columns, tasks = {}, {}
-    for i, j in column_pairs(p):
-        ends = []
-        for a, b in ((i, mask_of(j)), (j, mask_of(i))):
-            ends.append(f"r{tasks.setdefault((a, b), len(tasks))}")
-        columns[i, j] = tuple(ends)
+    pairs, ends, tasks = column_pairs(len(frame.columns)), [], {}
+    for i, j in pairs:
+        ends.append(tuple(tasks.setdefault(t, len(tasks)) for t in ((i, mask_of(j)), (j, mask_of(i)))))
     if not tasks:
         return small_table(spark, [], PAIR_SCHEMA)
 
@@ -151,32 +160,25 @@ def spearman_pairs(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
         a, b = task
         return F.col(f"c{a}") if b is None else F.when(F.col(f"c{b}").isNotNull(), F.col(f"c{a}"))
 
-    counts = ranking.hold(ranking.count_values(
-        ranking.long_form(frame, {pos: task_cell(t) for t, pos in tasks.items()})
-    ))
-    sizes = ranking.column_sizes(counts)
-    ranked = ranking.hold(
-        ranking.with_rows_before(counts, sizes).select("pos", "value", ranking.average_rank().alias("rank"))
-    )
-    # at most HEAVY_SHARE values per ranked column, only for columns too large to broadcast
-    large = [(pos, n // HEAVY_SHARE) for pos, (n, d) in sizes.items() if d > BROADCAST_VALUES]
-    heavy: dict[int, list[float]] = {}
-    if large:
-        limit = small_table(spark, large, "pos int, least bigint")
-        for r in counts.join(F.broadcast(limit), "pos").where(F.col("cnt") > F.col("least")).collect():
-            heavy.setdefault(r["pos"], []).append(r["value"])
+    cells = {pos: task_cell(t) for t, pos in tasks.items()}
+    counts = ranking.hold(ranking.count_values(ranking.long_form(frame, cells)))
     try:
-        wide = frame
-        for task, pos in tasks.items():
-            wide = attach_ranks(
-                wide, task_cell(task), ranked.where(F.col("pos") == pos),
-                sizes.get(pos, (0, 0))[1], heavy.get(pos, []), f"r{pos}",
-            )
-        rows = _pair_correlations(wide, columns).collect()  # one row per pair
+        sizes = ranking.column_sizes(counts)
+        ranked = ranking.with_rows_before(counts, sizes).select("pos", "value", ranking.average_rank().alias("rank"))
+        distinct = sum(d for _, d in sizes.values())
+        heavy = None
+        if distinct > BROADCAST_VALUES:
+            # at most HEAVY_SHARE values per ranked column
+            limit = small_table(spark, [(pos, n // HEAVY_SHARE) for pos, (n, _) in sizes.items()], "pos int, least bigint")
+            heavy = counts.join(F.broadcast(limit), "pos").where(F.col("cnt") > F.col("least")).select("pos", "value")
+        row = {pos: {"row": F.col("row")} for pos in cells}
+        long = ranking.long_form(frame.withColumn("row", F.monotonically_increasing_id()), cells, row)
+        joined = attach_ranks(long.where(F.col("value").isNotNull()), ranked, distinct, heavy)
+        by_row = joined.repartition("row").sortWithinPartitions("row").select("row", "pos", "rank")
+        moments = merged_over(by_row, _ranked_rows(ends, len(tasks)), len(pairs))
     finally:
-        ranked.unpersist()
         counts.unpersist()
-    return small_table(spark, rows, PAIR_SCHEMA)
+    return _pair_rows(spark, pairs, moments.correlation(MIN_PAIR_ROWS), moments.n)
 
 
 def with_p_values(pairs: DataFrame) -> DataFrame:
@@ -246,7 +248,7 @@ def top_pairs(records: DataFrame, limit: int = TOP_PAIRS) -> DataFrame:
 
 
 @dataclass
-class Moments:
+class Design:
     """Size, means and centred cross-products of listwise-complete rows."""
 
     n: int
@@ -257,22 +259,10 @@ class Moments:
         return np.sqrt(np.maximum(np.diag(self.products), 0.0) / max(self.n - 1, 1))
 
 
-def moment_matrix(complete: DataFrame, columns: list[str]) -> Moments:
-    """Two scans: means, then products of deviations (so no large sums cancel)."""
-    first = complete.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns]).first()
-    p = len(columns)
-    if not first["n"]:
-        return Moments(0, np.zeros(p), np.zeros((p, p)))
-    means = np.array([first[c] for c in columns])
-    centred = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, means)]
-    cells = [(i, j) for i in range(p) for j in range(i, p)]
-    products = np.zeros((p, p))
-    for start in range(0, len(cells), PRODUCTS_PER_SCAN):
-        block = cells[start:start + PRODUCTS_PER_SCAN]
-        sums = complete.agg(*[F.sum(centred[i] * centred[j]).alias(f"s{k}") for k, (i, j) in enumerate(block)]).first()
-        for k, (i, j) in enumerate(block):
-            products[i, j] = products[j, i] = sums[k]
-    return Moments(first["n"], means, products)
+def design_matrix(complete: DataFrame) -> Design:
+    """Of all columns of a table of doubles without gaps, in one scan."""
+    m = pair_moments(complete)
+    return Design(int(m.n[0, 0]) if m.n.size else 0, np.diag(m.mean_a).copy(), m.cross)
 
 
 def _invert_scaled(products: np.ndarray) -> np.ndarray | None:
@@ -287,12 +277,12 @@ def _invert_scaled(products: np.ndarray) -> np.ndarray | None:
 # ----- linear regression -----------------------------------------------------
 
 
-def solve_linear(moments: Moments, names: list[str], target: int) -> tuple[tuple, list[tuple]]:
+def solve_linear(moments: Design, names: list[str], target: int) -> tuple[tuple, list[tuple]]:
     """Model row and coefficient rows of one target from the shared moments."""
     name, n = names[target], moments.n
 
     def skipped(reason: str) -> tuple[tuple, list[tuple]]:
-        return (name, "linear", 0, 0.0, 0.0, None, None, None, None, None, [], reason), []
+        return _skipped_model(name, "linear", reason), []
 
     features = [i for i in range(len(names)) if i != target]
     if not features:
@@ -327,7 +317,7 @@ def solve_linear(moments: Moments, names: list[str], target: int) -> tuple[tuple
                      float(vif[k]) if math.isfinite(vif[k]) else None))
     overlap = [r[0] for r in rows if r[8] is not None and r[8] > VIF_HIGH]
     intercept = float(moments.means[target] - beta @ moments.means[active])
-    model = (name, "linear", n, r2, adjusted, intercept, None, None, None, None, overlap, None)
+    model = (name, "linear", n, r2, adjusted, intercept, None, None, None, None, overlap, None, True, 1)
     return model, _ranked_coefficients(name, "linear", rows)
 
 
@@ -342,7 +332,7 @@ def linear_models(df: DataFrame, kinds: list[ColumnKind]) -> tuple[DataFrame, Da
     spark = df.sparkSession
     frame = numeric_frame(df, kinds).na.drop()
     names = [k.name for k in of_kind(kinds, "numeric")]
-    moments = moment_matrix(frame, frame.columns)
+    moments = design_matrix(frame)
     models, coefficients = [], []
     for target in range(len(names)):
         model, rows = _isolated(lambda: solve_linear(moments, names, target), names[target], "linear")
@@ -353,181 +343,233 @@ def linear_models(df: DataFrame, kinds: list[ColumnKind]) -> tuple[DataFrame, Da
 
 def _skipped_model(target: str, kind: str, reason: str) -> tuple:
     if kind == "linear":
-        return (target, kind, 0, 0.0, 0.0, None, None, None, None, None, [], reason)
-    return (target, kind, 0, None, None, None, 0.5, 0.0, 0, 0, [], reason)
+        return (target, kind, 0, 0.0, 0.0, None, None, None, None, None, [], reason, None, None)
+    return (target, kind, 0, None, None, None, 0.5, 0.0, 0, 0, [], reason, None, None)
 
 
 def _isolated(run, target: str, kind: str) -> tuple[tuple, list[tuple]]:
-    """One failing model never fails the run."""
+    """A model whose equations cannot be solved does not fail the others; any other error rises."""
     try:
         return run()
-    except Exception as problem:  # noqa: BLE001
-        return _skipped_model(target, kind, f"{type(problem).__name__}: {str(problem)[:200]}"), []
+    except np.linalg.LinAlgError as problem:
+        return _skipped_model(target, kind, str(problem)), []
 
 
 # ----- logistic regression ---------------------------------------------------
 
 
-def score_counts(df: DataFrame, score: Column, label: Column) -> DataFrame:
-    """Count table of a score with the positives among each value's rows."""
-    long = df.select(F.lit(0).alias("pos"), score.alias("value"), label.cast("int").alias("hit"))
-    return ranking.count_values(long.where(F.col("hit").isNotNull()), None, hits=F.col("hit"))
+def auc_and_accuracy(df: DataFrame, score: Column, label: Column, cut: float = 0.5) -> DataFrame:
+    """Exact AUC from average ranks (0.5 when one class is empty) and accuracy at ``cut``."""
+    return scores_quality(df, {0: (score, label)}, cut).drop("pos")
 
 
-def auc_and_accuracy(df: DataFrame, score: Column, label: Column, cut: float = 0.5) -> DataFrame:
-    """Exact AUC from average ranks (0.5 when one class is empty) and accuracy at ``cut``.
+def scores_quality(df: DataFrame, scored: dict[int, tuple[Column, Column]], cut: float = 0.5) -> DataFrame:
+    """``auc_and_accuracy`` of several (score, label) at once, one row per key ``pos``.
 
-    Rows are collapsed to distinct scores first, so ties of any size cost one row.
+    Rows are collapsed to distinct scores first, so ties of any size cost one row. Rows without a label do not count.
     """
-    counts = ranking.hold(score_counts(df, score, label))
+    cells = {pos: F.when(label.isNotNull(), score) for pos, (score, label) in scored.items()}
+    long = ranking.long_form(df, cells, {pos: {"hit": label.cast("int")} for pos, (_, label) in scored.items()})
+    counts = ranking.hold(ranking.count_values(long, None, hits=F.col("hit")))
     try:
-        ranked = ranking.with_rows_before(counts)
-        ones = F.sum(F.col("hits"))
         right = F.sum(F.when(F.col("value") >= cut, F.col("hits")).otherwise(F.col("cnt") - F.col("hits")))
-        found = ranked.agg(
-            F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"), F.coalesce(ones, F.lit(0)).alias("true_count"),
-            F.sum(F.col("hits") * ranking.average_rank()).alias("rank_sum"),
-            right.alias("right"),
+        sums = ranking.with_rows_before(counts).groupBy("pos").agg(
+            F.sum("cnt").alias("n"), F.sum("hits").alias("true_count"),
+            F.sum(F.col("hits") * ranking.average_rank()).alias("rank_sum"), right.alias("right"),
         )
-        n, pos = F.col("n").cast("double"), F.col("true_count").cast("double")
-        neg = n - pos
-        auc = F.coalesce(F.try_divide(F.col("rank_sum") - pos * (pos + 1) / 2, pos * neg), F.lit(0.5))
+        found = small_table(df.sparkSession, [(pos,) for pos in scored], "pos int").join(sums, "pos", "left").fillna(0, ["n", "true_count", "right"])
+        n, ones = F.col("n").cast("double"), F.col("true_count").cast("double")
+        zeros = n - ones
+        auc = F.coalesce(F.try_divide(F.col("rank_sum") - ones * (ones + 1) / 2, ones * zeros), F.lit(0.5))
         out = found.select(
-            "n", "true_count", (F.col("n") - F.col("true_count")).alias("false_count"), auc.alias("auc"),
+            "pos", "n", "true_count", (F.col("n") - F.col("true_count")).alias("false_count"), auc.alias("auc"),
             F.coalesce(F.try_divide(F.col("right").cast("double"), n), F.lit(0.0)).alias("accuracy"),
         )
-        return small_table(df.sparkSession, out.collect(), out.schema)  # one row
+        return small_table(df.sparkSession, out.collect(), out.schema)  # one row per key
     finally:
         counts.unpersist()
 
 
-def solve_logistic(df: DataFrame, kinds: list[ColumnKind], target: ColumnKind) -> tuple[tuple, list[tuple]]:
-    """Unpenalised maximum likelihood with Wald inference for one boolean target."""
-    names = [k.name for k in of_kind(kinds, "numeric")]
-    cols = [f"c{i}" for i in range(len(names))]
-    label = F.col("label")
-    rows = df.select(
-        typed_cell(df, target).cast("int").alias("label"),
-        *[typed_cell(df, k).alias(c) for k, c in zip(of_kind(kinds, "numeric"), cols)],
-    ).na.drop()
-    rows = ranking.hold(rows)
-    try:
-        sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones")).first()
-        n, ones = sizes["n"], sizes["ones"] or 0
-        if n < MIN_LOGISTIC_ROWS:
-            return _skipped_model(target.name, "logistic", FEW_LOGISTIC_ROWS.format(MIN_LOGISTIC_ROWS, n)), []
-        smaller = min(ones, n - ones)
-        if smaller < MIN_MINORITY:
-            return _skipped_model(target.name, "logistic", SMALL_CLASS.format(smaller, MIN_MINORITY)), []
-        moments = moment_matrix(rows, cols)
-        sd = moments.sd()
-        active = [i for i in range(len(names)) if sd[i] > 0]
-        if not active:
-            return _skipped_model(target.name, "logistic", ALL_CONSTANT), []
-        if _invert_scaled(moments.products[np.ix_(active, active)]) is None:
-            return _skipped_model(target.name, "logistic", COLLINEAR_LOGISTIC), []
-        z = [(F.col(cols[i]) - F.lit(float(moments.means[i]))) / F.lit(float(sd[i])) for i in active]
-        design = rows.select("label", *[c.alias(f"x{i}") for i, c in enumerate(z)])
-        fit = fit_logit(design, len(active), math.log(ones / (n - ones)))
-        if fit is None:
-            return _skipped_model(target.name, "logistic", COLLINEAR_LOGISTIC), []
-        base, beta = float(fit.beta[0]), fit.beta[1:]
-        error = np.sqrt(np.maximum(np.diag(fit.covariance), 0.0))[1:]
-        quality = auc_and_accuracy(design, logit_probability(fit.beta), label).first()
-    finally:
-        rows.unpersist()
-    out = []
-    for k, i in enumerate(active):
-        estimate, se = float(beta[k] / sd[i]), float(error[k] / sd[i])
-        wald = estimate / se if se > 0 else 0.0
-        p = math.erfc(abs(wald) / math.sqrt(2.0))
-        odds = math.exp(estimate) if estimate < 700 else None
-        out.append((names[i], estimate, float(beta[k]), se, wald, p, p < ALPHA, odds, None))
-    intercept = base - sum(float(beta[k] * moments.means[i] / sd[i]) for k, i in enumerate(active))
-    model = (target.name, "logistic", n, None, None, intercept, quality["auc"], quality["accuracy"], ones, n - ones,
-             [], None)
-    return model, _ranked_coefficients(target.name, "logistic", out)
-
-
 @dataclass
 class LogitFit:
+    """``beta``: intercept first. ``lost``: the equations became singular; ``rounds``: passes over the rows."""
+
     beta: np.ndarray
-    covariance: np.ndarray
-    converged: bool
+    covariance: np.ndarray | None = None
+    converged: bool = False
+    lost: bool = False
+    rounds: int = 0
 
 
-def logit_probability(beta: np.ndarray) -> Column:
-    """Fitted probability from the standardised design columns x0, x1, ..."""
-    linear = F.lit(float(beta[0]))
-    for i, b in enumerate(beta[1:]):
-        linear = linear + F.lit(float(b)) * F.col(f"x{i}")
+def logit_probability(beta: np.ndarray, scale: Design, active: list[int]) -> Column:
+    """Fitted probability from the feature columns c0, c1, ..."""
+    sd, linear = scale.sd(), F.lit(float(beta[0]))
+    for i, b in zip(active, beta[1:]):
+        linear = linear + F.lit(float(b)) * ((F.col(f"c{i}") - F.lit(float(scale.means[i]))) / F.lit(float(sd[i])))
     return 1.0 / (1.0 + F.exp(-linear))
 
 
-def _logit_sums(design: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood, gradient and Fisher information at ``beta``; one scan per block of sums."""
-    k = len(beta)
-    p = F.greatest(F.lit(PROBABILITY_FLOOR), F.least(F.lit(1.0 - PROBABILITY_FLOOR), F.col("p")))
-    staged = design.withColumn("p", logit_probability(beta)).select(
-        "*", (F.col("label") - F.col("p")).alias("e"), (p * (1.0 - p)).alias("w"),
-        F.log(F.when(F.col("label") == 1, p).otherwise(1.0 - p)).alias("l"),
-    )
-    term = [F.lit(1.0), *[F.col(f"x{i}") for i in range(k - 1)]]
-    spots = [(i, j) for i in range(k) for j in range(i, k)]
-    wanted = [F.sum("l"), *[F.sum(F.col("e") * t) for t in term], *[F.sum(F.col("w") * term[i] * term[j]) for i, j in spots]]
-    sums: list[float] = []
-    for start in range(0, len(wanted), PRODUCTS_PER_SCAN):
-        sums += staged.agg(*[c.alias(f"s{m}") for m, c in enumerate(wanted[start:start + PRODUCTS_PER_SCAN])]).first()
-    information = np.zeros((k, k))
-    for value, (i, j) in zip(sums[1 + k:], spots):
-        information[i, j] = information[j, i] = value
-    return sums[0], np.array(sums[1:1 + k]), information
-
-
-def fit_logit(design: DataFrame, features: int, start: float) -> LogitFit | None:
-    """Newton's method on aggregate sums; None when the information is singular.
-
-    Each step is one pass over the held rows. Steps that lower the likelihood are
-    halved. Under separation the estimates grow without bound, so the loop ends on
-    a flat likelihood or the step limit, as any unpenalised fit must.
+def _logit_sums(rows: DataFrame, features: int, trials: dict[int, tuple[np.ndarray, Design, list[int]]]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Log-likelihood, gradient and Fisher information of several models at their trial estimates, in one pass.
+
+    ``rows``: features c0, ... and then labels, null where a row is not the model's. Sums leave a task as numbered cells
+    that Spark adds up, so the driver sees (features + 1) squared numbers per model.
     """
-    beta = np.zeros(features + 1)
-    beta[0] = start
-    level, gradient, information = _logit_sums(design, beta)
-    converged = False
-    for _ in range(MAX_NEWTON):
-        try:
-            step = np.linalg.solve(information, gradient)
-        except np.linalg.LinAlgError:
-            return None
-        for _ in range(8):
-            trial = beta + step
-            found = _logit_sums(design, trial)
-            if found[0] >= level - 1e-12 * abs(level):
-                break
-            step = step / 2.0
-        else:
-            break
-        gain, level, gradient, information = found[0] - level, *found
-        beta = trial
-        if np.max(np.abs(step)) < NEWTON_STEP or gain <= NEWTON_GAIN * abs(level):
-            converged = True
-            break
-    try:
-        return LogitFit(beta, np.linalg.inv(information), converged)
-    except np.linalg.LinAlgError:
-        return None
+    held = {t: (beta, scale.means[active], scale.sd()[active], active) for t, (beta, scale, active) in trials.items()}
+    widths = {t: 1 + len(beta) + len(beta) ** 2 for t, (beta, *_) in held.items()}
+    begin = dict(zip(widths, np.cumsum([0, *widths.values()]).tolist()))
+
+    def partial(batches):
+        total = np.zeros(sum(widths.values()))
+        for batch in batches:
+            cells = matrix_of(batch)
+            for t, (beta, means, sd, active) in held.items():
+                label = cells[:, features + t]
+                own = ~np.isnan(label)
+                x = np.column_stack([np.ones(own.sum()), (cells[own][:, active] - means) / sd])
+                y, eta = label[own], np.clip(x @ beta, -700.0, 700.0)
+                chance = 1.0 / (1.0 + np.exp(-eta))
+                safe = np.clip(chance, PROBABILITY_FLOOR, 1.0 - PROBABILITY_FLOOR)
+                part = (
+                    [np.log(np.where(y == 1, safe, 1.0 - safe)).sum()], x.T @ (y - chance),
+                    ((x * (safe * (1.0 - safe))[:, None]).T @ x).ravel(),
+                )
+                total[begin[t] : begin[t] + widths[t]] += np.concatenate(part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "value"])
+
+    sums = np.zeros(sum(widths.values()))
+    for r in rows.mapInArrow(partial, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        sums[r["at"]] = r["value"]
+    out = {}
+    for t, (beta, *_) in held.items():
+        k, part = len(beta), sums[begin[t] : begin[t] + widths[t]]
+        out[t] = float(part[0]), part[1 : 1 + k].copy(), part[1 + k :].reshape(k, k)
+    return out
+
+
+def fit_logits(rows: DataFrame, features: int, starts: dict[int, tuple[float, Design, list[int]]]) -> dict[int, LogitFit]:
+    """Newton's method for all models side by side: one pass over the rows is one step of each.
+
+    A step that lowers a model's likelihood is halved and tried again with the others' next step. Under separation the
+    estimates grow without bound, so a model ends on a flat likelihood or, not ``converged``, at the step limit.
+    """
+    known = {t: (scale, active) for t, (_, scale, active) in starts.items()}
+    fits = {t: LogitFit(np.concatenate(([base], np.zeros(len(active))))) for t, (base, _, active) in starts.items()}
+    trial = {t: f.beta for t, f in fits.items()}
+    state: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
+    step: dict[int, np.ndarray] = {}
+    halved = dict.fromkeys(fits, 0)
+    while trial:
+        found = _logit_sums(rows, features, {t: (beta, *known[t]) for t, beta in trial.items()})
+        for t in list(trial):
+            fit = fits[t]
+            fit.rounds += 1
+            done = False
+            if t in state:
+                level, gain = state[t][0], found[t][0] - state[t][0]
+                if gain < -1e-12 * abs(level):
+                    halved[t] += 1
+                    step[t] = step[t] / 2.0
+                    done = halved[t] > MAX_HALVINGS
+                else:
+                    fit.beta, state[t], halved[t] = trial[t], found[t], 0
+                    fit.converged = bool(np.max(np.abs(step[t])) < NEWTON_STEP or gain <= NEWTON_GAIN * abs(level))
+                    done = fit.converged or fit.rounds > MAX_NEWTON
+            else:
+                state[t] = found[t]
+            try:
+                if not done and not halved[t]:
+                    step[t] = np.linalg.solve(state[t][2], state[t][1])
+                if done:
+                    fit.covariance = np.linalg.inv(state[t][2])
+            except np.linalg.LinAlgError:
+                fit.lost = done = True
+            if done:
+                del trial[t]
+            else:
+                trial[t] = fit.beta + step[t]
+    return fits
+
+
+def _label_moments(rows: DataFrame, features: int, targets: int) -> list[tuple[int, Design]]:
+    """(true labels, moments of the features) of each target's complete rows, in one scan for all."""
+    width = features + 1
+
+    def own(batches):
+        for batch in batches:
+            cells = matrix_of(batch)
+            parts = []
+            for t in range(targets):
+                kept = cells[~np.isnan(cells[:, features + t])]
+                parts.append(matrix_moments(kept[:, [*range(features), features + t]]))
+            yield Moments(*(np.stack([getattr(p, f) for p in parts]) for f in ("n", "mean_a", "mean_b", "square_a", "square_b", "cross")))
+
+    m = merged_over(rows, own, targets, width, width)
+    out = []
+    for t in range(targets):
+        n = int(m.n[t, -1, -1])
+        out.append((round(n * m.mean_a[t, -1, -1]), Design(n, np.diag(m.mean_a[t])[:features].copy(), m.cross[t, :features, :features])))
+    return out
 
 
 def logistic_models(df: DataFrame, kinds: list[ColumnKind]) -> tuple[DataFrame, DataFrame]:
-    """One model per boolean column: (models, coefficients)."""
-    spark = df.sparkSession
-    models, coefficients = [], []
-    for target in of_kind(kinds, "boolean"):
-        model, rows = _isolated(lambda: solve_logistic(df, kinds, target), target.name, "logistic")
-        models.append(model)
-        coefficients += rows
-    return small_table(spark, models, MODEL_SCHEMA), small_table(spark, coefficients, COEFFICIENT_SCHEMA)
+    """One model per boolean column, all fitted together: (models, coefficients). Maximum likelihood with Wald inference."""
+    spark, numeric, targets = df.sparkSession, of_kind(kinds, "numeric"), of_kind(kinds, "boolean")
+    names = [k.name for k in numeric]
+    cols = [f"c{i}" for i in range(len(names))]
+    labels = [f"y{t}" for t in range(len(targets))]
+    models: dict[int, tuple] = {}
+    coefficients: list[tuple] = []
+
+    def skip(t: int, reason: str) -> None:
+        models[t] = _skipped_model(targets[t].name, "logistic", reason)
+
+    rows = df.select(
+        *[typed_cell(df, k).alias(c) for k, c in zip(numeric, cols)],
+        *[typed_cell(df, k).cast("double").alias(y) for k, y in zip(targets, labels)],
+    )
+    if cols:
+        rows = rows.na.drop(subset=cols)
+    rows = ranking.hold(rows)
+    try:
+        starts = {}
+        for t, (ones, design) in enumerate(_label_moments(rows, len(cols), len(labels)) if labels else []):
+            smaller = min(ones, design.n - ones)
+            active = [i for i in range(len(cols)) if design.products[i, i] > 0]
+            if design.n < MIN_LOGISTIC_ROWS:
+                skip(t, FEW_LOGISTIC_ROWS.format(MIN_LOGISTIC_ROWS, design.n))
+            elif smaller < MIN_MINORITY:
+                skip(t, SMALL_CLASS.format(smaller, MIN_MINORITY))
+            elif not active:
+                skip(t, ALL_CONSTANT)
+            elif _invert_scaled(design.products[np.ix_(active, active)]) is None:
+                skip(t, COLLINEAR_LOGISTIC)
+            else:
+                starts[t] = (math.log(ones / (design.n - ones)), design, active)
+        fits = fit_logits(rows, len(cols), starts)
+        for t in [t for t, f in fits.items() if f.lost or f.covariance is None]:
+            skip(t, COLLINEAR_LOGISTIC)
+            del fits[t], starts[t]
+        scored = {t: (logit_probability(fits[t].beta, *starts[t][1:]), F.col(labels[t])) for t in fits}
+        quality = {r["pos"]: r for r in scores_quality(rows, scored).collect()} if scored else {}
+    finally:
+        rows.unpersist()
+    for t, fit in fits.items():
+        _, design, active = starts[t]
+        sd, error = design.sd(), np.sqrt(np.maximum(np.diag(fit.covariance), 0.0))[1:]
+        terms = []
+        for b, e, i in zip(fit.beta[1:], error, active):
+            estimate, se = float(b / sd[i]), float(e / sd[i])
+            wald = estimate / se if se > 0 else 0.0
+            p = math.erfc(abs(wald) / math.sqrt(2.0))
+            odds = math.exp(estimate) if estimate < 700 else None
+            terms.append((names[i], estimate, float(b), se, wald, p, p < ALPHA, odds, None))
+        intercept = float(fit.beta[0]) - sum(float(b * design.means[i] / sd[i]) for b, i in zip(fit.beta[1:], active))
+        q = quality[t]
+        models[t] = (targets[t].name, "logistic", q["n"], None, None, intercept, q["auc"], q["accuracy"], q["true_count"],
+                     q["false_count"], [], None, fit.converged, fit.rounds)
+        coefficients += _ranked_coefficients(targets[t].name, "logistic", terms)
+    return small_table(spark, [models[t] for t in sorted(models)], MODEL_SCHEMA), small_table(spark, coefficients, COEFFICIENT_SCHEMA)
 
 
 # ----- all of it -------------------------------------------------------------

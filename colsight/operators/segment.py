@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.functions.tables import small_table
+from colsight.operators.clustering import Fit, fit_groups, nearest
 from colsight.operators.kinds import ColumnKind, of_kind, typed_cell
 from colsight.operators.ranking import hold
 
@@ -34,20 +32,20 @@ NO_FIT = "Could not fit any k between K_MIN and K_MAX."
 
 MAX_ITERATIONS = 100
 RESTARTS = 3
-PARALLEL_FITS = 8
 # Stop once no centre moves further than this many standard deviations.
 CENTER_SHIFT = 1e-4
-# All-pairs Euclidean silhouettes are used up to this many rows (one bounded matrix per
-# task); above it, every row still counts, in the linear-cost squared Euclidean form.
+# All-pairs Euclidean silhouettes, on request, are for tables of up to this many rows (one bounded matrix per task).
 EXACT_SILHOUETTE_ROWS = 4_000
+GRID = 50
 
-CANDIDATE_SCHEMA = "k int, score double, metric string"
+CANDIDATE_SCHEMA = "k int, score double, metric string, converged boolean, rounds int"
+CELL_SCHEMA = "cluster int, cell_x int, cell_y int, n bigint, x double, y double"
 CLUSTER_SCHEMA = "cluster int, label string, size bigint, size_pct double"
 FEATURE_SCHEMA = "cluster int, rank int, feature string, center_value double, deviation double"
 PROJECTION_SCHEMA = "x double, y double, cluster int"
 SUMMARY_SCHEMA = (
     "k int, silhouette double, metric string, n_features int, n_rows bigint, "
-    "pca_variance_1 double, pca_variance_2 double, skipped_reason string"
+    "pca_variance_1 double, pca_variance_2 double, skipped_reason string, converged boolean, rounds int"
 )
 
 
@@ -58,6 +56,7 @@ class Segments:
     clusters: DataFrame
     features: DataFrame
     projection: DataFrame
+    cells: DataFrame
 
 
 @dataclass
@@ -156,41 +155,32 @@ def silhouette_euclidean(labelled: DataFrame, features: list[str], columns: list
 # ----- k-means ---------------------------------------------------------------
 
 
-def fit_kmeans(points: DataFrame, k: int, restart: int = 0):
-    return KMeans(k=k, seed=SEED + restart, initMode="k-means||", maxIter=MAX_ITERATIONS, tol=CENTER_SHIFT,
-                  featuresCol="features", predictionCol=f"k{k}").fit(points)
-
-
-def choose_k(points: DataFrame, scaling: Scaling, metric: str = "auto"):
-    """Fit every k, score it, keep the best (earlier k on ties): (model, score, candidates)."""
-    if metric == "auto":
-        metric = "euclidean" if scaling.n <= EXACT_SILHOUETTE_ROWS else "squared_euclidean"
-    features = [f"z{i}" for i in range(len(scaling.names))]
+def score_fits(points: DataFrame, columns: list[str], fits: dict[int, Fit], metric: str) -> dict[int, float]:
+    """The silhouette of each fit with more than one group. ``centroid`` (Euclidean distances to centres, found with the
+    fits) and ``squared_euclidean`` are linear in the rows; ``euclidean`` compares all pairs of a bounded table."""
+    usable = {k: f for k, f in fits.items() if (f.sizes > 0).sum() > 1}
+    if metric == "centroid":
+        return {k: f.separation for k, f in usable.items()}
+    labelled = points.select("features", *columns, *[nearest(columns, f.centers).alias(f"k{k}") for k, f in usable.items()])
+    if metric == "squared_euclidean":
+        return {k: silhouette_squared(labelled, f"k{k}") for k in usable}
+    if metric == "euclidean":
+        scores = silhouette_euclidean(labelled, columns, [f"k{k}" for k in usable])
+        return {k: scores[f"k{k}"] for k in usable if scores.get(f"k{k}") is not None}
+    raise ValueError(f"unknown metric: {metric}")
+
+
+def choose_k(points: DataFrame, scaling: Scaling, metric: str = "centroid"):
+    """Fit every k at once, score each, keep the best (the smaller k on ties): (fit, score, candidates)."""
+    columns = [f"z{i}" for i in range(len(scaling.names))]
     ks = list(range(K_MIN, min(K_MAX, scaling.n - 1) + 1))
-    threaded = inheritable_thread_target(points.sparkSession)
-
-    # independent jobs over the same held rows, submitted side by side; one start can end in
-    # a poor optimum that depends on the partitioning, so the tightest of a few is kept
-    starts = [(k, restart) for k in ks for restart in range(RESTARTS)]
-    models: dict[int, object] = {}
-    with ThreadPool(min(PARALLEL_FITS, len(starts))) as pool:
-        for (k, _), model in zip(starts, pool.map(threaded(lambda s: fit_kmeans(points, *s)), starts)):
-            if k not in models or model.summary.trainingCost < models[k].summary.trainingCost:
-                models[k] = model
-        labelled = points
-        for model in models.values():
-            labelled = model.transform(labelled)
-        # a k whose fit leaves one group has no silhouette and is no candidate
-        columns = [f"k{k}" for k in ks if sum(n > 0 for n in models[k].summary.clusterSizes) > 1]
-        if metric == "squared_euclidean":
-            scores = dict(zip(columns, pool.map(threaded(lambda c: silhouette_squared(labelled, c)), columns)))
-        else:
-            scores = silhouette_euclidean(labelled, features, columns)
-    candidates = [(k, scores[f"k{k}"], metric) for k in ks if scores.get(f"k{k}") is not None]
+    fits = fit_groups(points, columns, ks, RESTARTS, MAX_ITERATIONS, CENTER_SHIFT, SEED)
+    scores = score_fits(points, columns, fits, metric)
+    candidates = [(k, scores[k], metric, fits[k].converged, fits[k].rounds) for k in sorted(scores)]
     if not candidates:
         return None, None, []
-    k, score, _ = max(candidates, key=lambda c: (c[1], -c[0]))
-    return models[k], score, candidates
+    k, score, *_ = max(candidates, key=lambda c: (round(c[1], 12), -c[0]))
+    return fits[k], score, candidates
 
 
 def canonical_order(sizes: dict[int, int], centers: list[np.ndarray]) -> list[int]:
@@ -272,20 +262,36 @@ def projected(points: DataFrame, axes: np.ndarray) -> DataFrame:
     return points.withColumn("x", along(0)).withColumn("y", along(1))
 
 
+def projection_cells(spots: DataFrame, grid: int = GRID) -> DataFrame:
+    """Rows and mean place of each cluster in each cell of a grid over all points: at most grid squared rows a cluster."""
+    ends = spots.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def cell(c: str) -> Column:
+        share = F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}"))
+        return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * grid), F.lit(grid - 1)).cast("int")
+
+    placed = spots.withColumn("one", F.lit(1)).join(F.broadcast(ends.withColumn("one", F.lit(1))), "one")
+    return placed.groupBy("cluster", cell("x").alias("cell_x"), cell("y").alias("cell_y")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
 # ----- all of it -------------------------------------------------------------
 
 
 def skipped(df: DataFrame, reason: str) -> Segments:
     spark = df.sparkSession
     return Segments(
-        small_table(spark, [(None, None, None, None, None, None, None, reason)], SUMMARY_SCHEMA),
+        small_table(spark, [(None, None, None, None, None, None, None, reason, None, None)], SUMMARY_SCHEMA),
         small_table(spark, [], CANDIDATE_SCHEMA), small_table(spark, [], CLUSTER_SCHEMA),
-        small_table(spark, [], FEATURE_SCHEMA), small_table(spark, [], PROJECTION_SCHEMA),
+        small_table(spark, [], FEATURE_SCHEMA), small_table(spark, [], PROJECTION_SCHEMA), small_table(spark, [], CELL_SCHEMA),
     )
 
 
-def segment(df: DataFrame, kinds: list[ColumnKind], metric: str = "auto") -> Segments:
-    """Group complete rows; a table that does not qualify yields only a reason."""
+def segment(df: DataFrame, kinds: list[ColumnKind], metric: str = "centroid") -> Segments:
+    """Group complete rows; a table that does not qualify yields only a reason.
+
+    ``metric`` chooses k, in the same way at every size: ``centroid``, ``squared_euclidean``, or ``euclidean``, which
+    raises above EXACT_SILHOUETTE_ROWS.
+    """
     numeric = of_kind(kinds, "numeric")
     total = df.count()
     if total < MIN_ROWS:
@@ -309,19 +315,18 @@ def _segment_rows(rows: DataFrame, scaling: Scaling, metric: str) -> Segments:
         model, score, candidates = choose_k(points, scaling, metric)
         if model is None:
             return skipped(rows, NO_FIT)
-        raw = model.transform(points).withColumnRenamed(model.getPredictionCol(), "cluster")
-        sizes = {r["cluster"]: r["count"] for r in raw.groupBy("cluster").count().collect()}
-        new = canonical_order(sizes, model.clusterCenters())
-        labelled = raw.withColumn("cluster", F.get(F.array(*[F.lit(i) for i in new]), F.col("cluster")))
+        new = canonical_order(dict(enumerate(model.sizes)), list(model.centers))
+        labelled = points.withColumn("cluster", F.get(F.array(*[F.lit(i) for i in new]), nearest(z, model.centers)))
         clusters = cluster_sizes(labelled).orderBy("cluster").collect()  # at most K_MAX rows
         features = distinguishing_features(labelled, {f"c{i}": n for i, n in enumerate(scaling.names)}).collect()
         axes, shares = fit_projection(points)
         spots = projected(labelled, axes).select("x", "y", F.col("cluster").cast("int").alias("cluster"))  # every row, lazily
+        cells = small_table(spark, projection_cells(spots).collect(), CELL_SCHEMA)
     finally:
         points.unpersist()
-    summary = (len(new), score, candidates[0][2], len(scaling.names), scaling.n, *(shares + [0.0])[:2], None)
+    summary = (len(new), score, candidates[0][2], len(scaling.names), scaling.n, *(shares + [0.0])[:2], None, model.converged, model.rounds)
     return Segments(
         small_table(spark, [summary], SUMMARY_SCHEMA), small_table(spark, candidates, CANDIDATE_SCHEMA),
         small_table(spark, clusters, CLUSTER_SCHEMA), small_table(spark, sorted(features), FEATURE_SCHEMA),
-        spots,
+        spots, cells,
     )

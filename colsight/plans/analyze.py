@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from colsight.operators import findings as rules
-from colsight.operators.kinds import ColumnKind, apply_kinds, infer_kinds, kinds_from_schema, normalize_missing, of_kind
+from colsight.operators.kinds import ColumnKind, apply_kinds, infer_kinds, kinds_from_schema, normalize_missing, of_kind, with_layouts
 from colsight.operators.profile import Profile, profile
 from colsight.operators.ranking import hold
 from colsight.operators.relate import Relations, relate
@@ -25,6 +25,17 @@ class Analysis:
     trends: Trends
     findings: DataFrame
     report: DataFrame
+    parts: dict[str, tuple[DataFrame, list[str]]]
+
+    def tables(self) -> dict[str, tuple[DataFrame, list[str]]]:
+        """Every result as a table with the columns it is partitioned by on disk: the bounded ones of the report, and those
+        that grow with the rows."""
+        out = {name: (table, []) for name, (table, _) in self.parts.items() if name != "projection"}
+        out["projection_cells"] = (self.segments.cells, [])
+        out["projection"] = (self.segments.projection, ["cluster"])
+        out["history"] = (self.trends.history, [])
+        out["anchors"] = (self.trends.anchors, [])
+        return out
 
 
 def all_findings(profiled: Profile, relations: Relations, segments: Segments, trends: Trends) -> DataFrame:
@@ -54,7 +65,7 @@ def prepare(df: DataFrame, kinds: list[ColumnKind] | None = None, order_by: list
     if kinds is None:
         all_text = all(t == "string" for _, t in df.dtypes)
         kinds = infer_kinds(clean, order_by) if all_text else kinds_from_schema(df)
-    return clean, kinds
+    return clean, with_layouts(clean, kinds)
 
 
 def analyze(df: DataFrame, kinds: list[ColumnKind] | None = None, order_by: list[str] | None = None) -> Analysis:
@@ -74,33 +85,32 @@ def analyze(df: DataFrame, kinds: list[ColumnKind] | None = None, order_by: list
     finally:
         typed.unpersist()
     found = all_findings(profiled, relations, segments, trends)
+    parts = {
+        "numeric": (profiled.numeric, ["position"]),
+        "histogram": (profiled.histogram, ["name", "bin"]),
+        "outliers": (profiled.outliers, ["name", "rank"]),
+        "categorical": (profiled.categorical, ["position"]),
+        "top_values": (profiled.top_values, ["name", "rank"]),
+        "datetime": (profiled.datetime, ["position"]),
+        "boolean": (profiled.boolean, ["position"]),
+        "unknown": (profiled.unknown, ["position"]),
+        "pearson": (relations.pearson, ["i", "j"]),
+        "spearman": (relations.spearman, ["i", "j"]),
+        "top_pairs": (relations.top, ["bucket", "rank"]),
+        "models": (relations.models, ["kind", "target"]),
+        "coefficients": (relations.coefficients, ["kind", "target", "rank"]),
+        "segments": (segments.summary, ["k"]),
+        "k_candidates": (segments.candidates, ["k"]),
+        "clusters": (segments.clusters, ["cluster"]),
+        "cluster_features": (segments.features, ["cluster", "rank"]),
+        "projection": (segments.cells, ["cluster", "cell_x", "cell_y"]),
+        "trends": (trends.trends, ["datetime_column", "value_column"]),
+        "forecast": (trends.forecast, ["datetime_column", "value_column", "step"]),
+        "findings": (found, ["section", "subject", "position"]),
+    }
     report = combine(
-        df.sparkSession,
-        {
-            "numeric": (profiled.numeric, ["position"]),
-            "histogram": (profiled.histogram, ["name", "bin"]),
-            "outliers": (profiled.outliers, ["name", "rank"]),
-            "categorical": (profiled.categorical, ["position"]),
-            "top_values": (profiled.top_values, ["name", "rank"]),
-            "datetime": (profiled.datetime, ["position"]),
-            "boolean": (profiled.boolean, ["position"]),
-            "unknown": (profiled.unknown, ["position"]),
-            "pearson": (relations.pearson, ["i", "j"]),
-            "spearman": (relations.spearman, ["i", "j"]),
-            "top_pairs": (relations.top, ["bucket", "rank"]),
-            "models": (relations.models, ["kind", "target"]),
-            "coefficients": (relations.coefficients, ["kind", "target", "rank"]),
-            "segments": (segments.summary, ["k"]),
-            "k_candidates": (segments.candidates, ["k"]),
-            "clusters": (segments.clusters, ["cluster"]),
-            "cluster_features": (segments.features, ["cluster", "rank"]),
-            "projection": (segments.projection, ["cluster", "x", "y"]),
-            "trends": (trends.trends, ["datetime_column", "value_column"]),
-            "forecast": (trends.forecast, ["datetime_column", "value_column", "step"]),
-            "findings": (found, ["section", "subject", "position"]),
-        },
-        row_count=("bigint", profiled.row_count),
-        column_count=("int", profiled.column_count),
+        df.sparkSession, parts,
+        row_count=("bigint", profiled.row_count), column_count=("int", profiled.column_count),
         series_skipped_reason=("string", trends.skipped_reason),
     )
-    return Analysis(kinds, profiled, relations, segments, trends, found, report)
+    return Analysis(kinds, profiled, relations, segments, trends, found, report, parts)

@@ -12,9 +12,9 @@ def histogram_bars(histogram: DataFrame) -> DataFrame:
     return histogram.select("name", "bin", ((lo + hi) / 2).alias("center"), (hi - lo).alias("width"), "cnt")
 
 
-def cluster_points(projection: DataFrame) -> DataFrame:
-    """Projected points per cluster, for a table small enough to draw."""
-    return projection.groupBy("cluster").agg(F.collect_list(F.struct("x", "y")).alias("points"))
+def cluster_points(cells: DataFrame) -> DataFrame:
+    """What a scatter draws: one point per cluster and grid cell, sized by its rows; bounded by the grid."""
+    return cells.select("cluster", "x", "y", "n").orderBy("cluster", "x", "y")
 
 
 def projection_variance(summary: DataFrame) -> DataFrame:

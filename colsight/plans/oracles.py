@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from colsight.functions.special import QUANTILE_DEN, QUANTILE_NUM, TAIL_DEN, TAIL_NUM
+
 MISSING = "('', 'na', 'n/a', 'null', 'nan', '#n/a', '#na', '-', '--', '#null!')"
 TRUE = "('true', 'yes', 'y', '1', 't')"
 FALSE = "('false', 'no', 'n', '0', 'f')"
@@ -92,7 +94,8 @@ a AS (SELECT count(*) AS total_rows, count(*) FILTER (WHERE {c} IS NULL OR trim(
 b AS (SELECT CAST(sum(n) AS BIGINT) AS count, count(*) AS unique_count, max(n) AS mode_frequency FROM c)
 SELECT '{c}' AS name, a.total_rows, a.missing, {r('a.missing * 1.0 / a.total_rows', 6)} AS missing_pct, b.count, b.unique_count,
   (SELECT min(v) FROM c, b WHERE n = b.mode_frequency) AS mode, b.mode_frequency,
-  {r('(SELECT CASE WHEN count(*) <= 1 THEN 0.0 ELSE -sum(n * 1.0 / b2.count * log2(n * 1.0 / b2.count)) / log2(count(*)) END FROM c, (SELECT sum(n) AS count FROM c) b2)', 6)} AS entropy_normalized
+  {r('(SELECT CASE WHEN count(*) <= 1 THEN 0.0 ELSE -sum(n * 1.0 / b2.count * log2(n * 1.0 / b2.count)) / log2(count(*)) END FROM c, (SELECT sum(n) AS count FROM c) b2)', 6)} AS entropy_normalized,
+  (SELECT count(*) FROM c, b b3 WHERE (b3.mode_frequency - n) * 1.0 / b3.count < 0.0005) AS tied_count
 FROM a, b"""
     return union([one(t, c) for t, c in pairs])
 
@@ -159,17 +162,65 @@ def missing_report() -> str:
 
 
 def infer_kinds() -> str:
+    """Every non-blank cell votes; the shown samples are the first five."""
+    sources = {"k": "lpad(CAST(k AS VARCHAR), 12, '0')", **{c: clean(c) for c in CLEAN_COLUMNS},
+               "late": f"CASE WHEN k <= 250 THEN CAST(k AS VARCHAR) ELSE {clean('priority')} END",
+               "moment": f"({clean('day')}) || ' 10:' || lpad(CAST(k % 60 AS VARCHAR), 2, '0')"}
+
     def one(i: int, c: str) -> str:
-        source = "lpad(CAST(k AS VARCHAR), 12, '0')" if c == "k" else clean(c)
         return f"""SELECT '{c}' AS name, CAST({i} AS BIGINT) AS position,
-  CASE WHEN n = 0 THEN 'unknown' WHEN b >= ceil(0.9 * n) THEN 'boolean' WHEN u >= ceil(0.9 * n) THEN 'numeric' WHEN d >= ceil(0.9 * n) THEN 'datetime' ELSE 'categorical' END AS kind,
-  (SELECT count(*) FILTER (WHERE ({source}) IS NULL) FROM dirty) AS missing_count, coalesce(shown, '') AS sample_values
+  CASE WHEN n = 0 THEN 'unknown' WHEN b >= ceil(0.9 * n) THEN 'boolean' WHEN u >= ceil(0.9 * n) THEN 'numeric' WHEN d + t >= ceil(0.9 * n) THEN 'datetime' ELSE 'categorical' END AS kind,
+  (SELECT count(*) FILTER (WHERE ({sources[c]}) IS NULL) FROM dirty) AS missing_count, coalesce(shown, '') AS sample_values,
+  CASE WHEN n > 0 AND b < ceil(0.9 * n) AND u < ceil(0.9 * n) AND d + t >= ceil(0.9 * n) THEN CASE WHEN d >= t THEN 'iso_date' ELSE 'iso_datetime' END END AS date_layout
 FROM (SELECT count(*) AS n, count(*) FILTER (WHERE lower(v) IN {TRUE} OR lower(v) IN {FALSE}) AS b,
   count(*) FILTER (WHERE regexp_matches(replace(v, ',', ''), '^-?\\d+(\\.\\d+)?([eE][-+]?\\d+)?$')) AS u,
   count(*) FILTER (WHERE regexp_matches(v, '[-/:]') AND try_strptime(v, '%Y-%m-%d') IS NOT NULL) AS d,
+  count(*) FILTER (WHERE regexp_matches(v, '[-/:]') AND try_strptime(v, '%Y-%m-%d %H:%M') IS NOT NULL) AS t,
   string_agg(v, '|' ORDER BY rn) FILTER (WHERE rn <= 5) AS shown
-  FROM (SELECT v, row_number() OVER (ORDER BY k) AS rn FROM (SELECT k, trim({source}) AS v FROM dirty) WHERE v <> '') WHERE rn <= 200)"""
-    return f"WITH dirty AS ({DIRTY}) " + union([one(i, c) for i, c in enumerate(["k", *CLEAN_COLUMNS])])
+  FROM (SELECT v, row_number() OVER (ORDER BY k) AS rn FROM (SELECT k, trim({sources[c]}) AS v FROM dirty) WHERE v <> ''))"""
+    return f"WITH dirty AS ({DIRTY}) " + union([one(i, c) for i, c in enumerate(sources)])
+
+
+READ_FILES = """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price,
+ o_orderpriority || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'next, line' WHEN o_orderkey % 7 = 0 THEN ' said "so"' ELSE '' END AS note,
+ CASE WHEN o_orderkey % 2 = 1 THEN 'x' END AS more FROM orders"""
+
+
+# ----- tails of distributions, by Simpson's rule -----------------------------
+
+
+def simpson(low: str, high: str, value: str, steps: int = 4000) -> str:
+    """The integral of ``value`` (of x) from low to high."""
+    return (f"(SELECT sum(w * ({value})) * (({high}) - ({low})) / (3.0 * {steps}) FROM (SELECT ({low}) + (({high}) - ({low})) * i / {steps}.0 AS x, "
+            f"CASE WHEN i = 0 OR i = {steps} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END AS w FROM range({steps + 1}) q(i)))")
+
+
+def normal_above(z: str) -> str:
+    return f"CASE WHEN {z} < -8 THEN 1.0 ELSE {simpson(z, f'({z} + 12)', 'exp(-x * x / 2) / sqrt(2 * pi())')} END"
+
+
+def student_p(t: str, dof: str) -> str:
+    """Two-sided tail of Student's t; x is the angle whose tangent is t by the root of the degrees of freedom."""
+    front = f"2 * exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt(pi())"
+    return f"({front} * {simpson(f'atan(abs({t}) / sqrt({dof}))', 'pi() / 2', f'power(cos(x), {dof} - 1)', 20000)})"
+
+
+def normality(pairs: list[tuple[str, str]]) -> str:
+    """Squared correlation of values with the normal scores of their ranks, and its place on a normal scale."""
+    poly = lambda x, c: "(" + "(" * (len(c) - 1) + f"{c[0]!r}" + "".join(f") * {x} + {v!r}" for v in c[1:]) + ")"
+    middle = f"((p - 0.5) * {poly('((p - 0.5) * (p - 0.5))', QUANTILE_NUM)} / {poly('((p - 0.5) * (p - 0.5))', QUANTILE_DEN)})"
+    tail = f"({poly('far', TAIL_NUM)} / {poly('far', TAIL_DEN)})"
+
+    def one(t: str, c: str) -> str:
+        return f"""WITH v AS (SELECT CAST({c} AS DOUBLE) AS x FROM {t} WHERE {c} IS NOT NULL), s AS (SELECT count(*) AS n, avg(x) AS mean, count(DISTINCT x) AS kinds FROM v),
+k AS (SELECT x, count(*) AS c, sum(count(*)) OVER (ORDER BY x) - count(*) + (count(*) + 1) / 2.0 AS rank FROM v GROUP BY x),
+q AS (SELECT x, c, (rank - 0.375) / (n + 0.25) AS p, (n - rank + 0.625) / (n + 0.25) AS rest, mean FROM k, s),
+f AS (SELECT *, sqrt(-2 * ln(least(p, rest))) AS far FROM q),
+m AS (SELECT x, c, mean, CASE WHEN p < 0.02425 THEN {tail} WHEN rest < 0.02425 THEN -{tail} ELSE {middle} END AS m FROM f),
+w AS (SELECT power(sum(c * m * (x - mean)), 2) / ((sum(c * m * m) - power(sum(c * m), 2) / sum(c)) * sum(c * (x - mean) * (x - mean))) AS w FROM m),
+z AS (SELECT w, n, (ln(1 - w) + 1.2725 - 1.0521 * (ln(ln(n)) - ln(n))) / (1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n))) AS z FROM w, s)
+SELECT '{c}' AS name, n AS count, 'shapiro_francia' AS normality_test, {r('w', 6)} AS normality_statistic, {r(normal_above('z'), 6)} AS normality_p FROM z"""
+    return union([one(t, c) for t, c in pairs])
 
 
 # ----- relations -------------------------------------------------------------
@@ -384,7 +435,43 @@ MALFORMED = """SELECT line FROM (SELECT concat_ws(',', CAST(o_orderkey AS VARCHA
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END, CASE WHEN o_orderkey % 11 = 0 THEN 'extra' END) AS line,
   3 - CAST(o_orderkey % 7 = 0 AS INTEGER) + CAST(o_orderkey % 11 = 0 AS INTEGER) AS fields FROM orders) WHERE fields <> 3"""
 
-EMBEDDING_CELLS = "SELECT " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings"
+EMBEDDING_CELLS = "SELECT " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings"
+PEARSON_EMBEDDINGS = ("SELECT x.col_i, x.col_j, x.r, x.n FROM (SELECT unnest([" + ", ".join(
+    f"{{'col_i': 'e{i}', 'col_j': 'e{j}', 'r': {r(f'corr(e{i}, e{j})', 6)}, 'n': count(*) FILTER (WHERE e{i} IS NOT NULL AND e{j} IS NOT NULL)}}"
+    for i, j in combinations(range(64), 2)) + f"]) AS x FROM ({EMBEDDING_CELLS}))")
+CUSTOMER_WEEK = "SELECT c_acctbal, c_nationkey, c_custkey % 7 AS week FROM customer"
+PAIR_P_VALUES = (f"SELECT method, col_i, col_j, r, {r(student_p('(r0 * sqrt((n - 2) / (1 - r0 * r0)))', '(n - 2)'), 6)} AS p, n FROM ("
+                 + union([f"SELECT '{m}' AS method, '{a}' AS col_i, '{b}' AS col_j, corr({v % a}, {v % b}) AS r0, {r(f'corr({v % a}, {v % b})', 6)} AS r, count(*) AS n FROM ("
+                          "SELECT *, " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rank_{c}" for c in ("c_acctbal", "c_nationkey", "week"))
+                          + f" FROM ({CUSTOMER_WEEK}))" for m, v in (("pearson", "%s"), ("spearman", "rank_%s")) for a, b in combinations(["c_acctbal", "c_nationkey", "week"], 2)])
+                 + ")")
+OLS_P_VALUES = f"""WITH d AS (SELECT c_acctbal, CAST(c_custkey % 7 AS DOUBLE) AS week FROM customer),
+s AS ({union([f"SELECT '{y}' AS target, '{x}' AS feature, regr_slope({y}, {x}) AS b, sqrt((regr_syy({y}, {x}) - power(regr_sxy({y}, {x}), 2) / regr_sxx({y}, {x})) / (count(*) - 2) / regr_sxx({y}, {x})) AS e, count(*) - 2 AS dof FROM d" for y, x in (("c_acctbal", "week"), ("week", "c_acctbal"))])}),
+p AS (SELECT *, {student_p('(b / e)', 'dof')} AS p FROM s)
+SELECT target, feature, {r('b', 6)} AS estimate, {r('e', 6)} AS standard_error, {r('b / e', 6)} AS statistic, {r('p', 6)} AS p_value, p < 0.05 AS is_significant FROM p"""
+LOGISTIC_GROUPS = f"""WITH d AS (SELECT l_quantity > 25 AS big, l_returnflag = 'R' AS returned, CASE WHEN l_linenumber <> 7 THEN l_discount > 0.05 END AS cheap FROM lineitem),
+c AS ({union([f"SELECT '{y}' AS target, CAST(count(*) FILTER (WHERE big AND {y}) AS DOUBLE) AS a, count(*) FILTER (WHERE big AND NOT {y}) AS b, count(*) FILTER (WHERE NOT big AND {y}) AS c, count(*) FILTER (WHERE NOT big AND NOT {y}) AS d FROM d WHERE {y} IS NOT NULL" for y in ("returned", "cheap")])}),
+e AS (SELECT *, ln(a * d / (b * c)) AS est, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS se FROM c)
+SELECT target, CAST(a + b + c + d AS BIGINT) AS n_observations, CAST(a + c AS BIGINT) AS true_count, {r('ln(c / d)', 5)} AS intercept,
+ {r('(1 + abs(a / (a + c) - b / (b + d))) / 2', 5)} AS auc, {r('(greatest(a, b) + greatest(c, d)) / (a + b + c + d)', 5)} AS accuracy, true AS converged,
+ 'big' AS feature, {r('est', 5)} AS estimate, {r('se', 5)} AS standard_error, {r('est / se', 5)} AS statistic, {r('2 * ' + normal_above('abs(est / se)'), 5)} AS p_value, {r('exp(est)', 5)} AS odds_ratio FROM e"""
+K_CHOICE = f"""WITH d AS (SELECT c_nationkey % 3 AS g, (c_nationkey % 3) * 100 + c_acctbal / 2000 AS x, CASE WHEN c_nationkey % 3 = 1 THEN 80.0 ELSE 0.0 END + c_custkey % 7 AS y, c_custkey AS id FROM customer),
+z AS (SELECT g, id, (x - mx) / sx AS x, (y - my) / sy AS y FROM d, (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM d)),
+m AS (SELECT g, avg(x) AS x, avg(y) AS y FROM z GROUP BY g),
+a AS (SELECT z.id, z.g = m.g AS own, sqrt(power(z.x - m.x, 2) + power(z.y - m.y, 2)) AS d FROM z, m),
+s AS (SELECT id, min(d) FILTER (WHERE own) AS a, min(d) FILTER (WHERE NOT own) AS b FROM a GROUP BY id)
+SELECT CAST(3 AS BIGINT) AS k, {r('avg((b - a) / b)', 6)} AS silhouette, 'centroid' AS metric, count(*) AS n_rows, true AS converged FROM s"""
+PROJECTION = f"""WITH z AS (SELECT p_partkey, (p_size - ms) / ss AS a, (p_retailprice - mp) / sp AS b, rho FROM part,
+ (SELECT avg(p_size) AS ms, stddev_pop(p_size) AS ss, avg(p_retailprice) AS mp, stddev_pop(p_retailprice) AS sp, corr(p_size, p_retailprice) AS rho FROM part))
+SELECT p_partkey, {r('abs(CASE WHEN rho >= 0 THEN a + b ELSE a - b END / sqrt(2))', 6)} AS x, {r('abs(CASE WHEN rho >= 0 THEN a - b ELSE a + b END / sqrt(2))', 6)} AS y FROM z"""
+PROJECTION_CELLS = f"""WITH d AS (SELECT CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, p_partkey % 3 AS cluster FROM part),
+e AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM d)
+SELECT cluster, {r('avg(x)')} AS x, {r('avg(y)')} AS y, count(*) AS n FROM d, e
+GROUP BY cluster, least(floor((x - lx) / (hx - lx) * 50), 49), least(floor((y - ly) / (hy - ly) * 50), 49)"""
+TIED_LEADERS = union([f"""WITH c AS (SELECT {e} AS v, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT count(*) AS k, max(n) AS top, sum(n) AS total FROM c),
+t AS (SELECT count(*) AS tied FROM c, a WHERE (top - n) * 1.0 / total < 0.0005)
+SELECT '{name}' AS name, k AS unique_count, top AS mode_frequency, tied AS tied_count, CASE WHEN k <= 2 THEN 'two_state' WHEN tied >= 2 THEN 'tied_lead' ELSE 'leader' END AS rule FROM a, t"""
+    for name, e in (("shift", "o_orderkey % 8"), ("half", "CASE WHEN o_orderkey % 8 < 2 THEN 'a' ELSE 'b' END"), ("o_orderpriority", "o_orderpriority"))])
 
 ORACLES: dict[str, str] = {
     "profile_numeric_orders": numeric_profile("orders", ["o_totalprice"]),
@@ -419,7 +506,16 @@ ORACLES: dict[str, str] = {
                         "sum(count(*)) OVER (ORDER BY o_totalprice) - count(*) + (count(*) + 1) / 2.0 AS avg_rank FROM orders GROUP BY 1",
     "exact_median": "SELECT count(*) AS n, median(value) AS median FROM events",
     "pearson_pairs": pearson(LINEITEM, "lineitem".join(["SELECT * FROM ", ""])),
-    "pearson_embeddings": pearson([f"e{i}" for i in range(8)], EMBEDDING_CELLS),
+    "pearson_embeddings": PEARSON_EMBEDDINGS,
+    "pair_p_values": PAIR_P_VALUES,
+    "ols_p_values": OLS_P_VALUES,
+    "logistic_groups": LOGISTIC_GROUPS,
+    "k_choice": K_CHOICE,
+    "projection": PROJECTION,
+    "projection_cells": PROJECTION_CELLS,
+    "tied_leaders": TIED_LEADERS,
+    "read_files": READ_FILES,
+    "normality": normality([*[("lineitem", c) for c in LINEITEM], ("supplier", "s_acctbal")]),
     "spearman_pairs": spearman(LINEITEM, "SELECT * FROM lineitem"),
     "pairs_with_gaps": union([pearson(["a", "b", "c"], GAPPY, method="pearson"), spearman(["a", "b", "c"], GAPPY, method="spearman")]),
     "pair_records": PAIR_RECORDS,

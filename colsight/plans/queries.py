@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,7 +108,7 @@ def by_schema(df: DataFrame) -> list[K.ColumnKind]:
 def numeric_profile(table: str, columns: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = load(spark, sf_dir, table).select(*columns)
-        return out(P.profile_numeric(df, by_schema(df), normality=False).summary.select(*NUMERIC_OUT))
+        return out(P.profile_numeric(df, by_schema(df)).summary.select(*NUMERIC_OUT))
     return run
 
 
@@ -137,15 +139,15 @@ def normality(spark, sf_dir):
     d = load(spark, sf_dir, "lineitem").select(*LINEITEM_NUMBERS)
     s = load(spark, sf_dir, "supplier").select("s_acctbal")
     cols = ["name", "count", "normality_test", "normality_statistic", "normality_p"]
-    return P.profile_numeric(d, by_schema(d)).summary.select(*cols).unionByName(
-        P.profile_numeric(s, by_schema(s)).summary.select(*cols))
+    return out(P.profile_numeric(d, by_schema(d)).summary.select(*cols).unionByName(
+        P.profile_numeric(s, by_schema(s)).summary.select(*cols)), 6)
 
 
 def year_hint(spark, sf_dir):
     d = load(spark, sf_dir, "orders").select(
         F.year("o_orderdate").alias("order_year"), F.month("o_orderdate").alias("month_of_year"),
         (F.year("o_orderdate") + F.lit(0.5)).alias("mid_year"), F.year("o_orderdate").alias("ordered"))
-    return P.profile_numeric(d, by_schema(d), normality=False).summary.select("name", "format_hint")
+    return P.profile_numeric(d, by_schema(d)).summary.select("name", "format_hint")
 
 
 def profile_categorical(spark, sf_dir):
@@ -184,29 +186,32 @@ def profile_datetime(spark, sf_dir):
 
 def missing_report(spark, sf_dir):
     d = K.normalize_missing(dirty_orders(spark, sf_dir)).drop("k")
-    return out(P.missing_report(P.profile(d, dirty_kinds(), normality=False)).select("name", "position", "missing", "missing_pct"), 6)
+    return out(P.missing_report(P.profile(d, dirty_kinds())).select("name", "position", "missing", "missing_pct"), 6)
 
 
 def unknown_columns(spark, sf_dir):
     d = K.normalize_missing(dirty_orders(spark, sf_dir)).select("empty", "priority")
     kinds = [K.ColumnKind("empty", "numeric", 0), K.ColumnKind("priority", "boolean", 1)]
-    return out(P.profile(d, kinds, normality=False).unknown.select("name", "total_rows", "missing", "reason"))
+    return out(P.profile(d, kinds).unknown.select("name", "total_rows", "missing", "reason"))
 
 
 def columns_by_kind(spark, sf_dir):
     d = load(spark, sf_dir, "orders")
-    return longs(P.columns_by_kind(P.profile(d, by_schema(d), normality=False)))
+    return longs(P.columns_by_kind(P.profile(d, by_schema(d))))
 
 
 # ----- typing ----------------------------------------------------------------
 
 
 def infer_kinds(spark, sf_dir):
+    """Kinds of text columns, one of them with numbers first and words from row 250 on, one with date-times."""
     d = K.normalize_missing(dirty_orders(spark, sf_dir))
-    text_only = d.withColumn("k", F.lpad(F.col("k").cast("string"), 12, "0"))
+    late = F.when(F.col("k") <= 250, F.col("k").cast("string")).otherwise(F.col("priority"))
+    moment = F.concat(F.col("day"), F.lit(" 10:"), F.lpad((F.col("k") % 60).cast("string"), 2, "0"))
+    text_only = d.withColumns({"late": late, "moment": moment, "k": F.lpad(F.col("k").cast("string"), 12, "0")})
     found = K.infer_kinds_table(text_only, ["k"])
     return longs(found.select("name", "position", "kind", "missing_count",
-                              F.array_join("sample_values", "|").alias("sample_values")))
+                              F.array_join("sample_values", "|").alias("sample_values"), "date_layout"))
 
 
 def normalize_missing(spark, sf_dir):
@@ -281,7 +286,7 @@ def pearson_pairs(spark, sf_dir):
 
 def embedding_cells(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select(
-        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
 
 
 def pearson_embeddings(spark, sf_dir):
@@ -312,6 +317,14 @@ def pair_records(spark, sf_dir):
     return out(_records(d).select("column_a", "column_b", "pearson", "spearman", "non_linear_hint"), 6)
 
 
+def pair_p_values(spark, sf_dir):
+    """Pearson's and Spearman's r with their p-values."""
+    d = load(spark, sf_dir, "customer").select("c_acctbal", "c_nationkey", (F.col("c_custkey") % 7).alias("week"))
+    cols = ["method", "col_i", "col_j", "r", "p", "n"]
+    named = lambda pairs, m: R.named_pairs(R.with_p_values(pairs), by_schema(d)).select(F.lit(m).alias("method"), *cols[1:])
+    return out(named(R.pearson_pairs(d, by_schema(d)), "pearson").unionByName(named(R.spearman_pairs(d, by_schema(d)), "spearman")), 6)
+
+
 def top_pairs(spark, sf_dir):
     d = related_lineitem(spark, sf_dir)
     return out(R.top_pairs(_records(d)).select("bucket", "rank", "column_a", "column_b", "pearson", "spearman"), 6)
@@ -335,6 +348,11 @@ def ols_simple(spark, sf_dir):
                                  "adjusted_r_squared", "standard_error", "statistic", "standardized_estimate"), 6)
 
 
+def ols_p_values(spark, sf_dir):
+    d = load(spark, sf_dir, "customer").select("c_acctbal", (F.col("c_custkey") % 7).cast("double").alias("week"))
+    return out(_models(d).select("target", "feature", "estimate", "standard_error", "statistic", "p_value", "is_significant"), 6)
+
+
 def ols_full(spark, sf_dir):
     d = related_lineitem(spark, sf_dir).select("l_quantity", "charge", "spare")
     return out(_models(d).select("target", "feature", "rank", "n_observations", "estimate", "intercept", "r_squared",
@@ -369,6 +387,16 @@ def logistic_lineitem(spark, sf_dir):
     return R.logistic_models(d, by_schema(d))[1]
 
 
+def logistic_groups(spark, sf_dir):
+    """Two outcomes against one feature of 0 and 1, fitted together: the odds of the four-fold tables."""
+    d = load(spark, sf_dir, "lineitem").select(
+        (F.col("l_quantity") > 25).cast("double").alias("big"), (F.col("l_returnflag") == "R").alias("returned"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_discount") > 0.05).alias("cheap"))
+    models, terms = R.logistic_models(d, by_schema(d))
+    return out(models.select("target", "n_observations", "true_count", "intercept", "auc", "accuracy", "converged").join(
+        terms.select("target", "feature", "estimate", "standard_error", "statistic", "p_value", "odds_ratio"), "target"), 5)
+
+
 def auc_accuracy(spark, sf_dir):
     d = load(spark, sf_dir, "lineitem")
     return out(R.auc_and_accuracy(d, F.col("l_extendedprice") / 110000.0, F.col("l_returnflag") == "R"), 6)
@@ -397,13 +425,30 @@ def k_candidates(spark, sf_dir):
     return S.segment(d, by_schema(d)).candidates
 
 
+def k_choice(spark, sf_dir):
+    """The number of groups of customers that lie in three, and how far these are apart."""
+    group = F.col("c_nationkey") % 3
+    d = load(spark, sf_dir, "customer").select(
+        (group * 100 + F.col("c_acctbal") / 2000).alias("x"), (F.when(group == 1, 80.0).otherwise(0.0) + F.col("c_custkey") % 7).alias("y"))
+    return out(S.segment(d, by_schema(d)).summary.select("k", "silhouette", "metric", "n_rows", "converged"), 6)
+
+
 def projection(spark, sf_dir):
-    d = _part_numbers(spark, sf_dir)
-    rows = S.complete_rows(d, by_schema(d))
-    scaling = S.fit_scaling(rows, ["p_size", "p_retailprice"])
-    points = rows.select("*", *S.scaled_cells(scaling))
+    """Every part on the two directions that vary most, without their signs, which are free."""
+    d = load(spark, sf_dir, "part")
+    names = ["p_size", "p_retailprice"]
+    rows = d.select("p_partkey", *[F.col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)]).na.drop()
+    scaling = S.fit_scaling(rows.select("c0", "c1"), names)
+    points = rows.select("p_partkey", *S.scaled_cells(scaling))
     axes, _ = S.fit_projection(S.VectorAssembler(inputCols=["z0", "z1"], outputCol="features").transform(points))
-    return S.projected(points, axes).select("z0", "z1", "x", "y")
+    return out(S.projected(points, axes).select("p_partkey", F.abs("x").alias("x"), F.abs("y").alias("y")), 6)
+
+
+def projection_cells(spark, sf_dir):
+    """Rows of given groups in each cell of a grid."""
+    d = load(spark, sf_dir, "part").select(
+        F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y"), (F.col("p_partkey") % 3).cast("int").alias("cluster"))
+    return out(charts.cluster_points(S.projection_cells(d)))
 
 
 def pca_variance(spark, sf_dir):
@@ -477,7 +522,7 @@ def findings_numeric(spark, sf_dir):
     parts = []
     for table, columns in (("lineitem", LINEITEM_NUMBERS), ("events", ["value"]), ("customer", ["c_acctbal"])):
         d = load(spark, sf_dir, table).select(*columns)
-        parts.append(findings.numeric_findings(P.profile_numeric(d, by_schema(d), normality=False).summary))
+        parts.append(findings.numeric_findings(P.profile_numeric(d, by_schema(d)).summary))
     return longs(parts[0].unionByName(parts[1]).unionByName(parts[2]).select("subject", "position", "rule", "severity"))
 
 
@@ -489,6 +534,17 @@ def findings_categorical(spark, sf_dir):
     return longs(found.select("subject", "position", "rule", "severity"))
 
 
+def tied_leaders(spark, sf_dir):
+    """How many values lead together, more of them than are shown."""
+    d = load(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 8).cast("string").alias("shift"), F.when(F.col("o_orderkey") % 8 < 2, "a").otherwise("b").alias("half"), "o_orderpriority")
+    kinds = by_schema(d)
+    counts = P.category_counts(d, kinds)
+    summary = P.categorical_summary(d, counts, kinds)
+    found = findings.categorical_findings(summary, P.top_values_table(counts, kinds)).where("position = 0")
+    return out(summary.select("name", "unique_count", "mode_frequency", "tied_count").join(found.select(F.col("subject").alias("name"), "rule"), "name"))
+
+
 def findings_pairs(spark, sf_dir):
     return longs(findings.pair_findings(_records(related_lineitem(spark, sf_dir))).select("subject", "rule", "severity"))
 
@@ -524,8 +580,31 @@ def cell_formats(spark, sf_dir):
 
 
 def analysis_report(spark, sf_dir):
-    d = _labelled_documents(spark, sf_dir)
-    return report.report_json(analyze(d).report)
+    """All bounded results of an analysis as rows."""
+    return report.long_rows(analyze(_labelled_documents(spark, sf_dir)).parts)
+
+
+def read_files(spark, sf_dir):
+    """Orders written as delimited files with two headers, quoted line breaks and quotes, and read again."""
+    folder = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    key = F.col("o_orderkey")
+    note = F.concat(F.col("o_orderpriority"), F.when(key % 5 == 0, F.lit("\nnext, line")).when(key % 7 == 0, F.lit(' said "so"')).otherwise(""))
+    d = load(spark, sf_dir, "orders").select(key.cast("string").alias("id"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"), note.alias("note"))
+    options = {"header": True, "escape": '"', "quoteAll": True}
+    d.where(key % 2 == 0).write.options(**options).csv(f"{folder}/a")
+    d.where(key % 2 == 1).select("note", "id", F.lit("x").alias("more"), "price").write.options(**options).csv(f"{folder}/b")
+    found = delimited.read_delimited(spark, folder)
+    return found.rows.select("id", "price", "note", "more")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The folder that all executors share, or one of our own in a local session."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if place:
+        return place
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return tempfile.mkdtemp(prefix="colsight-")
 
 
 QUERIES: dict[str, Query] = {
@@ -554,6 +633,7 @@ QUERIES: dict[str, Query] = {
     "scrub_non_finite": scrub_non_finite,
     "preview": preview,
     "malformed_rows": malformed_rows,
+    "read_files": read_files,
     "distributed_rank": distributed_rank,
     "exact_median": exact_median,
     "pearson_pairs": pearson_pairs,
@@ -561,19 +641,24 @@ QUERIES: dict[str, Query] = {
     "spearman_pairs": spearman_pairs,
     "pairs_with_gaps": pairs_with_gaps,
     "pair_records": pair_records,
+    "pair_p_values": pair_p_values,
     "top_pairs": top_pairs,
     "correlation_matrix": correlation_matrix,
     "ols_simple": ols_simple,
     "ols_full": ols_full,
+    "ols_p_values": ols_p_values,
     "vif": vif,
     "ols_inference": ols_inference,
     "logistic": logistic,
     "logistic_lineitem": logistic_lineitem,
+    "logistic_groups": logistic_groups,
     "auc_accuracy": auc_accuracy,
     "zscore": zscore,
     "kmeans": kmeans,
     "k_candidates": k_candidates,
+    "k_choice": k_choice,
     "projection": projection,
+    "projection_cells": projection_cells,
     "pca_variance": pca_variance,
     "silhouette_squared_given": silhouette_squared_given,
     "cluster_summary": cluster_summary,
@@ -584,6 +669,7 @@ QUERIES: dict[str, Query] = {
     "series_gate": series_gate,
     "findings_numeric": findings_numeric,
     "findings_categorical": findings_categorical,
+    "tied_leaders": tied_leaders,
     "findings_pairs": findings_pairs,
     "findings_models": findings_models,
     "findings_trend": findings_trend,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,35 @@ def combine(spark, parts: dict[str, tuple[DataFrame, list[str]]], **facts: tuple
     return base.drop("one")
 
 
+def long_rows(parts: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """The bounded result tables as rows (part, at, record): a record is a JSON object without its empty fields, ``at``
+    its place in the part's fixed order. No clock, so equal inputs give equal rows."""
+    out = None
+    for name, (table, order) in parts.items():
+        place = F.row_number().over(Window.orderBy(*order)) if order else F.lit(1)
+        rows = scrub(table).select(F.lit(name).alias("part"), place.cast("int").alias("at"), F.to_json(F.struct(*[name_column(c) for c in table.columns])).alias("record"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def write_tables(tables: dict[str, tuple[DataFrame, list[str]]], path: str, mode: str = "errorifexists") -> None:
+    """Every result as a Parquet table ``path/<name>``, partitioned by its columns; ``path/manifest`` is written last.
+
+    Nothing is collected, so tables as long as the input are fine. A folder without a manifest is not complete.
+    """
+    listed = []
+    for name, (table, keys) in tables.items():
+        scrub(table).write.mode(mode).partitionBy(*keys).parquet(f"{path}/{name}")
+        listed.append((name, ",".join(keys), table.schema.simpleString()))
+    spark = next(iter(tables.values()))[0].sparkSession
+    small_table(spark, listed, "name string, partitioned_by string, columns string").coalesce(1).write.mode(mode).json(f"{path}/manifest")
+
+
+def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that a manifest names."""
+    return {r["name"]: spark.read.parquet(f"{path}/{r['name']}") for r in spark.read.json(f"{path}/manifest").collect()}
+
+
 def write_report(report: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
     """Write the report row as JSON or Parquet."""
     if fmt not in ("json", "parquet"):

@@ -1,4 +1,5 @@
 import math
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,11 +95,10 @@ def test_student_t_closed_forms():
         assert special.t_two_sided_p(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-9)
 
 
-def test_shapiro_worked_example():
-    # Shapiro & Wilk (1965), weights of eleven men: W = 0.79, p about 0.007
-    w, p = special.shapiro_p([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
-    assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.0005)
-    assert all(math.isnan(v) for v in special.shapiro_p([1.0, 1.0, 2.0, 2.0]))
+def test_normal_quantile(spark):
+    ps = [1e-12, 1e-5, 0.02, 0.03, 0.2, 0.5, 0.7, 0.97, 0.98, 0.99999]
+    rows = spark.createDataFrame([(p,) for p in ps], "p double").select(special.normal_quantile(F.col("p"), 1 - F.col("p")).alias("z")).collect()
+    assert [r["z"] for r in rows] == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-8, abs=1e-8)
 
 
 def test_kind_inference(spark):
@@ -114,11 +114,30 @@ def test_kind_inference(spark):
     assert dict(typed.dtypes)["day"] == "timestamp_ntz" and dict(typed.dtypes)["amount"] == "double"
 
 
-def test_sniffing_reads_past_a_blank_prefix(spark):
-    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") >= 4000, F.col("id").cast("string")).alias("late"))
-    sample = K.sniff_sample(df, ["id"])
-    late = sample.where("pos = 1").orderBy("at").collect()
-    assert len(late) == 200 and late[0]["value"] == "4000" and late[-1]["value"] == "4199"
+def test_samples_of_late_columns_are_the_first_ones(spark):
+    late = F.when(F.col("id") >= 4000, F.col("id").cast("string"))
+    df = spark.range(5000).select(F.col("id"), late.alias("late"), F.lit(" ").alias("none"), F.col("id").cast("string").alias("full")).repartition(7)
+    got = {r["pos"]: r["sample_values"] for r in K.shown_samples(df, ["id"]).collect()}
+    assert got[1] == ["4000", "4001", "4002", "4003", "4004"] and got[2] == [] and got[3] == ["0", "1", "2", "3", "4"]
+
+
+def test_every_row_votes(spark):
+    words = F.when(F.col("id") < 1000, F.col("id").cast("string")).otherwise("word")
+    some = F.when(F.col("id") % 20 == 0, "word").otherwise(F.col("id").cast("string"))
+    df = spark.range(5000).select(words.alias("wordy"), some.alias("mostly"))
+    found = {k.name: k for k in K.infer_kinds(df)}
+    assert found["wordy"].kind == "categorical" and found["mostly"].kind == "numeric"
+    assert found["wordy"].sample_values == ("0", "1", "2", "3", "4")
+
+
+def test_given_datetimes_keep_their_times(spark):
+    rows = [(f"2024-01-{1 + i:02d} 10:{i:02d}", f"2024-02-{1 + i:02d}", f"{13 + i}/{1 + i}/2024", "2024-03-01") for i in range(9)]
+    df = spark.createDataFrame(rows, "at string, day string, slashes string, note string")
+    kinds = K.kinds_from_schema(df, at="datetime", day="datetime", slashes="datetime")
+    assert [k.date_layout for k in K.with_layouts(df, kinds)] == ["iso_datetime", "iso_date", "day_month_year", None]
+    typed = K.apply_kinds(df, kinds).collect()
+    assert str(typed[3]["at"]) == "2024-01-04 10:03:00" and str(typed[0]["slashes"]) == "2024-01-13 00:00:00"
+    assert all(v is not None for r in typed for v in r)
 
 
 def test_date_format_election(spark):

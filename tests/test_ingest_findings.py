@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +34,45 @@ def test_ragged_file(spark, tmp_path):
     assert "5 rows" in D.large_input_notice(source, max_rows=5)
 
 
+def test_one_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(str(i), "".join(rng.choice(['a', ' ', '"', '\n', ',', 'é', '\n\n']) for _ in range(rng.randrange(30))) + "." + "x\n" * (400 if i == 50 else 0), "end") for i in range(300)]
+    for name, newline in (("plain", "\n"), ("returns", "\r\n")):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator=newline)
+            out.writerows([("id", "text", "last"), *rows])
+        kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            for limit in ("128m", "700"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+                spark.conf.set("spark.sql.files.openCostInBytes", "0")
+                found = D.read_delimited(spark, str(tmp_path / f"{name}.csv"))
+                assert limit == "128m" or found.parsed.rdd.getNumPartitions() > 5
+                assert sorted((r["id"], r["text"], r["last"]) for r in found.rows.collect()) == sorted(rows)
+                assert found.malformed().count() == 0
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_headers_in_another_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffid,name,amount\n1,x,5\n2,y,6\n")
+    (tmp_path / "b.csv").write_text("\namount,id,more\n7,3,m\n,,\n8,4,n,extra\n")
+    (tmp_path / "c.txt").write_text("id,name,amount\n")
+    found = D.read_delimited(spark, str(tmp_path))
+    assert found.headers == ["id", "name", "amount", "more"]
+    assert sorted(tuple(r) for r in found.rows.collect()) == [("1", "x", "5", None), ("2", "y", "6", None), ("3", None, "7", "m"), ("4", None, "8", "n")]
+    assert [(r["row"], r["text"]) for r in found.malformed().collect()] == [(4, "8,4,n,extra")]
+    (tmp_path / "d.pdf").write_text("id,name\n1,2\n")
+    with pytest.raises(D.InputError, match="d.pdf"):
+        D.read_delimited(spark, str(tmp_path))
+
+
+def test_delimiter_by_all_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a;b,c;d\n" + "1;2,5;3\n" * 30 + "1;2;3\n" * 40)
+    assert D.read_delimited(spark, str(tmp_path / "a.csv")).headers == ["a", "b,c", "d"]
+
+
 def test_delimiters_and_guards(spark, tmp_path):
     assert D.read_text(spark, "a;b\n1;2\n3;4\n").headers == ["a", "b"]
     assert D.read_text(spark, "a\tb\n1,5\t2\n").rows.first()["a"] == "1,5"
@@ -85,7 +126,7 @@ def test_numeric_rules(spark, changes, expected):
 
 
 def logistic_rules(spark, auc, n, true, odds=1.5, p=0.01):
-    model = spark.createDataFrame([("y", "logistic", n, None, None, None, auc, 0.9, true, n - true, [], None)], relate.MODEL_SCHEMA)
+    model = spark.createDataFrame([("y", "logistic", n, None, None, None, auc, 0.9, true, n - true, [], None, True, 5)], relate.MODEL_SCHEMA)
     terms = spark.createDataFrame([("y", "logistic", 1, "x", 0.4, 0.5, 0.1, 4.0, p, p < 0.05, odds, None)], relate.COEFFICIENT_SCHEMA)
     return [(r["rule"], r["severity"]) for r in R.logistic_findings(model, terms).orderBy("position").collect()]
 
@@ -100,13 +141,13 @@ def test_logistic_rules(spark):
 
 @pytest.mark.parametrize("score, rule", [(0.6, "groups_clear"), (0.4, "groups_fair"), (0.3, "groups_fuzzy"), (0.1, "groups_weak")])
 def test_segment_rules(spark, score, rule):
-    s = spark.createDataFrame([(3, score, "euclidean", 2, 50, 0.6, 0.3, None)], segment.SUMMARY_SCHEMA)
+    s = spark.createDataFrame([(3, score, "centroid", 2, 50, 0.6, 0.3, None, True, 4)], segment.SUMMARY_SCHEMA)
     assert [r["rule"] for r in R.segment_findings(s).orderBy("position").collect()] == [rule, "projection"]
 
 
 def test_display_bands(spark):
-    rows = [("a", "linear", 9, 0.8, 0.8, 0.0, None, None, None, None, [], None), ("b", "logistic", 9, None, None, 0.0, 0.7, 0.5, 4, 5, [], None),
-            ("c", "linear", 0, 0.0, 0.0, None, None, None, None, None, [], "why")]
+    rows = [("a", "linear", 9, 0.8, 0.8, 0.0, None, None, None, None, [], None, True, 1), ("b", "logistic", 9, None, None, 0.0, 0.7, 0.5, 4, 5, [], None, True, 6),
+            ("c", "linear", 0, 0.0, 0.0, None, None, None, None, None, [], "why", None, None)]
     got = {r["target"]: r["band"] for r in R.quality_band(spark.createDataFrame(rows, relate.MODEL_SCHEMA)).collect()}
     assert got == {"a": "good", "b": "fair", "c": "skipped"}
     marks = R.deviation_marks(spark.createDataFrame([(0, 1, "f", 1.0, 0.6), (0, 2, "g", 1.0, -0.2)], segment.FEATURE_SCHEMA)).collect()
@@ -133,6 +174,12 @@ def test_whole_analysis(spark, tmp_path):
     text = spark.read.text(str(tmp_path / "out")).collect()
     loaded = json.loads(text[0]["value"])
     assert len(text) == 1 and loaded["row_count"] == 24 and len(loaded["numeric"]) == 3 and len(loaded["pearson"]) == 9
+    assert sum(c["n"] for c in loaded["projection"]) == 24
+    rows = report.long_rows(a.parts).collect()
+    assert {r["part"] for r in rows} >= {"numeric", "findings", "clusters"} and sum(r["part"] == "numeric" for r in rows) == 3
+    report.write_tables(a.tables(), str(tmp_path / "tables"))
+    tables = report.read_tables(spark, str(tmp_path / "tables"))
+    assert tables["projection"].count() == 24 and tables["history"].count() == a.trends.history.count() and tables["numeric"].count() == 3
     report.write_report(a.report, str(tmp_path / "pq"), "parquet")
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 1
 

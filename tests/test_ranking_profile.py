@@ -1,12 +1,19 @@
-import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from colsight.functions.special import shapiro_p
-from colsight.operators import kinds as K, profile as P, ranking as R
+from colsight.functions.special import francia_p
+from colsight.operators import findings, kinds as K, profile as P, ranking as R
+
+
+def francia(x):
+    """Squared correlation of sorted values with normal scores, ties at their mean rank."""
+    rank = pd.Series(x).rank().to_numpy()
+    m = np.array([NormalDist().inv_cdf((r - 0.375) / (len(x) + 0.25)) for r in rank])
+    return np.corrcoef(x, m)[0, 1] ** 2
 
 
 def numbers(spark, columns: dict):
@@ -71,13 +78,15 @@ def test_numeric_panel_against_pandas(spark):
         a = np.sort(np.abs(s))
         gini = 2 * (np.arange(1, len(a) + 1) * a).sum() / (len(a) * a.sum()) - (len(a) + 1) / len(a)
         assert r["gini"] == pytest.approx(gini, rel=1e-9)
-        assert r["normality_p"] == pytest.approx(shapiro_p(s.to_numpy())[1], abs=1e-12)
+        w = francia(s.to_numpy())
+        assert r["normality_test"] == "shapiro_francia" and r["normality_statistic"] == pytest.approx(w, rel=1e-7)
+        assert r["normality_p"] == pytest.approx(francia_p(w, len(s)), abs=1e-6)
 
 
 def test_histogram_equals_numpy(spark):
     rng = np.random.default_rng(3)
     data = {"skewed": rng.exponential(5, 900), "grid": np.tile(np.arange(0, 1.0001, 0.1), 82)[:900]}
-    _, out = panel(spark, data, normality=False)
+    _, out = panel(spark, data)
     for name, raw in data.items():
         rows = sorted((r["bin"], r["cnt"], r["bin_lo"]) for r in out.histogram.where(F.col("name") == name).collect())
         counts, edges = np.histogram(raw, bins=len(rows))
@@ -105,20 +114,28 @@ def test_edge_columns(spark):
     assert got["wild"]["count"] == n - 2 and got["wild"]["max"] == 2.0
 
 
-def test_anderson_darling_matches_direct_sum(spark):
+def test_one_normality_test_at_every_size(spark):
     rng = np.random.default_rng(8)
-    x = rng.normal(size=6000).round(2)
-    got, _ = panel(spark, {"x": x})
-    s = np.sort(x)
-    z = (s - s.mean()) / s.std(ddof=1)
-    cdf = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
-    sf = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
-    i = np.arange(1, len(s) + 1)
-    direct = -len(s) - np.sum((2 * i - 1) * (np.log(cdf) + np.log(sf[::-1]))) / len(s)
-    assert got["x"]["normality_test"] == "anderson_darling"
-    assert got["x"]["normality_statistic"] == pytest.approx(direct, rel=1e-6)
-    assert P.anderson_band(0.1, 6000) == 0.15 and P.anderson_band(5.0, 6000) == 0.01 and P.anderson_band(0.6, 6000) == 0.10
-    assert P.anderson_band(0.7, 6000) == 0.05
+    for n in (4999, 5001):
+        data = {"bell": rng.normal(size=n), "ties": rng.normal(size=n).round(1), "skew": rng.exponential(size=n)}
+        got, _ = panel(spark, data)
+        for name, x in data.items():
+            assert got[name]["normality_test"] == "shapiro_francia"
+            assert got[name]["normality_statistic"] == pytest.approx(francia(x), rel=1e-7)
+        assert got["bell"]["normality_p"] > 0.01 and got["skew"]["normality_p"] < 1e-12
+    p = [francia_p(francia(rng.normal(size=60)), 60) for _ in range(400)]
+    assert 0.44 < np.mean(p) < 0.56 and 0.02 < np.mean(np.array(p) < 0.05) < 0.09
+
+
+def test_selection_takes_three_passes_on_a_heavy_tail(spark):
+    x = np.random.default_rng(4).lognormal(sigma=9, size=60_000)
+    df = R.hold(spark.createDataFrame(pd.DataFrame({"pos": np.zeros(len(x), "int32"), "value": x, "cnt": np.ones(len(x), "int64")})))
+    passes = []
+    at = R.order_statistics(df, {0: {0, 100, 30_000, 59_990}}, passes=passes)
+    assert [at[0, k] for k in (0, 100, 30_000, 59_990)] == np.sort(x)[[0, 100, 30_000, 59_990]].tolist()
+    assert passes == ["sketch", "count", "read"]
+    same = R.hold(spark.createDataFrame([(0, v, 1) for v in [1.0, 9.0, *[2.0] * 6000]], "pos int, value double, cnt bigint"))
+    assert R.order_statistics(same, {0: {0, 1, 6000, 6001}}) == {(0, 0): 1.0, (0, 1): 2.0, (0, 6000): 2.0, (0, 6001): 9.0}
 
 
 def test_outliers_repeat_values_up_to_the_limit(spark):
@@ -154,6 +171,16 @@ def test_profile_of_every_kind(spark):
     assert [r["name"] for r in P.columns_by_kind(p).collect()] == ["id", "grp", "day", "ok", "n"]
 
 
+def test_all_tied_leaders_are_counted(spark):
+    df = spark.createDataFrame([(f"v{i % 8}",) for i in range(80)] + [("w",)] * 3, "c string")
+    kinds = K.kinds_from_schema(df)
+    counts = P.category_counts(df, kinds)
+    summary = P.categorical_summary(df, counts, kinds)
+    assert summary.first()["tied_count"] == 8
+    found = findings.categorical_findings(summary, P.top_values_table(counts, kinds)).where("position = 0").first()
+    assert found["rule"] == "tied_lead" and "3 more" in found["headline"] and "8 categories" in found["body"]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "a double, b string, c timestamp_ntz, d boolean")
     p = P.profile(df)

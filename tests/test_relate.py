@@ -1,11 +1,12 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from colsight.operators import kinds as K, relate as R
+from colsight.operators import kinds as K, moments as M, relate as R
 
 
 def frame(spark, pdf: pd.DataFrame):
@@ -47,6 +48,57 @@ def test_spearman_with_missing_values(spark, data, monkeypatch, broadcast):
             assert r["r"] == pytest.approx(np.corrcoef(ranks.to_numpy().T)[0, 1], rel=1e-9)
 
 
+def test_one_scan_for_any_number_of_columns(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 40)) * 10.0 ** rng.integers(-1, 6, 40) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 5] = 3.3
+    df = frame(spark, pd.DataFrame(x, columns=[f"v{i}" for i in range(40)])).repartition(5)
+    started = time.perf_counter()
+    pairs = R.pearson_pairs(df, K.kinds_from_schema(df))
+    assert time.perf_counter() - started < 20
+    for r in pairs.collect():
+        both = ~np.isnan(x[:, r["i"]]) & ~np.isnan(x[:, r["j"]])
+        assert r["n"] == both.sum()
+        if 5 in (r["i"], r["j"]):
+            assert r["r"] is None
+        else:
+            assert r["r"] == pytest.approx(np.corrcoef(x[both][:, [r["i"], r["j"]]].T)[0, 1], abs=1e-7)
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    M.pair_moments(df.mapInArrow(seen, df.schema))
+    assert rows.value == 300
+
+
+def test_moments_merge_as_one_set():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 4)) + 1e5
+    x[rng.random(x.shape) < 0.3] = np.nan
+    whole, a, b = M.matrix_moments(x), np.array([0, 0, 2]), np.array([1, 3, 3])
+    parts = M.Moments.empty(4, 4)
+    for rows in np.split(x, [0, 7, 8, 300]):
+        parts = parts.merged(M.Moments.unpacked(M.matrix_moments(rows).packed(), 4, 4))
+    for got in (parts.correlation(3)[a, b], M.list_moments(x, a, b).correlation(3)):
+        assert got == pytest.approx(whole.correlation(3)[a, b], abs=1e-9)
+
+
+def test_ranks_meet_cells_in_one_join(spark, data):
+    df = frame(spark, data)
+    plans = []
+    kept = R.merged_over
+    try:
+        R.merged_over = lambda d, *a: (plans.append(d._jdf.queryExecution().optimizedPlan().toString()), kept(d, *a))[1]
+        R.spearman_pairs(df, K.kinds_from_schema(df))
+    finally:
+        R.merged_over = kept
+    assert len(plans) == 1 and plans[0].count("Join ") == 1
+
+
 def test_undefined_pairs(spark):
     df = frame(spark, pd.DataFrame({"k": [1.0] * 5, "x": [1.0, 2, 3, 4, 5], "few": [1.0, 2.0, np.nan, np.nan, np.nan]}))
     kinds = K.kinds_from_schema(df)
@@ -130,6 +182,37 @@ def test_logistic_against_own_newton(spark, data):
     assert m["intercept"] == pytest.approx(beta[0], rel=1e-4)
 
 
+def test_logistic_targets_with_gaps_are_fitted_together(spark, data):
+    rng = np.random.default_rng(12)
+    pdf = data[["a", "d"]].copy()
+    pdf.loc[rng.random(len(pdf)) < 0.1, "d"] = np.nan
+    labels = {f"y{t}": [None if rng.random() < 0.2 * t else bool(rng.random() < 1 / (1 + np.exp(-(t * 0.4 - 0.5) * (a - 10)))) for a in pdf.a] for t in range(3)}
+    rows = [(float(a), None if d != d else float(d), *ys) for a, d, *ys in zip(pdf.a, pdf.d, *labels.values())]
+    df = spark.createDataFrame(rows, "a double, d double, y0 boolean, y1 boolean, y2 boolean").repartition(3)
+    models, terms = R.logistic_models(df, K.kinds_from_schema(df))
+    found = {r["target"]: r for r in models.collect()}
+    for t in range(3):
+        keep = [i for i, r in enumerate(rows) if r[1] is not None and r[2 + t] is not None]
+        x = np.array([[1.0, rows[i][0], rows[i][1]] for i in keep])
+        beta, se, _ = irls(x, np.array([float(rows[i][2 + t]) for i in keep]))
+        own = {r["feature"]: r for r in terms.where(F.col("target") == f"y{t}").collect()}
+        assert found[f"y{t}"]["n_observations"] == len(keep) and found[f"y{t}"]["converged"] and found[f"y{t}"]["rounds"] < 12
+        for i, f in enumerate(["a", "d"], 1):
+            assert own[f]["estimate"] == pytest.approx(beta[i], rel=1e-6) and own[f]["standard_error"] == pytest.approx(se[i], rel=1e-6)
+
+
+def test_only_unsolvable_equations_are_skipped():
+    def broken():
+        raise RuntimeError("executor lost")
+
+    def singular():
+        raise np.linalg.LinAlgError("singular")
+
+    with pytest.raises(RuntimeError):
+        R._isolated(broken, "y", "linear")
+    assert R._isolated(singular, "y", "linear")[0][11] == "singular"
+
+
 def test_logistic_gates_and_separation(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=60)

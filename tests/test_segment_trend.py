@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from colsight.operators import kinds as K, segment as S, trend as T
+from colsight.operators import clustering as C, kinds as K, segment as S, trend as T
 from colsight.plans import charts
 
 
@@ -20,13 +20,15 @@ def test_blobs_are_recovered(spark, blobs):
     df = blobs.drop("g")
     s = S.segment(df, K.kinds_from_schema(df))
     head = s.summary.first()
-    assert head["k"] == 3 and head["metric"] == "euclidean" and head["skipped_reason"] is None
+    assert head["k"] == 3 and head["metric"] == "centroid" and head["converged"] and head["skipped_reason"] is None
+    assert S.segment(df, K.kinds_from_schema(df), "euclidean").summary.first()["k"] == 3
     sizes = [r["size"] for r in s.clusters.orderBy("cluster").collect()]
     assert sizes == [60, 45, 30]
     assert [r["label"] for r in s.clusters.orderBy("cluster").collect()] == ["Group A", "Group B", "Group C"]
     assert s.features.count() == 9 and s.projection.count() == 135
     assert charts.projection_variance(s.summary).first()[0] == pytest.approx(head["pca_variance_1"] + head["pca_variance_2"])
-    assert charts.cluster_points(s.projection).count() == 3
+    points = charts.cluster_points(s.cells).collect()
+    assert {r["cluster"] for r in points} == {0, 1, 2} and sum(r["n"] for r in points) == 135
     again = S.segment(df.repartition(2), K.kinds_from_schema(df)).clusters.orderBy("cluster").collect()
     assert [r["size"] for r in again] == sizes
 
@@ -84,6 +86,35 @@ def test_repeated_points_at_any_size(spark):
         assert got.projection.count() == rows and got.projection.select(F.round("x", 6), F.round("y", 6)).distinct().count() == 6
 
 
+def test_same_choice_on_both_sides_of_the_old_limit(spark):
+    spot = lambda *at: F.get(F.array(*[F.lit(float(v)) for v in at]), (F.col("id") % 3).cast("int"))
+    for rows in (3_999, 4_001):
+        df = spark.range(rows).select((spot(0, 9, 3) + F.rand(1)).alias("a"), (spot(0, 1, 9) + F.rand(2)).alias("b"))
+        head = S.segment(df, K.kinds_from_schema(df)).summary.first()
+        assert (head["k"], head["metric"], head["n_rows"]) == (3, "centroid", rows)
+        assert S.segment(df, K.kinds_from_schema(df), "squared_euclidean").summary.first()["metric"] == "squared_euclidean"
+    with pytest.raises(ValueError, match="too many rows"):
+        S.segment(df, K.kinds_from_schema(df), "euclidean")
+
+
+def test_all_fits_against_plain_lloyd(spark, blobs):
+    columns = ["a", "b"]
+    fits = C.fit_groups(blobs, columns, [2, 3, 5], 2, 100, 0.0, 7)
+    x = blobs.select(*columns).toPandas().to_numpy()
+    for k, fit in fits.items():
+        gaps = ((x[:, None] - fit.centers[None]) ** 2).sum(-1)
+        own = gaps.argmin(1)
+        assert fit.converged and fit.sizes.tolist() == np.bincount(own, minlength=k).tolist()
+        assert fit.centers == pytest.approx(np.array([x[own == c].mean(0) for c in range(k)]))
+        assert fit.cost == pytest.approx(gaps.min(1).sum())
+        two = np.sqrt(np.sort(gaps, axis=1)[:, :2])
+        assert fit.separation == pytest.approx(((two[:, 1] - two[:, 0]) / two[:, 1]).mean())
+        numbers = blobs.select(*columns, C.nearest(columns, fit.centers).alias("c")).toPandas()["c"].to_numpy()
+        assert (numbers == own).all()
+    stopped = C.fit_groups(blobs, columns, [5], 1, 1, 0.0, 7)[5]
+    assert not stopped.converged and stopped.rounds == 1
+
+
 def test_segment_gates(spark):
     few = spark.range(10).select(F.col("id").cast("double").alias("a"), F.rand(1).alias("b"))
     assert "at least 20 rows" in S.segment(few, K.kinds_from_schema(few)).summary.first()["skipped_reason"]
