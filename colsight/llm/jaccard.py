@@ -3,11 +3,12 @@
 1. Index lists. Shingles are ordered with the frequent ones last; two sets above the threshold share several of the first
    few. Only those go into the index, with their position in the set. Lists of one set are dropped as they are made.
 2. Position skips. In each list every set points to its most popular fellow, if list positions and sizes still allow the
-   threshold; the trees of pointers are mostly copies of one text. Trees that share enough lists, by the bounds of their
-   positions and sizes, form a group. No pair of sets is written for this.
-3. Answers from similar sets. A group is compared as a whole: what all of its sets hold is counted once, and only the
-   differences are multiplied out, block by block in order of size. Blocks whose sets are linked already, or whose sizes
-   exclude links, are skipped.
+   threshold; the trees of pointers are mostly copies of one text. Between trees only the heads of a list look for
+   partners: entries at a position from which a set of that size can still reach the threshold with a larger one. Trees
+   that share enough lists, by the bounds of their positions and sizes, form a group. No pair of sets is written for this.
+3. Answers from similar sets. In a group each set's overlaps with all others are derived from those of the answered set
+   that is most similar to it, by the lists of the shingles in which the two differ. Sets whose partners are linked
+   already, or whose sizes exclude links, are skipped.
 
 Equal sets are one class from the start; a set is named by a 64-bit fingerprint and its size. Frequent shingles (each task
 counts those met twice in a batch) only choose the order, so missing some changes no result.
@@ -32,6 +33,8 @@ FREQUENT_ROWS = 200_000
 """Frequent shingles that are sent to the tasks, the most frequent ones."""
 LIST_ROWS = 4096
 """Sets of a frequent shingle that stand in one part of its list."""
+HOT_SHARE = 1000
+"""A class with more than one row in so many is hot; that many are at most."""
 HITS = 4
 """Shingles that two linked sets surely share among their first ones (or all, if they have fewer)."""
 TILE_SETS, TILE_SHINGLES = 2048, 2_000_000
@@ -144,42 +147,54 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _linked(sets: list[np.ndarray], percent: int, links: Links, rows: np.ndarray, cols: np.ndarray | None) -> None:
-    """Link the sets with numbers ``rows`` among each other, or with those of ``cols``."""
+    """Link the sets with numbers ``rows`` among each other, or with those of ``cols``.
+
+    Sets are answered in order of size. A set's overlaps with all others are those of the answered set that differs least
+    from it, plus those of the shingles that only the new one holds, less those of the shingles that only the old one
+    holds; without a set that is near enough they are counted from the lists of its shingles. A set whose size or links
+    leave no open partner is skipped.
+    """
     by_size = lambda x: x[np.argsort([len(sets[i]) for i in x], kind="stable")]
     rows, cols = by_size(rows), None if cols is None else by_size(cols)
     every = rows if cols is None else np.concatenate((rows, cols))
+    size = np.array([len(sets[i]) for i in every])
     token, where = np.unique(np.concatenate([sets[i] for i in every]), return_inverse=True)
     held = np.bincount(where, minlength=len(token))
-    size = np.array([len(sets[i]) for i in every])
-    owner = np.repeat(np.arange(len(every)), size)
     common = int((held == len(every)).sum())
-    column = np.cumsum((held > 1) & (held < len(every))) - 1
     open_ = ((held > 1) & (held < len(every)))[where]
-    owner, column = owner[open_], column[where[open_]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    width, step = int(column[-1]) + 1 if len(column) else 0, 512
-    a = np.arange(len(rows))
-    b = a if cols is None else np.arange(len(rows), len(every))
-    for i in range(0, len(a), step):
-        for j in range(i if cols is None else 0, len(b), step):
-            left, right = a[i : i + step], b[j : j + step]
-            root = links.roots()[every[np.concatenate((left, right))]]
-            low, high = size[left], size[right]
-            if (root == root[0]).all() or 100 * low[-1] < percent * high[0] or 100 * high[-1] < percent * low[0]:
-                continue
-            both = np.full((len(left), len(right)), common, np.int64)
-            for k in range(0, width, 4096):
-                lo, hi = np.searchsorted(column, (k, k + 4096))
-                grids = []
-                for x in (left, right):
-                    own = (owner[lo:hi] >= x[0]) & (owner[lo:hi] <= x[-1])
-                    grids.append(np.zeros((len(x), min(4096, width - k)), np.float32))
-                    grids[-1][owner[lo:hi][own] - x[0], column[lo:hi][own] - k] = 1
-                both += (grids[0] @ grids[1].T).astype(np.int64)  # at most 4096, exact in float32
-            need = (100 + percent) * both >= percent * (size[left][:, None] + size[right][None, :])
-            x, y = np.nonzero(need)
-            links.join(every[left[x]], every[right[y]])
+    owner, where = np.repeat(np.arange(len(every)), size)[open_], where[open_]
+    begin = np.searchsorted(owner, np.arange(len(every) + 1))  # owners ascend
+    owners = owner[np.argsort(where, kind="stable")]
+    list_at = np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(token)))))
+
+    def holders(some: np.ndarray) -> np.ndarray:
+        """How many of some shingles each set holds."""
+        many = list_at[some + 1] - list_at[some]
+        until = np.cumsum(many)
+        at = np.arange(until[-1] if len(until) else 0) + np.repeat(list_at[some] - until + many, many)
+        return np.bincount(owners[at], minlength=len(every))
+
+    own = [where[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    kept = np.diff(begin)
+    answers = np.zeros((len(rows), len(every)), np.int32)
+    answered = np.zeros(0, np.int64)
+    first_target = len(rows) if cols is not None else 0
+    for i in range(len(rows)):
+        root = links.roots()[every]
+        fits = (root != root[i]) & (100 * size >= percent * size[i]) & (100 * size[i] >= percent * size)
+        fits[: max(first_target, i + 1 if cols is None else 0)] = False
+        if not fits.any():
+            continue
+        differ = kept[answered] + kept[i] - 2 * answers[answered, i]
+        if len(answered) and differ.min() < kept[i]:
+            near = answered[differ.argmin()]
+            answers[i] = answers[near] + holders(np.setdiff1d(own[i], own[near], True)) - holders(np.setdiff1d(own[near], own[i], True))
+        else:
+            answers[i] = holders(own[i])
+        answered = np.append(answered, i)
+        both = answers[i].astype(np.int64) + common
+        hit = np.flatnonzero(fits & ((100 + percent) * both >= percent * (size + size[i])))
+        links.join(np.full(len(hit), every[i]), every[hit])
 
 
 def _compare(words: int, percent: int):
@@ -251,9 +266,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # a set's popularity: the lengths of the lists it is in
     by_token, by_set = Window.partitionBy("token"), Window.partitionBy("print", "n")
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("print", "n").agg(F.min("id").alias("node"))
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("print", "n").agg(F.min("id").alias("node"), F.count("*").alias("rows"))
     lists = lists.withColumn("length", F.count("*").over(by_token)).where("length > 1")
-    lists = lists.join(classes.hint("merge"), ["print", "n"]).withColumn("popular", F.sum("length").over(by_set))
+    lists = lists.join(classes.drop("rows").hint("merge"), ["print", "n"]).withColumn("popular", F.sum("length").over(by_set))
     lists = lists.withColumn("shared", F.count("*").over(by_set)).where(enough("shared", "n", "n"))
     lists = cut(lists.select("token", "node", "n", "place", "popular"))
 
@@ -272,10 +287,20 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     trees = lists.select("token", "node", "n", "place").join(grouped.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     trees = trees.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("n"), F.min("place").alias("place"))
     trees = cut(trees.withColumn("trees", F.count("*").over(by_token)).where("trees > 1").drop("trees"))
-    other = trees.select("token", *(F.col(c).alias(f"other_{c}") for c in ("root", "low", "n", "place")))
+    # of two linked sets the smaller one stands so far ahead in each shared list that the rest of it could still suffice;
+    # only such heads look for partners, which skips the long tails of lists that very many sets share
+    head = (100 + percent) * (HITS + F.col("n") - 1 - F.col("place")) >= 2 * percent * F.col("low")
+    trees = trees.withColumn("head", head)
+    other = trees.select("token", *(F.col(c).alias(f"other_{c}") for c in ("root", "low", "n", "place", "head")))
     sizes_fit = (100 * F.col("n") >= percent * F.col("other_low")) & (100 * F.col("other_n") >= percent * F.col("low"))
     room = HITS + F.least(F.col("n") - 1 - F.col("place"), F.col("other_n") - 1 - F.col("other_place"))
-    near = trees.join(other, "token").where("root < other_root").where(sizes_fit & ((100 + percent) * room >= percent * (F.col("low") + F.col("other_low"))))
+    once = F.when(F.col("other_head"), F.col("root") < F.col("other_root")).otherwise(F.col("root") != F.col("other_root"))
+    near = trees.where("head").join(other, "token").where(once).where(sizes_fit & ((100 + percent) * room >= percent * (F.col("low") + F.col("other_low"))))
+    swap = F.col("root") > F.col("other_root")
+    near = near.select(
+        F.least("root", "other_root").alias("root"), F.greatest("root", "other_root").alias("other_root"),
+        F.when(swap, F.col("other_low")).otherwise(F.col("low")).alias("low"), F.when(swap, F.col("low")).otherwise(F.col("other_low")).alias("other_low"),
+    )
     near = near.groupBy("root", "other_root").agg(F.count("*").alias("hits"), F.min("low").alias("n"), F.min("other_low").alias("m")).where(enough("hits", "n", "m"))
     bonds = grouped.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(near.select(F.col("root").alias("u"), F.col("other_root").alias("v")))
     grouped = cut(components(bonds).select("node", F.col("component").alias("root")))
@@ -291,6 +316,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.join(wanted.hint("merge"), docs["id"] == wanted["node"]).select("k1", "k2", "tile", "node", "text")
     links = texts.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "tile", "node").mapInPandas(_compare(words, percent), "u long, v long")
     found = components(links)
-    named = rows.join(classes, ["print", "n"], "left").join(found, "node", "left")
+    # copies of one text: classes with many rows, HOT_SHARE of them at most, meet their rows without a shuffle
+    total = rows.count()
+    hot = F.broadcast(classes.where(F.col("rows") * HOT_SHARE > total).select("print", "n", F.col("node").alias("hot_node")))
+    placed = rows.join(hot, ["print", "n"], "left")
+    rest = placed.where("hot_node IS NULL").join(classes.drop("rows"), ["print", "n"], "left")
+    placed = placed.where("hot_node IS NOT NULL").withColumn("node", F.col("hot_node")).unionByName(rest).drop("hot_node")
+    named = placed.join(found, "node", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -76,6 +76,44 @@ def test_jaccard_is_exact_at_the_threshold_of_very_long_texts():
         assert (found.roots()[1] == 0) == links
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_derived_answers_equal_counted_ones(seed):
+    from colsight.llm.jaccard import _linked
+    from colsight.llm.shared import Links
+
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(8):
+        base = rng.choice(4000, rng.integers(3, 120), replace=False)
+        for _ in range(rng.integers(1, 12)):
+            keep = base[rng.random(len(base)) > rng.choice([0.0, 0.03, 0.1])]
+            sets.append(np.unique(np.concatenate((keep, rng.choice(4000, rng.integers(0, 5))))).astype(np.uint64))
+    sets = [s for s in sets if len(s)]
+    n, percent = len(sets), int(rng.choice([60, 80, 85, 100]))
+    link = [[100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for b in sets] for a in sets]
+    half = rng.permutation(n)[: n // 2]
+    for rows, cols in ((np.arange(n), None), (np.sort(half), np.setdiff1d(np.arange(n), half))):
+        want, got = Links(n), Links(n)
+        for i in rows:
+            for j in rows if cols is None else cols:
+                if link[i][j]:
+                    want.join(np.array([i]), np.array([j]))
+        _linked(sets, percent, got, rows, cols)
+        assert got.roots().tolist() == want.roots().tolist()
+
+
+def test_pages_of_one_template_are_not_paired(spark):
+    """Pages that share most words in one order but link with none: list tails are skipped, not paired."""
+    rng = random.Random(2)
+    head = " ".join(f"menu{i}" for i in range(60))
+    rows = [(i, head + " " + " ".join(f"own{rng.randrange(10**9)}" for _ in range(12))) for i in range(600)]
+    rows += [(i + 1000, t.replace("menu3 ", "menu3 x ")) for i, t in rows[:20]]
+    got = {r[0]: r[2] for r in jaccard_groups(docs(spark, rows)).collect()}
+    want = brute_groups([r for r in rows if r[0] % 1000 < 25], 4, 85)
+    assert {i: got[i] for i in want} == {i: c for i, (_, c) in want.items()}
+    assert all(got[i] == i for i, _ in rows[20:600])
+
+
 def test_jaccard_star_of_copies_and_empty_table(spark):
     rng = random.Random(5)
     base = words_of(rng, 150, 10**6)
