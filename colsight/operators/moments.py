@@ -124,8 +124,8 @@ def merged_over(df: DataFrame, moments: Callable[[Iterator[pa.RecordBatch]], Ite
         yield pa.RecordBatch.from_arrays([pa.array([total.packed()], pa.binary())], ["part"])
 
     parts = df.mapInArrow(own, "part binary").repartition(MERGED_PARTS).mapInArrow(merge, "part binary")
-    last = parts.repartition(1).mapInArrow(merge, "part binary").first()
-    return Moments.empty(*shape) if last is None else Moments.unpacked(bytes(last["part"]), *shape)
+    last = parts.repartition(1).mapInArrow(merge, "part binary").collect()  # one row
+    return Moments.unpacked(bytes(last[0]["part"]), *shape) if last else Moments.empty(*shape)
 
 
 def pair_moments(df: DataFrame) -> Moments:

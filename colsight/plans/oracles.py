@@ -435,10 +435,10 @@ MALFORMED = """SELECT line FROM (SELECT concat_ws(',', CAST(o_orderkey AS VARCHA
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END, CASE WHEN o_orderkey % 11 = 0 THEN 'extra' END) AS line,
   3 - CAST(o_orderkey % 7 = 0 AS INTEGER) + CAST(o_orderkey % 11 = 0 AS INTEGER) AS fields FROM orders) WHERE fields <> 3"""
 
-EMBEDDING_CELLS = "SELECT " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings"
-PEARSON_EMBEDDINGS = ("SELECT x.col_i, x.col_j, x.r, x.n FROM (SELECT unnest([" + ", ".join(
-    f"{{'col_i': 'e{i}', 'col_j': 'e{j}', 'r': {r(f'corr(e{i}, e{j})', 6)}, 'n': count(*) FILTER (WHERE e{i} IS NOT NULL AND e{j} IS NOT NULL)}}"
-    for i, j in combinations(range(64), 2)) + f"]) AS x FROM ({EMBEDDING_CELLS}))")
+PEARSON_EMBEDDINGS = f"""WITH e AS (SELECT row_number() OVER () AS rid, embedding FROM embeddings),
+c AS (SELECT rid, unnest(range(64)) AS i, CAST(unnest(embedding[1:64]) AS DOUBLE) AS x FROM e)
+SELECT 'e' || a.i AS col_i, 'e' || b.i AS col_j, {r('corr(a.x, b.x)', 6)} AS r, count(*) FILTER (WHERE a.x IS NOT NULL AND b.x IS NOT NULL) AS n
+FROM c a JOIN c b ON a.rid = b.rid AND a.i < b.i GROUP BY a.i, b.i"""
 CUSTOMER_WEEK = "SELECT c_acctbal, c_nationkey, c_custkey % 7 AS week FROM customer"
 PAIR_P_VALUES = (f"SELECT method, col_i, col_j, r, {r(student_p('(r0 * sqrt((n - 2) / (1 - r0 * r0)))', '(n - 2)'), 6)} AS p, n FROM ("
                  + union([f"SELECT '{m}' AS method, '{a}' AS col_i, '{b}' AS col_j, corr({v % a}, {v % b}) AS r0, {r(f'corr({v % a}, {v % b})', 6)} AS r, count(*) AS n FROM ("
