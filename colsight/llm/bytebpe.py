@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from colsight.llm.pretokens import code_point_classes, pretokens
+from colsight.llm.shared import held_by_worker
 from colsight.llm.tokens import CASED, WordValues
 from colsight.llm.words import chunks, hashes
 
@@ -113,7 +114,7 @@ class Ranks:
         return token[np.argsort(piece, kind="stable")].astype(np.int32), np.bincount(piece, minlength=len(pieces))
 
 
-_HELD: dict[str, tuple[Ranks, WordValues]] = {}
+_HELD: dict[str, tuple[Ranks, WordValues]] = held_by_worker({})
 
 
 def held(path: str) -> tuple[Ranks, WordValues]:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsight.llm.shared import cut
+from colsight.llm.shared import cut, free_held
 from colsight.llm.words import SPACE, chunks, grams, hashes, split
 
 K1, B = 1.2, 0.75
@@ -237,6 +237,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def _judge(held, at: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_held()
         index = held.value
         for batch in batches:
             *own, items, retrieved, score = batch.columns

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsight.llm.shared import Links, components, cut
+from colsight.llm.shared import Links, components, cut, free_held
 from colsight.llm.words import GRAM, U, mix, shingle_sets
 
 FREQUENT = 64
@@ -47,6 +47,7 @@ def _print(own: np.ndarray) -> int:
 
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_held()
         seen: set[tuple[int, int]] = set()
         often, counts = np.zeros(0, U), np.zeros(0, np.int64)
         for batch in batches:
@@ -85,6 +86,7 @@ def _entries(n: int, percent: int, often):
     """The index entries of each set, in the order of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_held()
         value, rank, parts = often.value
         maybe = np.zeros(1 << 20, bool)
         maybe[(value >> U(44)).astype(np.int64)] = True
@@ -217,6 +219,7 @@ def _compare(words: int, percent: int):
         return pd.DataFrame({"u": node[own], "v": node[root[own]]}) if own.any() else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free_held()
         key, rows = None, []
         for f in frames:
             for first, sets in shingle_sets(pa.array(f["text"], pa.string()), words):

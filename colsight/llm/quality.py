@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colsight.llm.shared import free_held
 from colsight.llm.words import U, chunks, grams, hashes, mix, split
 
 MOST_ROWS = 20_000
@@ -217,6 +218,7 @@ def score_quality(docs: DataFrame, model: Additive, text_col: str = "text", out:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_held()
         for batch in batches:
             score = held.value.score(text_features(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, out])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,6 +27,29 @@ def shared_folder(spark: SparkSession) -> str:
     return place
 
 
+_held: list[dict] = []
+
+
+def held_by_worker(memory: dict) -> dict:
+    """Registers what a Python worker keeps from task to task, so that other operators' tasks can free it."""
+    _held.append(memory)
+    return memory
+
+
+def free_held() -> None:
+    """Drops what earlier tasks of other operators kept in this Python worker, and gives the memory back. For tasks that
+    need much memory themselves: Spark uses workers again."""
+    kept = [memory for memory in _held if memory]
+    for memory in kept:
+        memory.clear()
+    if kept:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: the memory is free, if not given back
+            pass
+
+
 _written: list[str] = []
 
 

@@ -14,10 +14,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+from colsight.llm.shared import held_by_worker
 from colsight.llm.words import U, chunks, hashes, mix, split
 
-KEPT_WORDS = 400_000
-KEPT_VALUES = 8_000_000
+KEPT_WORDS = 300_000
+KEPT_VALUES = 4_000_000
 """Words, and integers of them, that a Python worker keeps; beyond it those used longest ago go."""
 VALUED_AT_ONCE = 10_000
 # fixed values of the public word tokenizer: its split (of lower-cased text) and its mark at the end of a split part
@@ -143,7 +144,7 @@ class WordValues:
             yield first, [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-_HELD: dict[str, WordValues] = {}
+_HELD: dict[str, WordValues] = held_by_worker({})
 
 
 def word_ids(path: str) -> WordValues:
