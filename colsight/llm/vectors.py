@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colsight.llm.shared import Links, components, cut
 
@@ -100,7 +101,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     nothing; equal ids are one node whose rows count as links of each other only if their vectors link. Further columns
     are ignored.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    single = df.select(vector_col).schema[0].dataType == T.ArrayType(T.FloatType())
+    kept = "array<float>" if single else "array<double>"  # floats become doubles inside the tiles, without loss
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kept).alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.col("id").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("embedding", F.when(F.coalesce(good, F.lit(False)), F.col("embedding")))
