@@ -7,7 +7,7 @@ points; they only say where to begin, every round reads every row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,9 @@ from colsight.operators.moments import matrix_of
 
 START_POINTS = 2_000
 """Distinct points, those with the smallest hashes, from which starts are drawn."""
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 2_048
+TASK_ROWS, LEAST_ROWS = 200_000, 2_000
+"""Rows of a task at most, and fewer of them only down to so many, if cores are free."""
 
 
 @dataclass
@@ -36,6 +38,12 @@ class Fit:
     separation: float = 0.0
 
 
+def spread_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows dealt evenly to tasks: files in few row groups would leave every round to few cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(cores, n // LEAST_ROWS), -(-n // TASK_ROWS)))
+
+
 def start_points(points: DataFrame, columns: list[str]) -> np.ndarray:
     """At most START_POINTS distinct points, the same ones under any partitioning."""
     names = [*columns, "hash"]
@@ -71,33 +79,60 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * (x @ centers.T) + (centers * centers).sum(axis=1)[None, :], 0.0)
 
 
-def _pass(points: DataFrame, columns: list[str], models: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, summed squared distance, summed separation, summed points) of each centre of all models, end to end."""
-    begin = np.cumsum([0, *(len(m) for m in models)])
-    every, d = np.concatenate(models), len(columns)
+def _summed(points: DataFrame, columns: list[str], size: int, width: int, add: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """The total of every task's ``size`` rows of ``width`` sums; ``add`` adds a block of rows to them."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(every), 3 + d))
+        sums = np.zeros((size, width))
         for batch in batches:
             cells = matrix_of(batch)
             for at in range(0, len(cells), BLOCK_ROWS):
-                x = cells[at : at + BLOCK_ROWS]
-                gaps = _distances(x, every)
-                for a, b in zip(begin[:-1], begin[1:], strict=True):
-                    near = gaps[:, a:b].argmin(axis=1)
-                    two = np.sqrt(np.partition(gaps[:, a:b], 1, axis=1)[:, :2]) if b - a > 1 else np.zeros((len(x), 2))
-                    apart = np.divide(two[:, 1] - two[:, 0], two[:, 1], out=np.zeros(len(x)), where=two[:, 1] > 0)
-                    cost = ((x - every[a:b][near]) ** 2).sum(axis=1)
-                    for k, weight in enumerate([None, cost, apart, *x.T]):
-                        sums[a:b, k] += np.bincount(near, weight, b - a)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(every))), *(pa.array(sums[:, k]) for k in range(3 + d))], ["at", *(f"s{k}" for k in range(3 + d))])
-
-    schema = ", ".join(["at long", *(f"s{k} double" for k in range(3 + d))])
-    rows = points.select(*columns).mapInArrow(own, schema).groupBy("at").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(3 + d)])
-    found = np.zeros((len(every), 3 + d))
+                add(sums, cells[at : at + BLOCK_ROWS])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), *(pa.array(sums[:, k]) for k in range(width))], ["at", *(f"s{k}" for k in range(width))])
+
+    schema = ", ".join(["at long", *(f"s{k} double" for k in range(width))])
+    rows = points.select(*columns).mapInArrow(own, schema).groupBy("at").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(width)])
+    found = np.zeros((size, width))
     for r in rows.collect():
         found[r["at"]] = r[1:]
-    return found[:, 0], found[:, 1], found[:, 2], found[:, 3:]
+    return found
+
+
+def _members(points: DataFrame, columns: list[str], models: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, summed points) of each centre of all models, end to end; the first of equally near centres counts."""
+    begin = np.cumsum([0, *(len(m) for m in models)])
+    every = np.concatenate(models)
+    size, squares = np.diff(begin), (every * every).sum(axis=1)[:, None]
+
+    def add(sums: np.ndarray, x: np.ndarray) -> None:
+        gaps = squares - 2.0 * (every @ x.T)  # less the point's own square, which all centres share
+        own = gaps == np.repeat(np.minimum.reduceat(gaps, begin[:-1], axis=0), size, axis=0)
+        if own.sum() > len(size) * len(x):
+            for a, b in zip(begin[:-1], begin[1:], strict=True):
+                own[a:b] &= np.cumsum(own[a:b], axis=0) == 1
+        sums += own.astype(float) @ np.column_stack([np.ones(len(x)), x])
+
+    found = _summed(points, columns, len(every), 1 + every.shape[1], add)
+    return found[:, 0], found[:, 1:]
+
+
+def _judged(points: DataFrame, columns: list[str], models: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, summed squared distance, summed separation) of each centre of all models, end to end."""
+    begin = np.cumsum([0, *(len(m) for m in models)])
+    every = np.concatenate(models)
+
+    def add(sums: np.ndarray, x: np.ndarray) -> None:
+        gaps = _distances(x, every)
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            near = gaps[:, a:b].argmin(axis=1)
+            two = np.sqrt(np.partition(gaps[:, a:b], 1, axis=1)[:, :2]) if b - a > 1 else np.zeros((len(x), 2))
+            apart = np.divide(two[:, 1] - two[:, 0], two[:, 1], out=np.zeros(len(x)), where=two[:, 1] > 0)
+            cost = ((x - every[a:b][near]) ** 2).sum(axis=1)
+            for k, weight in enumerate([None, cost, apart]):
+                sums[a:b, k] += np.bincount(near, weight, b - a)
+
+    found = _summed(points, columns, len(every), 3, add)
+    return found[:, 0], found[:, 1], found[:, 2]
 
 
 def fit_groups(points: DataFrame, columns: list[str], ks: list[int], starts: int, most_rounds: int, shift: float, seed: int) -> dict[int, Fit]:
@@ -113,7 +148,7 @@ def fit_groups(points: DataFrame, columns: list[str], ks: list[int], starts: int
     for _ in range(most_rounds):
         if not moving:
             break
-        n, _, _, total = _pass(points, columns, [centers[key] for key in moving])
+        n, total = _members(points, columns, [centers[key] for key in moving])
         at, still = 0, []
         for key in moving:
             own, sums = n[at : at + key[0]], total[at : at + key[0]]
@@ -125,7 +160,7 @@ def fit_groups(points: DataFrame, columns: list[str], ks: list[int], starts: int
             if moved > shift:
                 still.append(key)
         moving = still
-    n, cost, apart, _ = _pass(points, columns, [centers[key] for key in keys])
+    n, cost, apart = _judged(points, columns, [centers[key] for key in keys])
     out: dict[int, Fit] = {}
     at = 0
     for key in keys:

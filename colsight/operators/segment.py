@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.functions.tables import small_table
-from colsight.operators.clustering import Fit, fit_groups, nearest
+from colsight.operators.clustering import Fit, fit_groups, nearest, spread_rows
 from colsight.operators.kinds import ColumnKind, of_kind, typed_cell
 from colsight.operators.ranking import hold
 
@@ -310,7 +310,7 @@ def _segment_rows(rows: DataFrame, scaling: Scaling, metric: str) -> Segments:
     spark = rows.sparkSession
     z = [f"z{i}" for i in range(len(scaling.names))]
     assembler = VectorAssembler(inputCols=z, outputCol="features")
-    points = hold(assembler.transform(rows.select("*", *scaled_cells(scaling))))
+    points = hold(assembler.transform(spread_rows(rows, scaling.n).select("*", *scaled_cells(scaling))))
     try:
         model, score, candidates = choose_k(points, scaling, metric)
         if model is None:

@@ -171,3 +171,25 @@ def test_gaps_follow_rows_complete_in_both(spark):
     df = weekly(spark, n=40, gap=1).withColumn("thin", F.when(F.dayofmonth("d") % 2 == 0, F.col("v")))
     t = {r["value_column"]: r["median_gap_days"] for r in T.fit_trends(df, K.kinds_from_schema(df)).collect()}
     assert t == {"v": 1.0, "thin": 2.0}
+
+
+@pytest.mark.parametrize("query", ["clusters", "candidates"])
+def test_rounds_use_all_cores_whatever_the_files(spark, monkeypatch, query):
+    """The table is one task's; every pass over its points is several tasks', and the passes are those of plain Lloyd."""
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.normal((9 * i, i), 0.5, (4_000, 2)) for i in range(3)])
+    df = spark.createDataFrame(pd.DataFrame(data, columns=["x", "y"])).coalesce(1)
+    tasks, kept = [], S.fit_groups
+    monkeypatch.setattr(S, "fit_groups", lambda points, *a: (tasks.append(points.rdd.getNumPartitions()), kept(points, *a))[1])
+    got = getattr(S.segment(df, K.kinds_from_schema(df)), query).collect()
+    assert tasks == [min(spark.sparkContext.defaultParallelism, 6)]
+    if query == "clusters":
+        assert [r["size"] for r in got] == [4_000] * 3
+    else:
+        assert max(got, key=lambda r: r["score"])["k"] == 3 and len(got) == S.K_MAX - S.K_MIN + 1
+
+
+def test_the_first_of_equally_near_centres_counts(spark):
+    points = spark.createDataFrame(pd.DataFrame({"z0": [-1.0, 0.0, 0.0, 1.0], "z1": 0.0}))
+    n, total = C._members(points, ["z0", "z1"], [np.array([[-1.0, 0], [1, 0]]), np.array([[1.0, 0], [-1, 0], [9, 9]])])
+    assert n.tolist() == [3, 1, 3, 1, 0] and total[:, 0].tolist() == [-1, 1, 1, -1, 0]
