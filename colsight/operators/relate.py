@@ -49,7 +49,7 @@ MAX_NEWTON = 30
 NEWTON_STEP = 1e-7  # in standard deviations of the features
 NEWTON_GAIN = 1e-13
 MAX_HALVINGS = 8
-# A rank table up to this many values (about 16 MB) is broadcast; larger ones shuffle.
+# Ranks of columns with up to this many values together (about 16 MB) are broadcast; cells of other columns shuffle.
 BROADCAST_VALUES = 500_000
 # A value held by more than one row in HEAVY_SHARE is salted; at most HEAVY_SHARE such values exist.
 HEAVY_SHARE = 1_000
@@ -95,28 +95,49 @@ def pearson_pairs(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     return _pair_rows(df.sparkSession, pairs, moments.correlation(MIN_PAIR_ROWS)[a, b], moments.n[a, b])
 
 
-def attach_ranks(long: DataFrame, ranks: DataFrame, distinct: int, heavy: DataFrame | None) -> DataFrame:
-    """``(row, pos, rank)`` of cells ``(row, pos, value)``; ``ranks`` is ``(pos, value, rank)``, unique by pos and value.
-
-    A bounded table of ranks is broadcast. Otherwise cells meet their rank by one shuffle, in which the values of
-    ``heavy`` (a bounded table ``(pos, value)``) are spread over SALTS tasks by row.
-    """
+def attach_ranks(long: DataFrame, ranks: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``long`` with ``rank`` in place of ``value``: cells ``(row, pos, value, ...)`` meet ``ranks`` ``(pos, value, rank)``,
+    unique by pos and value, by one shuffle. The values of ``heavy`` (a bounded table ``(pos, value)``) and missing ones,
+    which have no rank, are spread over SALTS tasks by row."""
     key = ["pos", "value"]
-    if distinct <= BROADCAST_VALUES:
-        return long.join(F.broadcast(ranks), key).select("row", "pos", "rank")
-    if heavy is None:
-        return long.join(ranks, key).select("row", "pos", "rank")
     flag = F.broadcast(heavy.withColumn("hot", F.lit(True)))
     salted = long.join(flag, key, "left").withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(0)
+        "salt", F.when(F.col("hot") | F.col("value").isNull(), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(0)
     )
     copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     spread = ranks.join(flag, key, "left").withColumn("salt", F.explode(copies))
-    return salted.drop("hot").join(spread.drop("hot"), [*key, "salt"]).select("row", "pos", "rank")
+    return salted.drop("hot").join(spread.drop("hot"), [*key, "salt"], "left").drop("value", "salt")
+
+
+def _narrow(sizes: dict[int, tuple[int, int]]) -> set[int]:
+    """Columns, those with the fewest values first, whose ranks together are few enough for a broadcast."""
+    out, total = set(), 0
+    for pos, (_, distinct) in sorted(sizes.items(), key=lambda x: (x[1][1], x[0])):
+        total += distinct
+        if total > BROADCAST_VALUES:
+            break
+        out.add(pos)
+    return out
+
+
+def _wide_rows(frame: DataFrame, cells: dict[int, Column], wide: list[int], ranks: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``(row, pos, value, rank)`` cells, those of a row one after another. Only cells of ``wide`` columns are shuffled, to
+    their ranks and back to their rows; the other values of a row travel with the first of them and get no rank here."""
+    narrow = [pos for pos in cells if pos not in wide]
+    none = F.lit(None).cast("double")
+    others = F.array(*[cells[pos] for pos in narrow]).cast("array<double>")
+    carried = {pos: {"row": F.col("row"), "others": others if pos == wide[0] else F.lit(None).cast("array<double>")} for pos in wide}
+    long = ranking.long_form(frame, {pos: cells[pos] for pos in wide}, carried)
+    ranked = attach_ranks(long.where(F.col("value").isNotNull() | F.col("others").isNotNull()), ranks, heavy)
+    if len(wide) > 1:
+        ranked = ranked.repartition("row").sortWithinPartitions("row")
+    own = F.struct("pos", none.alias("value"), F.col("rank").alias("rank"))
+    rest = [F.struct(F.lit(pos).alias("pos"), F.get("others", F.lit(k)).alias("value"), none.alias("rank")) for k, pos in enumerate(narrow)]
+    return ranked.select("row", F.inline(F.when(F.col("others").isNull(), F.array(own)).otherwise(F.array(own, *rest))))
 
 
 def _ranked_rows(pairs: list[tuple[int, int]], width: int):
-    """Moments of ``(row, pos, rank)`` cells that come sorted by row: cells become rows of a matrix again."""
+    """Moments of ``(row, pos, rank)`` cells, those of a row one after another: cells become rows of a matrix again."""
     a, b = np.array(pairs).T
 
     def matrix(row: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -130,7 +151,7 @@ def _ranked_rows(pairs: list[tuple[int, int]], width: int):
         for batch in batches:
             row = np.concatenate((row, batch.column(0).to_numpy()))
             cells = np.concatenate((cells, np.column_stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])))
-            cut = int(np.searchsorted(row, row[-1])) if len(row) else 0  # the last row may go on
+            cut = int(len(row) - np.argmin(np.append(row[::-1] == row[-1], False))) if len(row) else 0  # the last row may go on
             if cut:
                 yield list_moments(matrix(row[:cut], cells[:cut]), a, b)
             row, cells = row[cut:], cells[cut:]
@@ -144,7 +165,8 @@ def spearman_pairs(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     """``(i, j, r, n)``: Pearson of average ranks taken within each pair's complete rows.
 
     A column is ranked once, plus once more for every other column whose missing values drop rows from the pair. All
-    columns are ranked and joined with their ranks together, as cells ``(row, column, value)``.
+    columns are ranked together, as cells ``(row, column, value)``. Columns with few values get their ranks from a
+    broadcast table, without a shuffle of rows; only the cells of the others are shuffled.
     """
     spark = df.sparkSession
     frame = numeric_frame(df, kinds)
@@ -165,16 +187,21 @@ def spearman_pairs(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     try:
         sizes = ranking.column_sizes(counts)
         ranked = ranking.with_rows_before(counts, sizes).select("pos", "value", ranking.average_rank().alias("rank"))
-        distinct = sum(d for _, d in sizes.values())
-        heavy = None
-        if distinct > BROADCAST_VALUES:
+        narrow = _narrow(sizes)
+        wide = [pos for pos in cells if pos in sizes and pos not in narrow]
+        frame = frame.withColumn("row", F.monotonically_increasing_id())
+        few = F.broadcast(ranked.where(F.col("pos").isin(*narrow)) if wide else ranked)
+        # a broadcast join hands on the cells in the order of their rows, so they need no shuffle
+        if wide:
             # at most HEAVY_SHARE values per ranked column
-            limit = small_table(spark, [(pos, n // HEAVY_SHARE) for pos, (n, _) in sizes.items()], "pos int, least bigint")
+            limit = small_table(spark, [(pos, sizes[pos][0] // HEAVY_SHARE) for pos in wide], "pos int, least bigint")
             heavy = counts.join(F.broadcast(limit), "pos").where(F.col("cnt") > F.col("least")).select("pos", "value")
-        row = {pos: {"row": F.col("row")} for pos in cells}
-        long = ranking.long_form(frame.withColumn("row", F.monotonically_increasing_id()), cells, row)
-        joined = attach_ranks(long.where(F.col("value").isNotNull()), ranked, distinct, heavy)
-        by_row = joined.repartition("row").sortWithinPartitions("row").select("row", "pos", "rank")
+            by_row = _wide_rows(frame, cells, wide, ranked.where(F.col("pos").isin(*wide)), heavy)
+            by_row = by_row.join(few.withColumnRenamed("rank", "few"), ["pos", "value"], "left").select("row", "pos", F.coalesce("rank", "few").alias("rank"))
+            by_row = by_row.where(F.col("rank").isNotNull())
+        else:
+            long = ranking.long_form(frame, cells, {pos: {"row": F.col("row")} for pos in cells})
+            by_row = long.where(F.col("value").isNotNull()).join(few, ["pos", "value"]).select("row", "pos", "rank")
         moments = merged_over(by_row, _ranked_rows(ends, len(tasks)), len(pairs))
     finally:
         counts.unpersist()

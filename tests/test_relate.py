@@ -236,3 +236,37 @@ def test_shown_hints_leave_the_other_groups(spark):
     records = spark.createDataFrame(rows, "i int, j int, column_a string, column_b string, pearson double, spearman double, p_value double, non_linear_hint boolean")
     got = {(r["bucket"], r["rank"], r["column_b"]) for r in R.top_pairs(records).collect()}
     assert got == {("non_linear", 1, "b"), ("positive", 1, "c"), ("negative", 1, "c")}
+
+
+@pytest.mark.parametrize("limit, shuffled", [(500_000, []), (2 + 7, ["wide"]), (0, ["few", "flag", "wide"])])
+def test_only_cells_of_wide_columns_are_shuffled(spark, monkeypatch, limit, shuffled):
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({"few": rng.integers(0, 7, 400).astype(float), "wide": np.round(rng.normal(size=400), 2), "flag": rng.integers(0, 2, 400).astype(float)})
+    data["wide"] += data["few"]
+    df = frame(spark, data)
+    kinds = K.kinds_from_schema(df)
+    plans, kept = [], R.merged_over
+    monkeypatch.setattr(R, "BROADCAST_VALUES", limit)
+    monkeypatch.setattr(R, "merged_over", lambda d, *a: (plans.append(d._jdf.queryExecution().optimizedPlan().toString()), kept(d, *a))[1])
+    got = {(r["i"], r["j"]): (r["r"], r["n"]) for r in R.spearman_pairs(df, kinds).collect()}
+    want = data.corr("spearman").to_numpy()
+    assert got == {(i, j): (pytest.approx(want[i, j], abs=1e-12), 400) for i, j in R.column_pairs(3)}
+    # rows go back to their places only where several columns were shuffled to their ranks
+    assert plans[0].count("RepartitionByExpression [row") == (len(shuffled) > 1)
+
+
+@pytest.mark.parametrize("limit", [0, 9, 500_000])
+def test_wide_columns_with_gaps(spark, monkeypatch, limit):
+    rng = np.random.default_rng(6)
+    data = pd.DataFrame({"a": rng.normal(size=300), "b": rng.integers(0, 4, 300).astype(float), "c": rng.normal(size=300), "none": np.nan})
+    for c in ("a", "b", "c"):
+        data.loc[rng.random(300) < 0.3, c] = np.nan
+    data.loc[:5] = np.nan
+    df = frame(spark, data)
+    monkeypatch.setattr(R, "BROADCAST_VALUES", limit)
+    monkeypatch.setattr(R, "HEAVY_SHARE", 20)
+    got = {(r["i"], r["j"]): (r["r"], r["n"]) for r in R.spearman_pairs(df, K.kinds_from_schema(df)).collect()}
+    for i, j in R.column_pairs(3):
+        both = data.iloc[:, [i, j]].dropna()
+        assert got[i, j] == (pytest.approx(both.corr("spearman").iloc[0, 1], abs=1e-12), len(both))
+    assert got[0, 3] == (None, 0)
