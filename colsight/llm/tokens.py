@@ -6,8 +6,10 @@ a bound beyond which the words used longest ago go.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,22 +26,33 @@ VALUED_AT_ONCE = 10_000
 # fixed values of the public word tokenizer: its split (of lower-cased text) and its mark at the end of a split part
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PART_END = "</w>"
+NORMAL = ["NFC", "Replace", "Lowercase"]
+_MOVED = [*range(33), *range(127, 161), 173]
+BYTE_SIGNS = "".join(chr(256 + _MOVED.index(b) if b in _MOVED and b != 32 else b) for b in range(256))
+"""The sign of each byte in a byte-level vocabulary, except that of the space."""
 LETTER, DIGIT, ODD = 1, 2, 3
 KIND = np.zeros(256, np.uint8)
 KIND[[*range(65, 91), *range(97, 123)]] = LETTER
 KIND[48:58] = DIGIT
 KIND[[39, *range(128, 256)]] = ODD
+LATIN_LEAD, NO_LETTERS = 0xC3, (0x97, 0xB7)
+"""UTF-8 of U+00C0 to U+00FF begins with this byte; two signs among them, by their second bytes, are no letters."""
+NOT_PLAIN = re.compile("'|<\\||[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 CASED = mix(np.arange(256, dtype=U) + U(0xA0761D6478BD642F))
 
 
 def is_odd(text: str) -> bool:
-    """Whether a word stays whole: with an apostrophe, beyond ASCII, or with what may begin a special token."""
-    return "'" in text or "<|" in text or not text.isascii()
+    """Whether a word stays whole: with an apostrophe, beyond ASCII and the letters of Latin-1 (composed, and lower-cased
+    one by one), or with what may begin a special token."""
+    return NOT_PLAIN.search(text) is not None
 
 
 def parts(offs: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words cut into runs of letters, single digits and runs of others, except odd ones; as ``split`` returns them."""
     kind = KIND[data]
+    lead = np.flatnonzero(data[:-1] == LATIN_LEAD)
+    lead = lead[~np.isin(data[lead + 1], NO_LETTERS)]
+    kind[lead] = kind[lead + 1] = LETTER
     odd = kind == ODD
     special = np.zeros(len(data), bool)
     special[:-1] = (data[:-1] == 60) & (data[1:] == 124)
@@ -161,7 +174,11 @@ def word_ids(path: str) -> WordValues:
     held = Tokenizer.from_file(path)
     spec = json.loads(held.to_str())
     first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-    by_parts = (first.get("pattern") or {}).get("Regex") == SPLIT and spec["model"].get("end_of_word_suffix") == PART_END
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers") or []]
+    by_parts = (first.get("pattern") or {}).get("Regex") == SPLIT and spec["model"].get("end_of_word_suffix") == PART_END and normal == NORMAL
+    # plain parts are lower-cased and written in the signs of the byte-level vocabulary here, so the model alone is asked
+    parts_only = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+    model = Tokenizer.from_str(json.dumps(spec | parts_only)) if by_parts else held
     vocabulary = held.get_vocab()
     last = np.zeros(max(vocabulary.values()) + 1, bool)
     last[[i for piece, i in vocabulary.items() if piece.endswith(PART_END)]] = True
@@ -170,7 +187,8 @@ def word_ids(path: str) -> WordValues:
         texts = [w.decode("utf-8", "replace") for w in words]
         odd = np.array([not by_parts or is_odd(t) for t in texts])
         plain = [texts[i] for i in np.flatnonzero(~odd)]
-        ids = np.array(held.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int32)
+        raw = " ".join(plain).lower().encode()
+        ids = np.array(model.encode_batch_fast([codecs.charmap_decode(raw, "strict", BYTE_SIGNS)[0]], add_special_tokens=False)[0].ids, np.int32)
         alone = [e.ids for e in held.encode_batch_fast([texts[i] for i in np.flatnonzero(odd)], add_special_tokens=False)]
         size = np.zeros(len(texts), np.int64)
         size[~odd] = np.diff(np.flatnonzero(last[ids]), prepend=-1)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +260,17 @@ def test_word_ids_equal_those_of_whole_texts():
     texts += ["it's we'll I'D 'RE ''s '''ll <|endoftext|>x a<|endoftext|>b <|ENDOFTEXT|>", "", "'", None]
     got = [ids.tolist() for _, rows in word_ids(path).rows(pa.array(texts, pa.string())) for ids in rows]
     assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_latin_letters_are_cut_and_encoded_together():
+    """Letters of U+00C0 to U+00FF count as letters: such words need no call of their own, and their ids stay."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from colsight.llm.tokens import is_odd, word_ids
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["".join(chr(c) for c in range(0xC0, 0x100)), "Ärger, Übermaß2× déjà÷vu", "e\u0301 \u00e9 É\u0301", "ÿ<|endoftext|>ÿ", "l'été \u00aa\u00b5\u00ba", "Ã\u00a0Ã", "\u0080\u00ad"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for _, rows in word_ids(path).rows(pa.array(texts, pa.string())) for ids in rows] == want
+    assert [is_odd(x) for x in ("Übermaß", "×", "l'été", "e\u0301", "a<|")] == [False, True, True, True, True]
