@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsight.llm.shared import Links, components, cut, free_held
+from colsight.llm.shared import Links, components, cut, lean
 from colsight.llm.words import GRAM, U, mix, shingle_sets
 
 FREQUENT = 64
@@ -47,7 +47,6 @@ def _print(own: np.ndarray) -> int:
 
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_held()
         seen: set[tuple[int, int]] = set()
         often, counts = np.zeros(0, U), np.zeros(0, np.int64)
         for batch in batches:
@@ -70,7 +69,7 @@ def _sketch(n: int):
         often, counts = _summed(often, counts)
         yield pa.record_batch([pa.array(np.ones(len(often), np.int32)), pa.nulls(len(often), pa.int64()), pa.array(often.view(np.int64)), pa.array(counts)], names=["kind", "id", "print", "n"])
 
-    return run
+    return lean(run)
 
 
 def _summed(often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +85,6 @@ def _entries(n: int, percent: int, often):
     """The index entries of each set, in the order of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_held()
         value, rank, parts = often.value
         maybe = np.zeros(1 << 20, bool)
         maybe[(value >> U(44)).astype(np.int64)] = True
@@ -118,7 +116,7 @@ def _entries(n: int, percent: int, often):
                 if token:
                     yield pa.record_batch([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(part).astype(np.int32)), pa.array(np.concatenate(who)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place))], names=["token", "part", "print", "n", "place"])
 
-    return run
+    return lean(run)
 
 
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +217,6 @@ def _compare(words: int, percent: int):
         return pd.DataFrame({"u": node[own], "v": node[root[own]]}) if own.any() else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        free_held()
         key, rows = None, []
         for f in frames:
             for first, sets in shingle_sets(pa.array(f["text"], pa.string()), words):
@@ -233,7 +230,7 @@ def _compare(words: int, percent: int):
         if (out := finish(rows)) is not None:
             yield out
 
-    return run
+    return lean(run)
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:

@@ -274,3 +274,14 @@ def test_words_of_latin_letters_are_cut_and_encoded_together():
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     assert [ids.tolist() for _, rows in word_ids(path).rows(pa.array(texts, pa.string())) for ids in rows] == want
     assert [is_odd(x) for x in ("Übermaß", "×", "l'été", "e\u0301", "a<|")] == [False, True, True, True, True]
+
+
+def test_tasks_of_the_join_give_their_memory_back(monkeypatch):
+    from colsight.llm import jaccard, shared
+
+    kept, given = shared.held_by_worker({"words": 1}), []
+    monkeypatch.setattr(shared, "give_back", lambda: given.append(dict(kept)))
+    batch = pa.record_batch({"id": pa.array([1, 2]), "text": pa.array(["a b c d e", "a b c d e f"])})
+    assert sum(len(b) for b in jaccard._sketch(3)(iter([batch, batch]))) >= 4
+    assert given == [{}, {}]  # what others kept went first, its own memory at the end
+    shared._held.remove(kept)
