@@ -177,7 +177,7 @@ def test_gaps_follow_rows_complete_in_both(spark):
 def test_rounds_use_all_cores_whatever_the_files(spark, monkeypatch, query):
     """The table is one task's; every pass over its points is several tasks', and the passes are those of plain Lloyd."""
     rng = np.random.default_rng(3)
-    data = np.concatenate([rng.normal((9 * i, i), 0.5, (4_000, 2)) for i in range(3)])
+    data = np.concatenate([rng.normal((9 * i, 9 * i), 0.5, (4_000, 2)) for i in range(3)])
     df = spark.createDataFrame(pd.DataFrame(data, columns=["x", "y"])).coalesce(1)
     tasks, kept = [], S.fit_groups
     monkeypatch.setattr(S, "fit_groups", lambda points, *a: (tasks.append(points.rdd.getNumPartitions()), kept(points, *a))[1])
